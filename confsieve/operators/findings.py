@@ -34,12 +34,12 @@ def compliance_rate(findings: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
-def mission_counters(findings: DataFrame, device: str, unknown_count: DataFrame) -> DataFrame:
-    """One row: devices, unknown lines, failures by severity, and the status line. ``unknown_count`` is one row (unknown_patterns)."""
+def mission_counters(findings: DataFrame, device: str, unknowns: DataFrame) -> DataFrame:
+    """One row: devices, unknown lines, failures by severity, and the status line."""
     # Distinct devices over partial rows per device, so the count is not funnelled through one task.
     per_device = findings.groupBy(device).agg(*severity_counts())
     totals = per_device.agg(F.count("*").alias("devices"), *[F.coalesce(F.sum(f"fail_{v}"), F.lit(0)).alias(v) for v in SEVERITIES])
-    one = totals.join(F.broadcast(unknown_count), F.lit(True))
+    one = totals.withColumn("unknown_patterns", unknowns.agg(F.count("*")).scalar())
     line = F.format_string(
         "Processed %d/%d devices | Unknown patterns: %d | Critical: %d  High: %d  Medium: %d  Low: %d",
         "devices", "devices", "unknown_patterns", "critical", "high", "medium", "low",
@@ -56,8 +56,8 @@ def select_devices(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The wanted devices, or all of them when none of the wanted exists."""
     names = wanted.select(key).distinct()
     marked = df.join(names.withColumn("_wanted", F.lit(True)), key, "left")
-    any_hit = df.join(names, key, "left_semi").limit(1).agg(F.count("*").alias("_hits"))
-    return marked.join(F.broadcast(any_hit), F.lit(True)).where(F.col("_wanted") | (F.col("_hits") == 0)).drop("_wanted", "_hits")
+    hits = df.join(names, key, "left_semi").limit(1).agg(F.count("*")).scalar()
+    return marked.withColumn("_hits", hits).where(F.col("_wanted") | (F.col("_hits") == 0)).drop("_wanted", "_hits")
 
 
 def grid(findings: DataFrame, device: Column | None = None, status: str | None = None, text: str | None = None, searched: list[str] | None = None) -> DataFrame:
