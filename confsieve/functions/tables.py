@@ -26,3 +26,12 @@ def literal_map(pairs: dict, value: str = "string") -> Column:
 
 def small_frame(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a one-row generator, so that they are computed once.
+
+    Spark substitutes plain projections into the filters and projections above them, copying an expression to every place that reads
+    it; for expressions as large as a grammar that multiplies. A generator is left where it is.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

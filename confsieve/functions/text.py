@@ -58,18 +58,25 @@ def is_word_marker(marker: str) -> bool:
 
 def marker_present(lower_text: Column, tokens: Column, marker: str) -> Column:
     if is_word_marker(marker):
-        return F.contains(tokens, F.lit(f" {marker} "))
+        return F.contains(tokens, F.lit(f" {marker} ")) if marker.isascii() else lower_text.rlike(_between(marker))
     return F.contains(lower_text, F.lit(marker))
 
 
+def _between(marker: str) -> str:
+    """A word marker with letters outside a-z, which the token text does not keep."""
+    return f"(^|[^a-z0-9]){marker}([^a-z0-9]|$)"
+
+
 def markers_found(lower_text: Column, tokens: Column, markers: list[str]) -> Column:
     """The markers present, as an array; one pass of a substring search per marker, no regular expression."""
-    words = sorted({m for m in markers if is_word_marker(m)})
+    words = sorted({m for m in markers if is_word_marker(m) and m.isascii()})
+    others = sorted({m for m in markers if is_word_marker(m) and not m.isascii()})
     parts = sorted({m for m in markers if not is_word_marker(m)})
     empty = F.array().cast("array<string>")
     by_word = F.filter(F.lit(words), lambda m: F.contains(tokens, F.concat(F.lit(" "), m, F.lit(" ")))) if words else empty
     by_part = F.filter(F.lit(parts), lambda m: F.contains(lower_text, m)) if parts else empty
-    return F.concat(by_word, by_part)
+    by_pattern = F.array_compact(F.array(*[F.when(lower_text.rlike(_between(m)), F.lit(m)) for m in others])) if others else empty
+    return F.concat(by_word, by_part, by_pattern)
 
 
 # The shape of one markup pair, and of lines that carry no setting.

@@ -81,7 +81,7 @@ def manifest(samples: DataFrame, category: str, vendor: str, state: str) -> Data
 def facets(samples: DataFrame, columns: list[str]) -> DataFrame:
     """Totals per value of every facet from one pass: (facet, value, configs)."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
-    return samples.select(F.explode(pairs).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("configs"))
+    return samples.select(F.explode_outer(pairs).alias("x")).where(F.col("x").isNotNull()).groupBy("x.facet", "x.value").agg(F.count("*").alias("configs"))
 
 
 def browse(samples: DataFrame, filters: dict, order: list[str], limit: int = 200, offset: int = 0) -> DataFrame:
@@ -122,7 +122,7 @@ def field_statistics(data: DataFrame, fields: list[str], sample: int = 10) -> Da
             for c in fields
         ]
     )
-    numeric = data.agg(stats.alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    numeric = data.agg(stats.alias("s")).select(F.explode_outer("s").alias("s")).where(F.col("s").isNotNull()).select("s.*")
     texts = None
     for c in fields:
         if data.schema[c].dataType.typeName() != "string":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from confsieve.catalog import fields as field_catalog
 from confsieve.catalog import grammar as grammar_catalog
 from confsieve.functions.numbers import clamp, round_half_up
-from confsieve.functions.tables import literal_map, literal_rows
+from confsieve.functions.tables import computed, literal_map, literal_rows
 from confsieve.functions.text import numbered_lines
 
 REVIEW_CONFIDENCE = 0.75
@@ -155,9 +155,9 @@ def _fact(raw: Column, line_no: Column, e: Column, g: Grammar) -> Column:
 
 def match_lines(configs: DataFrame, g: Grammar = Grammar(), text: str = "raw_text", vendor: str = "vendor") -> DataFrame:
     """Adds ``lines``: array<struct<line_no, raw, rule_no>> of every line that is not blank or a comment."""
-    return configs.withColumn(
-        "lines",
-        F.transform(
+    return computed(
+        configs,
+        lines=F.transform(
             numbered_lines(F.col(text)),
             lambda x: F.struct(x["line_no"].alias("line_no"), x["raw"].alias("raw"), rule_number(x["raw"], F.col(vendor), g).alias("rule_no")),
         ),
@@ -182,9 +182,7 @@ def emit_facts(matched: DataFrame, g: Grammar = Grammar()) -> DataFrame:
         F.lit(1.0).alias("confidence"),
     ).cast(FACT_TYPE)
     none = F.array().cast(f"array<{FACT_TYPE}>")
-    return matched.withColumn("facts", F.flatten(per_line).cast(f"array<{FACT_TYPE}>")).withColumn(
-        "acl_items", F.when(permissive.isNotNull(), F.array(item)).otherwise(none)
-    )
+    return computed(matched, facts=F.flatten(per_line).cast(f"array<{FACT_TYPE}>"), acl_items=F.when(permissive.isNotNull(), F.array(item)).otherwise(none))
 
 
 def extract(configs: DataFrame, g: Grammar = Grammar(), text: str = "raw_text", vendor: str = "vendor") -> DataFrame:
@@ -197,19 +195,19 @@ def unknown_lines(matched: DataFrame, keys: list[str], g: Grammar = Grammar()) -
         "lines",
         lambda x: x["rule_no"].isNull() & F.exists(F.lit(g.security_keywords), lambda k: F.contains(F.lower(x["raw"]), k)),
     )
-    return matched.select(*keys, F.explode(found).alias("u")).select(*keys, F.col("u.line_no").alias("line_no"), F.col("u.raw").alias("raw"))
+    return matched.select(*keys, F.explode_outer(found).alias("u")).where(F.col("u").isNotNull()).select(*keys, F.col("u.line_no").alias("line_no"), F.col("u.raw").alias("raw"))
 
 
 def long_facts(extracted: DataFrame, keys: list[str]) -> DataFrame:
     """Every fact as a row, before the last one per field wins."""
-    return extracted.select(*keys, F.posexplode("facts").alias("fact_no", "f")).select(*keys, "fact_no", "f.*")
+    return extracted.select(*keys, F.posexplode_outer("facts").alias("fact_no", "f")).where(F.col("f").isNotNull()).select(*keys, "fact_no", "f.*")
 
 
 def latest_facts(extracted: DataFrame, keys: list[str]) -> DataFrame:
     """The last fact per field. Facts sit in line order inside the row, so no grouping is needed."""
     paths = F.array_distinct(F.transform("facts", lambda f: f["field_path"]))
     last = F.transform(paths, lambda p: F.element_at(F.filter("facts", lambda f: f["field_path"] == p), -1))
-    return extracted.select(*keys, F.explode(last).alias("f")).select(*keys, "f.*")
+    return extracted.select(*keys, F.explode_outer(last).alias("f")).where(F.col("f").isNotNull()).select(*keys, "f.*")
 
 
 def baseline(extracted: DataFrame, keys: list[str], field_types: dict = field_catalog.FIELD_TYPES) -> DataFrame:
@@ -230,7 +228,7 @@ def baseline(extracted: DataFrame, keys: list[str], field_types: dict = field_ca
         lambda c: F.struct(c["path"].alias("path"), F.try_element_at(F.filter("facts", lambda f: f["field_path"] == c["path"]), F.lit(-1)).alias("f")),
     )
     columns = ["value_bool", "value_int", "value_str", "explicit", "src_line", "src_raw", "method", "confidence"]
-    out = extracted.select(*keys, F.explode(rows).alias("r"))
+    out = extracted.select(*keys, F.explode_outer(rows).alias("r")).where(F.col("r").isNotNull())
     pick = [F.when(F.col("r.f").isNotNull(), F.col(f"r.f.{c}")).otherwise(unknown[c]).alias(c) for c in columns]
     return out.select(*keys, F.col("r.path").alias("field_path"), *pick).withColumn("needs_validation", F.col("confidence") < REVIEW_CONFIDENCE)
 

@@ -51,7 +51,7 @@ def append_blocks(events: DataFrame, chain: str, seq: str) -> DataFrame:
     )
     return (
         _anchors(_segments(events, chain, seq))
-        .select("chain", "segment", "anchor", F.explode(linked).alias("b"))
+        .select("chain", "segment", "anchor", F.explode_outer(linked).alias("b")).where(F.col("b").isNotNull())
         .select("chain", "segment", "b.*")
     )
 

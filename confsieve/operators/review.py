@@ -114,7 +114,7 @@ def seed_entries(records: DataFrame, keys: list[str], lines: str, vendor: str, g
 
     rows = [{"field_path": r[1], "category": r[3]} for r in g.fallback_rules] + [{"field_path": r[2], "category": r[4]} for r in g.keyword_rules]
     table = literal_rows(rows, "struct<field_path:string,category:string>")
-    exploded = records.select(*keys, vendor, F.explode(numbered_lines(F.col(lines))).alias("l")).where(F.length("l.raw") >= 5)
+    exploded = records.select(*keys, vendor, F.explode_outer(numbered_lines(F.col(lines))).alias("l")).where(F.col("l").isNotNull()).where(F.length("l.raw") >= 5)
     matched = exploded.select(*keys, vendor, F.col("l.line_no").alias("line_no"), F.col("l.raw").alias("raw_pattern")).withColumn("_n", known_pattern(F.col("raw_pattern"), F.col(vendor), g))
     hit = F.element_at(table, F.col("_n") + 1)
     return matched.where(F.col("_n").isNotNull()).select(

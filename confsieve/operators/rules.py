@@ -88,7 +88,7 @@ def evaluate(devices: DataFrame, keys: list[str], rules: list = RULES, field_typ
             F.filter("acl_items", lambda f: f["field_path"] == r["field_path"]).alias("items"),
         ),
     )
-    rows = devices.select(*dict.fromkeys([*keys, vendor]), F.explode(paired).alias("p"))
+    rows = devices.select(*dict.fromkeys([*keys, vendor]), F.explode_outer(paired).alias("p")).where(F.col("p").isNotNull())
     rule, ev, items = F.col("p.rule"), F.col("p.ev"), F.col("p.items")
     status = F.when(rule["is_list"], _list_status(items, rule)).otherwise(_scalar_status(ev, rule, F.col(vendor)))
     shown = F.when(rule["is_list"], F.try_element_at(items, F.lit(1))).otherwise(ev)
