@@ -119,11 +119,12 @@ def char_grams(text: Column) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+", -1), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def of_size(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(w) - (n - 1))
+        cut = F.transform(starts, lambda i: F.call_function("substring", w, i, F.lit(n)))
+        return F.when(F.length(w) >= n, cut).otherwise(F.array().cast("array<string>"))
+
     def grams_of(w: Column) -> Column:
-        per_size = []
-        for n in (2, 3, 4):
-            starts = F.sequence(F.lit(1), F.length(w) - (n - 1))
-            per_size.append(F.when(F.length(w) >= n, F.transform(starts, lambda i, n=n: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
-        return F.concat(*per_size)
+        return F.concat(*[of_size(w, n) for n in (2, 3, 4)])
 
     return F.flatten(F.transform(padded, grams_of))

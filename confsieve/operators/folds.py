@@ -57,6 +57,17 @@ def _compose(block: pd.DataFrame, step: StepNumpy, args: list[str]) -> pd.DataFr
     return pd.DataFrame(out)
 
 
+def _merger(columns: list[str], step: StepNumpy, args: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def merge(block: pd.DataFrame) -> pd.DataFrame:
+        return _compose(block[columns], step, args)[columns]
+
+    return merge
+
+
+def _argument(name: str) -> Column:
+    return F.transform("_events", lambda e: e[name].cast("bigint")).alias(name)
+
+
 def ordered_fold(
     events: DataFrame,
     keys: list[str],
@@ -80,26 +91,20 @@ def ordered_fold(
             *keys,
             "_block",
             F.size("_events").cast("bigint").alias("_n"),
-            *[F.transform("_events", lambda e, a=a: e[a].cast("bigint")).alias(a) for a in args],
+            *[_argument(a) for a in args],
             F.array().cast("array<bigint>").alias("_starts"),
             F.array().cast("array<bigint>").alias("_values"),
         )
         remaining = max_seq // BLOCK
         while remaining > 0:
             grouped = level.withColumn("_up", F.floor(F.col("_block") / BLOCK).cast("bigint"))
-            schema = level.schema
-            names = level.columns
-
-            def merge(pdf: pd.DataFrame, names: list = names) -> pd.DataFrame:
-                return _compose(pdf[names], step_numpy, args)[names]
-
-            level = grouped.groupBy(*keys, "_up").applyInPandas(merge, schema)
+            level = grouped.groupBy(*keys, "_up").applyInPandas(_merger(level.columns, step_numpy, args), level.schema)
             remaining //= BLOCK
     else:
         level = blocks.select(
             *keys,
             F.size("_events").cast("bigint").alias("_n"),
-            *[F.transform("_events", lambda e, a=a: e[a].cast("bigint")).alias(a) for a in args],
+            *[_argument(a) for a in args],
             F.array().cast("array<bigint>").alias("_starts"),
             F.array().cast("array<bigint>").alias("_values"),
         )

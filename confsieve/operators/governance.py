@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from confsieve.functions.digest import canonical, hmac_sha256, sha256
 from confsieve.functions.predicates import OPERATORS
 from confsieve.functions.tables import literal_map
+from confsieve.operators.latest import previous_in_order
 
 APPROVALS_NEEDED = 2
 REQUIRED = ["rule_id", "title", "framework", "severity", "field_path", "operator", "expected"]
@@ -49,23 +50,26 @@ def current_versions(versions: DataFrame) -> DataFrame:
 
 
 def previous_versions(versions: DataFrame) -> DataFrame:
-    """Every version with the number of the one before it: versions count up by one, so the one before is found by key."""
-    before = versions.select("rule_id", (F.col("version") + 1).alias("version"), F.col("expected").alias("previous_expected"), F.col("version").alias("previous_version"))
-    return versions.join(before, ["rule_id", "version"], "left")
-
-
-def conflicts(proposed: DataFrame, active: DataFrame) -> DataFrame:
-    """Other active rules on the same field."""
-    a = active.select(F.col("rule_id").alias("conflicts_with"), "field_path")
-    return proposed.join(a, "field_path").where(F.col("rule_id") != F.col("conflicts_with"))
+    """Every version with the number and expectation of the one before it in its rule."""
+    out = previous_in_order(versions, ["rule_id"], "version", ["expected"])
+    return out.withColumn("previous_version", F.col("previous.version")).withColumn("previous_expected", F.col("previous.expected")).drop("previous")
 
 
 def field_conflict(proposed: DataFrame, active: DataFrame) -> DataFrame:
-    """Marks proposals whose field another active rule reads, without pairing rules: two rule ids per field are enough to tell."""
-    per_field = active.groupBy("field_path").agg(F.min("rule_id").alias("_lo"), F.max("rule_id").alias("_hi"))
-    joined = proposed.join(per_field, "field_path", "left")
-    clash = F.col("_lo").isNotNull() & ((F.col("_lo") != F.col("rule_id")) | (F.col("_hi") != F.col("rule_id")))
-    return joined.withColumn("conflict", F.coalesce(clash, F.lit(False))).drop("_lo", "_hi")
+    """Marks proposals whose field another active rule reads: whether, how many such rules there are, and the first of them.
+
+    Rules of one field are not paired with each other; their number and their two lowest ids answer all three.
+    """
+    rules = active.select("field_path", "rule_id").distinct()
+    lowest = rules.groupBy("field_path").agg(F.count("*").alias("_n"), F.min("rule_id").alias("_lo"))
+    second = rules.join(lowest, "field_path").where(F.col("rule_id") != F.col("_lo")).groupBy("field_path").agg(F.min("rule_id").alias("_next"))
+    own = rules.withColumn("_own", F.lit(1))
+    joined = proposed.join(lowest, "field_path", "left").join(second, "field_path", "left").join(own, ["field_path", "rule_id"], "left")
+    others = F.coalesce("_n", F.lit(0)) - F.coalesce("_own", F.lit(0))
+    first = F.when(F.col("_lo") != F.col("rule_id"), F.col("_lo")).otherwise(F.col("_next"))
+    return (
+        joined.withColumn("conflicting_rules", others).withColumn("conflict", others > 0).withColumn("first_conflict", F.when(others > 0, first)).drop("_n", "_lo", "_next", "_own")
+    )
 
 
 def propose(versions: DataFrame, proposals: DataFrame, field_types: dict) -> DataFrame:

@@ -31,3 +31,24 @@ def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*keys, "_row.*").select(df.columns)
+
+
+def previous_in_order(df: DataFrame, keys: list[str], order: str, payload: list[str], size: int = 4096, max_order: int | None = None) -> DataFrame:
+    """Adds ``previous``: struct(order, payload) of the row before, per key, null for the first.
+
+    A plain lag would sort all rows of a key in one task. Here a key is cut into ranges of ``order``; the lag runs inside a range, and
+    the first row of a range takes the last row of the range before it, which is found the same way one level up. ``order`` is a
+    distinct whole number >= 0 per key.
+    """
+    from pyspark.sql import Window
+
+    if max_order is None:
+        max_order = df.agg(F.max(order)).first()[0] or 0
+    me = F.struct(order, *payload)
+    if max_order < size:
+        return df.withColumn("previous", F.lag(me).over(Window.partitionBy(*keys).orderBy(order)))
+    ranged = df.withColumn("_range", F.floor(F.col(order) / size).cast("bigint"))
+    inside = ranged.withColumn("_before", F.lag(me).over(Window.partitionBy(*keys, "_range").orderBy(order)))
+    last = ranged.groupBy(*keys, "_range").agg(F.max_by(me, order).alias("_last"))
+    carried = previous_in_order(last, keys, "_range", ["_last"], size, max_order // size).select(*keys, "_range", F.col("previous._last").alias("_carried"))
+    return inside.join(carried, [*keys, "_range"]).withColumn("previous", F.coalesce("_before", "_carried")).drop("_range", "_before", "_carried")

@@ -365,7 +365,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     """The event log with its number as order, its microsecond time, and the number inside props."""
     return table(spark, folder, "events").select(
         "event_id", "ts", "user_id", "event_type", "value", "props",
-        F.unix_micros("ts").alias("ts_us"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("ts_us"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 

@@ -74,9 +74,9 @@ def main() -> None:
             else:
                 said = f"ok rows only {fn(spark, folder).count()}"
         except Exception as e:  # noqa: BLE001
-            said = f"{type(e).__name__}: {str(e)[:900]}"
+            said = f"{type(e).__name__}: {str(e)[:350]}"
         bad += not said.startswith("ok")
-        print(f"{name:40s} {time.time() - start:6.1f}s {said[:1200]}", flush=True)
+        print(f"{name:40s} {time.time() - start:6.1f}s {said[:700]}", flush=True)
     print("failed:", bad)
 
 
