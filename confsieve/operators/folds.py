@@ -8,7 +8,7 @@ and neighbouring blocks are merged level by level. No task ever holds more than
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,43 +25,52 @@ StepNumpy = Callable[[np.ndarray, tuple], np.ndarray]
 StepColumn = Callable[[Column, Column], Column]
 
 
-def _compose(block: pd.DataFrame, step: StepNumpy, args: list[str]) -> pd.DataFrame:
-    """Blocks of one key in order -> one block: the raw events while they are few, else the joint step."""
-    block = block.sort_values("_block")
-    count = int(block["_n"].sum())
-    head = block.iloc[[0]]
-    out = {c: head[c].to_list() for c in block.columns if c not in ("_block", "_n", "_starts", "_values", *args)}
-    out["_block"] = [int(head["_block"].iloc[0]) // BLOCK]
-    out["_n"] = [count]
-    if count <= RAW_EVENTS and block["_starts"].map(len).sum() == 0:
-        for a in args:
-            out[a] = [[x for part in block[a] for x in part]]
-        out["_starts"], out["_values"] = [[]], [[]]
-        return pd.DataFrame(out)
+def _joint_step(parts: list, step: StepNumpy, args: list[str]) -> tuple[list[int], list[int]]:
+    """Blocks of one key in order as one step: the states at which its result changes, and the results."""
     state, tag = np.arange(SCALE + 1, dtype=np.int64), np.zeros(SCALE + 1, dtype=np.int64)
-    for _, row in block.iterrows():
-        if len(row["_starts"]):
-            at = np.searchsorted(np.asarray(row["_starts"]), state, side="right") - 1
-            moved = [np.asarray(row["_values"], dtype=np.int64)[at]]
+    for part in parts:
+        if len(part["_starts"]):
+            at = np.searchsorted(np.asarray(part["_starts"]), state, side="right") - 1
+            moved = [np.asarray(part["_values"], dtype=np.int64)[at]]
         else:
-            moved = zip(*[row[a] for a in args], strict=True)
+            moved = zip(*[[int(x) for x in part[a]] for a in args], strict=True)
         for m in moved:
             after = m if isinstance(m, np.ndarray) else step(state, m)
             state, tag = after % TAG, np.where(after >= TAG, after // TAG, tag)
     state = state + TAG * tag
     changes = np.concatenate([[0], np.nonzero(np.diff(state))[0] + 1])
-    for a in args:
-        out[a] = [[]]
-    out["_starts"] = [changes.astype(np.int64).tolist()]
-    out["_values"] = [state[changes].tolist()]
-    return pd.DataFrame(out)
+    return changes.astype(np.int64).tolist(), state[changes].tolist()
 
 
-def _merger(columns: list[str], step: StepNumpy, args: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def merge(block: pd.DataFrame) -> pd.DataFrame:
-        return _compose(block[columns], step, args)[columns]
+def _composer(step: StepNumpy, args: list[str], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            steps = [_joint_step(list(parts), step, args) for parts in batch["_parts"]]
+            out = batch.drop(columns="_parts").assign(_starts=[s for s, _ in steps], _values=[v for _, v in steps])
+            for a in args:
+                out[a] = [[] for _ in steps]
+            yield out[columns]
 
-    return merge
+    return compose
+
+
+def _merge_level(level: DataFrame, keys: list[str], step: StepNumpy, args: list[str]) -> DataFrame:
+    """BLOCK neighbouring blocks become one. Few events stay events, which never leaves the JVM; more become a joint step."""
+    names = ["_block", "_n", *args, "_starts", "_values"]
+    gathered = level.groupBy(*keys, F.floor(F.col("_block") / BLOCK).cast("bigint").alias("_up")).agg(
+        F.sum("_n").alias("_total"), F.array_sort(F.collect_list(F.struct(*names))).alias("_parts")
+    )
+    ready = gathered.select(*keys, F.col("_up").alias("_block"), F.col("_total").alias("_n"), "_parts")
+    empty = F.array().cast("array<bigint>")
+    few = ready.where(F.col("_n") <= RAW_EVENTS).select(
+        *keys, "_block", "_n", *[_joined(a) for a in args], empty.alias("_starts"), empty.alias("_values")
+    )
+    many = ready.where(F.col("_n") > RAW_EVENTS).mapInPandas(_composer(step, args, few.columns), few.schema)
+    return few.unionByName(many)
+
+
+def _joined(name: str) -> Column:
+    return F.flatten(F.transform("_parts", lambda p: p[name])).alias(name)
 
 
 def _argument(name: str) -> Column:
@@ -97,8 +106,7 @@ def ordered_fold(
         )
         remaining = max_seq // BLOCK
         while remaining > 0:
-            grouped = level.withColumn("_up", F.floor(F.col("_block") / BLOCK).cast("bigint"))
-            level = grouped.groupBy(*keys, "_up").applyInPandas(_merger(level.columns, step_numpy, args), level.schema)
+            level = _merge_level(level, keys, step_numpy, args)
             remaining //= BLOCK
     else:
         level = blocks.select(
