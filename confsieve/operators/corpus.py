@@ -98,7 +98,7 @@ def repeatable_sample(samples: DataFrame, key: str, seed: int, n: int = 25) -> D
 
 def coverage(records: DataFrame, topic: str, vendor: str, vendors: list[str]) -> DataFrame:
     """Topic by vendor matrix of record counts; the vendor list is given, so no extra pass finds it."""
-    return records.groupBy(topic).pivot(vendor, vendors).agg(F.count("*")).fillna(0, subset=vendors)
+    return records.groupBy(topic).pivot(vendor, vendors).agg(F.count(F.lit(1))).fillna(0, subset=vendors)
 
 
 def field_statistics(data: DataFrame, fields: list[str], sample: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from confsieve.plans.registry import ORACLES, QUERIES
 
-AREAS = ["texts", "audits", "evidences", "fleets", "logs", "quality", "reviews"]
+AREAS = ["texts", "audits", "evidences", "fleets", "logs", "quality", "reviews", "fixes", "corpora", "streams"]
 
 
 def all_queries() -> tuple[dict, dict]:
