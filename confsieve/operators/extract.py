@@ -15,7 +15,7 @@ from confsieve.catalog import fields as field_catalog
 from confsieve.catalog import grammar as grammar_catalog
 from confsieve.functions.numbers import clamp, round_half_up
 from confsieve.functions.tables import computed, literal_map, literal_rows
-from confsieve.functions.text import numbered_lines
+from confsieve.functions.text import any_of, numbered_lines
 
 REVIEW_CONFIDENCE = 0.75
 NO_FACT_CONFIDENCE = 0.3
@@ -193,7 +193,7 @@ def unknown_lines(matched: DataFrame, keys: list[str], g: Grammar = Grammar()) -
     """Security-relevant lines no rule matched, one row each."""
     found = F.filter(
         "lines",
-        lambda x: x["rule_no"].isNull() & F.exists(F.lit(g.security_keywords), lambda k: F.contains(F.lower(x["raw"]), k)),
+        lambda x: x["rule_no"].isNull() & x["raw"].rlike(any_of(g.security_keywords)),
     )
     return matched.select(*keys, F.explode_outer(found).alias("u")).where(F.col("u").isNotNull()).select(*keys, F.col("u.line_no").alias("line_no"), F.col("u.raw").alias("raw"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from confsieve.catalog.review import CONTROL_KEYWORDS
 from confsieve.catalog.rules import RULES
 from confsieve.functions.numbers import clamp, round_half_up
-from confsieve.functions.tables import literal_map
-from confsieve.functions.text import flatten_markup, is_reviewable, resolution_key
+from confsieve.functions.tables import computed, literal_map
+from confsieve.functions.text import any_of, flatten_markup, is_reviewable, resolution_key
 from confsieve.operators.extract import Grammar, rule_number
 from confsieve.operators.latest import first_seen
 
@@ -20,21 +20,29 @@ HIGH, MEDIUM = 0.70, 0.45
 
 
 def control_of(text: Column, field_path: Column, rule_hint: Column, rules: list = RULES, keywords: list = CONTROL_KEYWORDS) -> Column:
-    """The control a directive is about: the hinted rule, else the rule of its field, else the first keyword row that fits."""
+    """The control a directive is about: the hinted rule, else the rule of its field, else the first keyword row that fits.
+
+    ``text`` is the directive with its markup flattened; as a column and not an expression, for it is read once per keyword row.
+    """
     ids = [r["id"] for r in rules]
     by_field: dict = {}
     for r in rules:
         by_field.setdefault(r["field_path"], r["id"])
-    haystack = F.lower(F.concat_ws(" ", flatten_markup(text), F.coalesce(field_path, F.lit(""))))
-    words = F.lit(None).cast("string")
+    haystack = F.concat(text, F.lit(" "), F.coalesce(field_path, F.lit("")))
     chain = None
-    for rule_id, any_of in keywords:
+    for rule_id, words in keywords:
         if rule_id not in ids:
             continue
-        hit = F.exists(F.lit(list(any_of)), lambda k: F.contains(haystack, k))
+        hit = haystack.rlike(any_of(words))
         chain = F.when(hit, rule_id) if chain is None else chain.when(hit, rule_id)
-    words = chain if chain is not None else words
-    return F.coalesce(F.when(rule_hint.isin(ids), rule_hint), F.try_element_at(literal_map(by_field), field_path), words, F.lit(UNMAPPED))
+    by_words = F.lit(None).cast("string") if chain is None else chain
+    return F.coalesce(F.when(rule_hint.isin(ids), rule_hint), F.try_element_at(literal_map(by_field), field_path), by_words, F.lit(UNMAPPED))
+
+
+def with_control(df: DataFrame, text: str, field_path: Column, rule_hint: Column, rules: list = RULES, keywords: list = CONTROL_KEYWORDS) -> DataFrame:
+    """Adds ``control``."""
+    flat = computed(df, _flat=flatten_markup(F.col(text)))
+    return computed(flat, control=control_of(F.col("_flat"), field_path, rule_hint, rules, keywords)).drop("_flat")
 
 
 def rule_attribute(control: Column, name: str, rules: list = RULES) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from confsieve.catalog.rules import RULES
 from confsieve.operators.extract import Grammar
 from confsieve.plans.registry import text
+from confsieve.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def configs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("config_id"),
         F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".conf")).alias("filename"),
         F.col("text").alias("raw_text"),

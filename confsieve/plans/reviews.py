@@ -48,7 +48,7 @@ CONTROL_SQL = "CASE WHEN line_no % 11 = 0 THEN 'DOC-PII-02' WHEN line_no % 13 =
 def mapped(u: DataFrame) -> DataFrame:
     hint = F.when(F.col("line_no") % 11 == 0, "DOC-PII-02")
     path = F.when(F.col("line_no") % 13 == 0, "content.license.name")
-    return u.withColumn("control", review.control_of(F.col("raw"), path, hint, DOC_RULES, WORDS))
+    return review.with_control(u, "raw", path, hint, DOC_RULES, WORDS)
 
 
 @query("knw04_control_mapping", f"WITH {UNKNOWN_SEQ_SQL} SELECT seq, {CONTROL_SQL} AS control FROM unk")
@@ -64,7 +64,7 @@ def control_keywords(spark: SparkSession, d: str) -> DataFrame:
     """The default keyword table over every line of every document."""
     lines = configs(spark, d).select(F.explode_outer(t.numbered_lines(F.col("raw_text"))).alias("l")).where("l IS NOT NULL")
     none = F.lit(None).cast("string")
-    return lines.select(review.control_of(F.col("l.raw"), none, none).alias("control")).groupBy("control").agg(F.count("*").alias("lines"))
+    return review.with_control(lines.select(F.col("l.raw").alias("raw")), "raw", none, none).groupBy("control").agg(F.count("*").alias("lines"))
 
 
 WEIGHTS_SQL = "weights AS (SELECT token, weight FROM (SELECT unnest(['menu', 'free', 'the', 'de', 'of', 'la']) AS token, unnest([0.9, 0.8, 0.6, 0.4, 0.3, 0.2]::DOUBLE[]) AS weight))"
