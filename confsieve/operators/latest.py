@@ -47,8 +47,10 @@ def previous_in_order(df: DataFrame, keys: list[str], order: str, payload: list[
     me = F.struct(order, *payload)
     if max_order < size:
         return df.withColumn("previous", F.lag(me).over(Window.partitionBy(*keys).orderBy(order)))
-    ranged = df.withColumn("_range", F.floor(F.col(order) / size).cast("bigint"))
-    inside = ranged.withColumn("_before", F.lag(me).over(Window.partitionBy(*keys, "_range").orderBy(order)))
-    last = ranged.groupBy(*keys, "_range").agg(F.max_by(me, order).alias("_last"))
-    carried = previous_in_order(last, keys, "_range", ["_last"], size, max_order // size).select(*keys, "_range", F.col("previous._last").alias("_carried"))
-    return inside.join(carried, [*keys, "_range"]).withColumn("previous", F.coalesce("_before", "_carried")).drop("_range", "_before", "_carried")
+    # Named after the order column, so that the levels do not get in each other's way.
+    part = f"{order}_range"
+    ranged = df.withColumn(part, F.floor(F.col(order) / size).cast("bigint"))
+    inside = ranged.withColumn("_before", F.lag(me).over(Window.partitionBy(*keys, part).orderBy(order)))
+    last = ranged.groupBy(*keys, part).agg(F.max_by(me, order).alias("_last"))
+    carried = previous_in_order(last, keys, part, ["_last"], size, max_order // size).select(*keys, part, F.col("previous._last").alias("_carried"))
+    return inside.join(carried, [*keys, part]).withColumn("previous", F.coalesce("_before", "_carried")).drop(part, "_before", "_carried")
