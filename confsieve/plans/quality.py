@@ -300,10 +300,14 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
         o = F.col("outcome")
         return r.agg(F.count_if(o == "wrong").alias("wrong"), de.ratio(F.count_if(o == "correct"), F.count_if(o != "abstained")).alias("precision"))
 
+    from confsieve.session import cut_lineage
+
     fam = {"french": "truth = 'fr'"}
-    before, after = results(spark, d), lower_floor(spark, d)
+    # Each run is read several times; only its narrow verdicts are kept.
+    before, after = (cut_lineage(r.select("config_id", "truth", "vendor", "outcome"), "run") for r in (results(spark, d), lower_floor(spark, d)))
+    turned_wrong = after.where("outcome = 'wrong'").select("config_id").join(before.where("outcome = 'abstained'").select("config_id"), "config_id", "left_semi")
     return de.regression_gate(
-        metrics(before), metrics(after), de.failure_families(before.where("outcome = 'wrong'"), fam), de.failure_families(after.where("outcome = 'wrong'"), fam), converted(spark, d), "french"
+        metrics(before), metrics(after), de.failure_families(before.where("outcome = 'wrong'"), fam), de.failure_families(after.where("outcome = 'wrong'"), fam), turned_wrong, "french"
     ).select("criterion")
 
 

@@ -127,10 +127,14 @@ q2 AS (SELECT queue.*, verdict, verdict IS NOT NULL AS resolved FROM queue LEFT
 
 
 def queued(spark: SparkSession, d: str) -> DataFrame:
-    u = unknown(spark, d).select("filename", "line_no", F.col("raw").alias("command"))
+    from confsieve.session import cut_lineage
+
+    # Both sources are read twice below; as lines they are small next to the texts.
+    u = cut_lineage(unknown(spark, d).select("filename", "line_no", F.col("raw").alias("command")), "unknown")
     gated = doc_findings(spark, d).where("status = 'fail' AND src_raw IS NOT NULL").select(
         "filename", F.col("src_line").alias("line_no"), F.col("src_raw").alias("command"), F.col("rule_id").alias("rule_hint"), F.col("field_path").alias("field_hint")
     )
+    gated = cut_lineage(gated, "gated")
     both = u.select("filename", "line_no", "command").unionByName(gated.select("filename", "line_no", "command")).where(t.is_reviewable(F.col("command")))
     keyed = both.withColumn("resolution_key", t.resolution_key(F.col("filename"), F.col("command"))).where("line_no % 2 = 0")
     verdicts = latest_per_key(keyed.select("resolution_key", "line_no", F.when(F.col("line_no") % 3 == 0, "PASS").otherwise("FAIL").alias("verdict"), F.lit("auditor").alias("reviewer")), ["resolution_key"], ["line_no"])
