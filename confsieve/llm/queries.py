@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import line_dedup
+from confsieve.llm import byte_bpe, length_counts, line_dedup, mixing
 from confsieve.llm.common import pick, read
+from confsieve.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,34 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """How many lines each document has and loses, and the digest of what stays."""
     kept = line_dedup.drop_shared_lines(pick(read(spark, folder, "documents"), "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _vocabulary() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """For each encoded length: the documents of that length, up to it and over it, and the tokens left were every text cut to it."""
+    counts = cut_lineage(length_counts.histogram(read(spark, folder, "documents"), *_vocabulary()), "lengths")
+    total = counts.agg(F.sum(F.col("n_tokens") * F.col("n_docs"))).first()[0] or 0
+    return length_counts.with_truncation(length_counts.suffix_sums(counts), total)
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """The number and digest of each document's token ids, and the digest of what they decode to."""
+    path, pattern = _vocabulary()
+    ids = byte_bpe.encode(pick(read(spark, folder, "documents"), "doc_id", "text"), path, pattern)
+    decoded = byte_bpe.decode(ids.select("doc_id", "ids"), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_source_mix")
+def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's size, its source's size and target, and the words the mix takes of it."""
+    mix = mixing.mix(read(spark, folder, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
