@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import byte_bpe, length_counts, line_dedup, mixing
+from confsieve.llm import byte_bpe, length_counts, line_dedup, mixing, simhash
 from confsieve.llm.common import pick, read
 from confsieve.session import cut_lineage
 
@@ -78,3 +78,10 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's size, its source's size and target, and the words the mix takes of it."""
     mix = mixing.mix(read(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op4_simhash_groups")
+def op4_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's fingerprint and the smallest document it is linked to, directly or through others."""
+    groups = simhash.near_duplicates(read(spark, folder, "documents"))
+    return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
