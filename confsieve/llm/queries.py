@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import byte_bpe, length_counts, line_dedup, mixing, simhash
+from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, mixing, simhash, toxicity
 from confsieve.llm.common import pick, read
 from confsieve.session import cut_lineage
 
@@ -85,3 +85,19 @@ def op4_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's fingerprint and the smallest document it is linked to, directly or through others."""
     groups = simhash.near_duplicates(read(spark, folder, "documents"))
     return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document as its words and letters tell it."""
+    docs = read(spark, folder, "documents")
+    predicted = langid.predict(pick(docs, "doc_id", "text"), langid.fit(docs))
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """How likely each document is toxic."""
+    docs = read(spark, folder, "documents")
+    scored = toxicity.score(pick(docs, "doc_id", "text"), toxicity.fit(docs, read(spark, folder, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
