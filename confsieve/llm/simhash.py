@@ -24,11 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from confsieve.llm.common import map_texts, pick, same, without
+from confsieve.llm.common import map_texts, pick, without
 from confsieve.llm.components import components
 from confsieve.session import cut_lineage
 
@@ -280,7 +280,10 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id. Documents without an id stay when their group has no other."""
-    groups = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("__group")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(groups, same(F.col("doc_id"), F.col("__doc"))).filter(same(F.col("doc_id"), F.col("__group")))
-    return without(joined.dropDuplicates(["doc_id"]), "__doc", "__group")
+    """``docs`` with one document of each group, the one with the smallest id. Of rows that share that id one stays, with the smallest
+    hash of its text. Documents without an id cannot be named by a group and all stay."""
+    groups = near_duplicates(docs)
+    keepers = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__doc")).distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = docs.join(keepers, docs["doc_id"] == keepers["__doc"], "left_semi").withColumn("__rank", rank).filter("__rank = 1")
+    return without(kept, "__rank").unionByName(docs.filter(F.col("doc_id").isNull()))
