@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, mixing, simhash, toxicity
+from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, minhash, mixing, simhash, toxicity
 from confsieve.llm.common import pick, read
 from confsieve.session import cut_lineage
 
@@ -101,3 +101,14 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     scored = toxicity.score(pick(docs, "doc_id", "text"), toxicity.fit(docs, read(spark, folder, "labels")))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and how near it is to the edited text and to the next document."""
+    prints = minhash.edited(read(spark, folder, "documents"))
+    return prints.select(
+        "doc_id", "n_chars", F.sha2("text_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
