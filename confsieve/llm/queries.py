@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, minhash, mixing, simhash, toxicity
+from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, minhash, mixing, simhash, topk, toxicity
 from confsieve.llm.common import pick, read
 from confsieve.session import cut_lineage
 
@@ -112,3 +112,21 @@ def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+) WHERE rank <= 10
+"""
+
+
+@query("op9_top_k", OP9_SQL)
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best matches of every hundredth vector among all others."""
+    return topk.top_k(read(spark, folder, "embeddings"))
