@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, minhash, mixing, simhash, topk, toxicity
+from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, lm_score, minhash, mixing, simhash, topk, toxicity
 from confsieve.llm.common import pick, read
 from confsieve.session import cut_lineage
 
@@ -130,3 +130,10 @@ SELECT query_id, rank, vec_id, score FROM (
 def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best matches of every hundredth vector among all others."""
     return topk.top_k(read(spark, folder, "embeddings"))
+
+
+@query("op3_lm_scores")
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The log probability of each document's words, each given the words on both sides of it."""
+    docs = read(spark, folder, "documents")
+    return lm_score.score(pick(docs, "doc_id", "text"), *lm_score.fit(docs)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
