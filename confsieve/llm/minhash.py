@@ -18,7 +18,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confsieve.llm.common import SPACE, pick, same
+from confsieve.llm.common import SPACE, pick
 from confsieve.session import cut_lineage
 
 SHINGLE, BIN_BITS, KEPT_BITS = 5, 8, 4
@@ -70,52 +70,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (agree - chance) / (1 - chance)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, digest, fingerprint): n_chars in code points, digest a hash of the text that tells rows of one id apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = pick(docs, "doc_id", "text").select("doc_id", F.length(text).cast("long").alias("n_chars"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    hashed = held(narrow, "__words", word_hashes(F.col("text"))).drop("text")
-    return add_fingerprint(hashed, "__words", "fingerprint")
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
+    """``docs`` with the fingerprint of a text column."""
+    return add_fingerprint(held(docs, "__words", word_hashes(F.col(text))), "__words", name)
 
 
-def following(prints: DataFrame) -> DataFrame:
-    """(doc_id, most, own, next): for each id the next one in ascending order, the first after the last; null ids come first.
+def following(docs: DataFrame) -> DataFrame:
+    """(doc_id, most, next): for each id the next one in ascending order, the first after the last; null ids come first.
 
-    ``most`` is the largest n_chars of the id's rows, ``own`` their (digest, fingerprint), ``next`` (id, digest, fingerprint) of the next
-    document; of rows that share an id, the one with the smallest digest. Ids are dealt to ranges, and only the first of each range leaves it.
+    ``most`` is the largest number of code points of the id's texts, ``next`` (id, digest) of the next document; of rows that share an id, the
+    one with the smallest digest. Ids are dealt to ranges, and only the first of each range leaves it. Nothing but numbers is moved.
     """
-    spark = prints.sparkSession
-    print_ = F.struct("digest", "fingerprint")
-    by_id = prints.groupBy("doc_id").agg(F.max("n_chars").alias("most"), F.collect_set(print_).alias("own"), F.min(print_).alias("first"))
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text"), F.lit(""))
+    narrow = pick(docs, "doc_id", "text").select("doc_id", F.length(text).alias("n_chars"), F.xxhash64(text).alias("digest"))
+    by_id = narrow.groupBy("doc_id").agg(F.max("n_chars").alias("most"), F.min("digest").alias("digest"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = by_id.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).withColumn("span", F.spark_partition_id())
     ranged = cut_lineage(ranged, "fingerprint-ranges")
-    entry = F.struct("doc_id", "first.digest", "first.fingerprint")
+    entry = F.struct("doc_id", "digest")
     heads = ranged.groupBy("span").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", entry.alias("entry")))["entry"].alias("head"))
     # A row for each range: as many as there are partitions.
     in_line = Window.orderBy("span")
     heads = heads.select("span", F.coalesce(F.lead("head").over(in_line), F.first("head").over(in_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     inside = F.lead(entry).over(Window.partitionBy("span").orderBy(F.col("doc_id").asc_nulls_first()))
-    return ranged.withColumn("inside", inside).join(heads, "span").select("doc_id", "most", "own", F.coalesce("inside", "after").alias("next"))
+    return ranged.withColumn("inside", inside).join(heads, "span").select("doc_id", "most", F.coalesce("inside", "after").alias("next"))
+
+
+def _keyed(df: DataFrame, id_: str, name: str) -> DataFrame:
+    """Adds the id as two columns without nulls, by which tables are joined and grouped alike, so that one shuffle serves both."""
+    kind = df.schema[id_].dataType
+    return df.withColumns({name: F.coalesce(F.col(id_), F.lit(0).cast(kind)), f"{name}_null": F.col(id_).isNull()})
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs``: its text with the last quarter replaced by the beginning of the next document's, and fingerprints.
 
-    (doc_id, n_chars, text_edited, fingerprint, next_fingerprint, edited_fingerprint). Texts are shuffled once, by id; beginnings of at most a
-    quarter of the receiving text go to the document before.
+    (doc_id, n_chars, text_edited, fingerprint, next_fingerprint, edited_fingerprint). Texts are shuffled once, by id, with the fingerprints
+    made before; both joins read that shuffle. Beginnings of at most a quarter of the receiving text go to the document before.
     """
-    prints = cut_lineage(fingerprints(docs), "fingerprints")
-    links = following(prints).select(F.col("doc_id").alias("to_id"), F.floor(F.col("most") / 4).cast("int").alias("most"), "own", "next.*").withColumnRenamed("doc_id", "from_id")
-    links = cut_lineage(links.withColumnsRenamed({"digest": "from_digest", "fingerprint": "from_print"}), "fingerprint-links")
-    texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The difference, not an equality: the digest is to be tested after the join by id, not to become a key of it.
+    links = following(docs).select(F.col("doc_id").alias("to_id"), F.floor(F.col("most") / 4).cast("int").alias("most"), F.col("next.doc_id").alias("from_id"), F.col("next.digest").alias("from_digest"))
+    links = cut_lineage(_keyed(_keyed(links, "to_id", "to"), "from_id", "at").drop("to_id", "from_id"), "fingerprint-links")
+    texts = _keyed(pick(docs, "doc_id", "text"), "doc_id", "at").select("at", "at_null", F.coalesce("text", F.lit("")).alias("text"))
+    texts = fingerprints(texts)
+    # A difference, not an equality: the digest is to be tested after the join by id, not to become a key of it.
     is_it = (F.xxhash64("text").bitwiseXOR(F.col("from_digest"))) == 0
-    given = texts.join(links, same(F.col("doc_id"), F.col("from_id")) & is_it).select("to_id", "own", "from_print", F.substring("text", F.lit(1), F.col("most")).alias("begin"))
-    given = given.groupBy("to_id").agg(F.first("own").alias("own"), F.first("from_print").alias("next_fingerprint"), F.first("begin").alias("begin"))
+    given = texts.join(links, ["at", "at_null"]).filter(is_it).select(F.col("to").alias("at"), F.col("to_null").alias("at_null"), F.col("fingerprint").alias("next_fingerprint"), F.substring("text", F.lit(1), F.col("most")).alias("begin"))
+    given = given.groupBy("at", "at_null").agg(F.first("next_fingerprint").alias("next_fingerprint"), F.first("begin").alias("begin"))
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     text = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("begin", F.lit(1), quarter))
-    own = F.get(F.filter("own", lambda x: x["digest"] == F.xxhash64("text")), F.lit(0))["fingerprint"]
-    joined = texts.join(given, same(F.col("doc_id"), F.col("to_id"))).select("doc_id", n.cast("long").alias("n_chars"), own.alias("fingerprint"), "next_fingerprint", text.alias("text_edited"))
-    hashed = held(joined, "__words", word_hashes(F.col("text_edited")))
-    return add_fingerprint(hashed, "__words", "edited_fingerprint")
+    doc_id = F.when(~F.col("at_null"), F.col("at")).alias("doc_id")
+    joined = texts.join(given, ["at", "at_null"]).select(doc_id, n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", text.alias("text_edited"))
+    return fingerprints(joined, "text_edited", "edited_fingerprint")

@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 from confsieve.llm.common import extended, map_texts, pick, with_columns, without
 from confsieve.llm.subwords import WordTable, bounded_sample, held_out, ngrams, windows
 
-SAMPLE, SAMPLE_BYTES, THRESHOLD = 2500, 24 << 20, 0.3
+SAMPLE, SAMPLE_BYTES, THRESHOLD = 2500, 16 << 20, 0.3
 BUCKETS, DIM, SHORT, LONG = 1 << 17, 8, 3, 5
 WINDOW, STEP, EPOCHS, GROUPS, RATE = 8, 4, 16, 12, 0.5
 #: Marks stripped from the ends of a word before its features are taken.
@@ -39,7 +39,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word number), sorted by word."""
     hashes, owner, _ = ngrams([w.lower().strip(MARKS) for w in words], SHORT, LONG, whole=True)
     order = np.argsort(owner, kind="stable")
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64)[order], owner[order]
+    return (hashes % np.uint64(BUCKETS)).astype(np.int32)[order], owner[order].astype(np.int32)
 
 
 @dataclass
@@ -84,12 +84,17 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
         level = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 0.0, 0.0, np.log(level / (1 - level)) if level else -np.inf, level)
     table: dict[str, int] = {}
-    split = [(t or b"").decode().split() for t in texts]
-    numbers = [np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, len(words)) for words in split]
+    numbers = []
+    for text in texts:
+        own = (text or b"").decode().split()
+        numbers.append(np.fromiter((table.setdefault(w, len(table)) for w in own), np.int32, len(own)))
     words = list(table)
-    bucket, owner = features(words)
-    first = np.searchsorted(owner, np.arange(len(words) + 1))
-    size = np.diff(first)
+    del table
+    parts = [features(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
+    size = np.concatenate([np.zeros(0, np.int64), *[np.bincount(owner, minlength=min(20_000, len(words) - 20_000 * i)) for i, (_, owner) in enumerate(parts)]])
+    bucket = np.concatenate([np.zeros(0, np.int32), *[b for b, _ in parts]])
+    del parts, words
+    first = np.cumsum(size) - size
     embed = np.zeros((BUCKETS, DIM), np.float32)  # from nothing, so that features never seen say nothing
     heads = rng.standard_normal((DIM, 2))
     embed_sq, heads_sq, bias, bias_sq = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.array([2.0, -2.0]), np.full(2, 1.0)
