@@ -6,8 +6,8 @@ by their mean log frequency; single characters come last. A text's evidence is t
 the share of the best language after a softmax over the evidence divided by the root of the number of words, as neighbouring words are
 not independent witnesses.
 
-Learned from at most about ``SAMPLE`` documents of each language that are not held out. Words are counted where the texts lie; the driver gets
-the counts. Words seen once teach n-grams only.
+Learned from at most about ``SAMPLE`` documents of each language that are not held out. Words and n-grams are counted where the texts lie; the
+driver gets the ``KEPT`` most frequent words and n-grams of each length, and nothing else. Words seen once teach n-grams only.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text where nothing could be learned. A null lang
 teaches nothing. Ties go to the first language by code point. Result columns replace input columns of their name.
@@ -26,9 +26,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from confsieve.llm.common import extended, map_texts, pick, slices, with_columns, without
 from confsieve.llm.subwords import WordTable, bounded_sample, held_out, ngrams
+from confsieve.session import cut_lineage
 
-#: Documents of a language in the sample; n-gram lengths; sightings from which a word or an n-gram is known; n-grams kept of each length.
-SAMPLE, LONGEST, WORD_MIN, GRAM_MIN, GRAMS = 2000, 5, 2, 3, 120_000
+#: Documents of a language in the sample; the longest n-grams; sightings from which a word or an n-gram is known; words, and n-grams of each length, kept.
+SAMPLE, LONGEST, WORD_MIN, GRAM_MIN, KEPT = 2000, 5, 2, 3, 120_000
 UNKNOWN = "und"
 
 
@@ -79,40 +80,13 @@ class Model:
         return out
 
 
-def learn(rows: list[tuple[str, str, int]]) -> Model:
-    """A model from (lang, word, n) counts."""
-    langs = sorted({r[0] for r in rows}, key=lambda x: x.encode())
-    number = {lang: i for i, lang in enumerate(langs)}
-    places: dict[str, int] = {}
-    at = np.array([places.setdefault(r[1], len(places)) for r in rows], np.int64)
-    counts = np.zeros((len(places), len(langs)))
-    np.add.at(counts, (at, [number[r[0]] for r in rows]), [r[2] for r in rows])
-    words = list(places)
-
-    def logs(table: np.ndarray) -> np.ndarray:
-        total = table.sum(axis=0)
-        return np.log((table + 0.5) / (total + 0.5 * max(len(table), 1)))
-
-    often = np.flatnonzero(counts.sum(axis=1) >= WORD_MIN)
-    known = {words[i]: k for k, i in enumerate(often)}
-    hashes, owner, order = ngrams(words, 1, LONGEST)
-    grams = []
-    for n in range(1, LONGEST + 1):
-        keys, where = np.unique(hashes[order == n], return_inverse=True)
-        table = np.stack([np.bincount(where, counts[owner[order == n], k], len(keys)) for k in range(len(langs))], axis=1) if len(langs) else np.zeros((len(keys), 0))
-        total = table.sum(axis=1)
-        # Rare n-grams say little; of the others the most frequent are kept. Single characters all stay, so that every known alphabet speaks.
-        keep = np.flatnonzero(total >= (GRAM_MIN if n > 1 else 1))
-        keep = np.sort(keep[np.lexsort((keys[keep], -total[keep]))[:GRAMS]])
-        grams.append((keys[keep], logs(table[keep])))
-    return Model(langs, known, logs(counts[often]), grams)
+def _logs(table: np.ndarray) -> np.ndarray:
+    """Log frequencies by language with half a sighting added."""
+    return np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(len(table), 1)))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from the documents with a language that are not held out."""
-    rows = pick(docs, "doc_id", "text", "lang")
-    known = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen, _ = bounded_sample(known, "lang", sample)
+def count_words(rows: DataFrame) -> DataFrame:
+    """(lang, word, n) from (lang, text)."""
 
     def count(batches):
         totals: dict[str, Counter] = {}
@@ -126,8 +100,56 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             cleaned.pop("", None)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cleaned), pa.string()), pa.array(list(cleaned), pa.string()), pa.array(list(cleaned.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return learn(sorted((r[0], r[1], r[2]) for r in counted.toLocalIterator()))
+    return rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def count_grams(words: DataFrame, columns: list[str]) -> DataFrame:
+    """(length, gram, one count for each language) from (word, the same counts); ``gram`` is a hash."""
+
+    def count(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(at, 5_000)
+                hashes, owner, order = ngrams(batch.column(0).to_pylist(), 1, LONGEST)
+                own = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+                for n in range(1, LONGEST + 1):
+                    keys, where = np.unique(hashes[order == n], return_inverse=True)
+                    sums = [np.bincount(where, own[owner[order == n], k], len(keys)).astype(np.int64) for k in range(len(columns))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), *map(pa.array, sums)], names=["length", "gram", *columns])
+
+    schema = ", ".join(["length int, gram long", *[f"{c} long" for c in columns]])
+    return words.select("word", *columns).mapInArrow(count, schema).groupBy("length", "gram").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learns from the documents with a language that are not held out."""
+    rows = pick(docs, "doc_id", "text", "lang")
+    known = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen, share = bounded_sample(known, "lang", sample)
+    langs = sorted(share, key=lambda x: x.encode())
+    if not langs:
+        return Model([], {}, np.zeros((0, 0)), [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * LONGEST)
+    columns = [f"n{i}" for i in range(len(langs))]
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    by_word = count_words(chosen).groupBy("word").agg(*[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(c) for lang, c in zip(langs, columns)])
+    by_word = cut_lineage(by_word, "lang-words")
+    grams = cut_lineage(count_grams(by_word, columns), "lang-grams")
+
+    def most(table: DataFrame, key: str, at_least: int):
+        """The most frequent rows, bounded: their keys and counts."""
+        got = table.filter(total >= at_least).orderBy(total.desc(), key).limit(KEPT).select(key, *columns).toArrow()
+        counts = [got.column(c).to_numpy() for c in columns]
+        return got.column(key), np.stack(counts, axis=1).astype(np.float64) if len(got) else np.zeros((0, len(columns)))
+
+    words, counts = most(by_word, "word", WORD_MIN)
+    tables = []
+    for n in range(1, LONGEST + 1):
+        # Of single characters all are known, so that every alphabet seen speaks.
+        keys, table = most(grams.filter(F.col("length") == n), "gram", GRAM_MIN if n > 1 else 1)
+        keys = np.ascontiguousarray(keys.to_numpy()).view(np.uint64) if len(keys) else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        tables.append((keys[order], _logs(table)[order]))
+    return Model(langs, {w: i for i, w in enumerate(words.to_pylist())}, _logs(counts), tables)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
