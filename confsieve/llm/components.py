@@ -9,7 +9,7 @@ from confsieve.session import cut_lineage
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node of a link between two different nodes; root is the smallest node of its component.
+    """(node, root) for every linked node but the roots; the root is the smallest node of its component.
 
     Each round hangs neighbours on the smallest node near them; their number is logarithmic in the size of a component. A node with
     many links is never gathered: minima are aggregates, and they meet the links in a join of two written tables, which can be split.

@@ -75,7 +75,9 @@ def rates(classes: DataFrame, goals: DataFrame, max_copies: int = MAX_COPIES) ->
         z = F.col("size") / F.col("scale")
         rate = F.least(F.lit(float(max_copies)), F.exp(F.col("lam") * z))
         words = F.col("size") * F.col("n") * rate
-        sums = classes.join(state, "src").groupBy("src").agg(F.sum(words).alias("words"), F.sum(F.when(rate < max_copies, words * z).otherwise(0.0)).alias("slope"))
+        # Decimals add up to the same in any order, so reruns agree to the last digit.
+        exact = lambda x: F.sum(x.cast("decimal(28,9)")).cast("double")
+        sums = classes.join(state, "src").groupBy("src").agg(exact(words).alias("words"), exact(F.when(rate < max_copies, words * z).otherwise(0.0)).alias("slope"))
         gap = F.col("words") - F.col("target")
         low, high = F.when(gap < 0, F.col("lam")).otherwise(F.col("low")), F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))
         newton = F.col("lam") - gap / F.col("slope")

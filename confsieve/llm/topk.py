@@ -171,7 +171,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, vector: str = "embed
     vectors = cut_lineage(integers(table, vector), "vectors-even")
     spark = table.sparkSession
     pivots = [r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("v").collect()]
-    sent = spark.sparkContext.broadcast(np.array(pivots, np.float64).reshape(len(pivots), -1))
+    sent = spark.sparkContext.broadcast(np.array(pivots, np.float64))
 
     def celled(batches):
         at = sent.value
@@ -186,7 +186,7 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, vector: str = "embed
     parts = F.element_at(F.array(*[F.lit(-(-sizes.get(c, 1) // block)) for c in range(max(len(pivots), 1))]), (F.col("cell") + 1).cast("int"))
     dealt = dealt.withColumn("block", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), parts))
 
-    def build(key, group: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         data, queries = indexed(group["vec_id"].to_numpy(np.int64), matrix(group["v"]), every, k)
         return pd.DataFrame({"block": [key[0]], "data": [pickle.dumps(data)], "queries": [pickle.dumps(queries) if queries else None], "n_queries": [len(queries["ids"]) if queries else 0]})
 

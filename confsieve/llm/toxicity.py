@@ -81,8 +81,7 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
     """Joint gradient steps (Adagrad) on embeddings and softmax weights, then the logistic scale."""
     y, rng = np.array(toxic, np.float64), np.random.default_rng(seed)
     if len(set(toxic)) < 2:
-        level = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, np.log(level / (1 - level)) if level else -np.inf, level)
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0, float(y.mean()) if len(y) else 0.0)
     table: dict[str, int] = {}
     numbers = []
     for text in texts:
@@ -115,9 +114,12 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
         new = fresh(where, counts)
         return own, new, *worst_windows(where, counts, rows, new)
 
+    # A fifth of the sample is kept from the steps and sets the scale, so that it is not fitted to texts learned by heart.
+    kept = np.arange(len(texts)) % 5 == 4 if len(set(y[4::5])) == 2 and len(set(np.delete(y, np.s_[4::5]))) == 2 else np.zeros(len(texts), bool)
+    taught = np.flatnonzero(~kept)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for some in np.array_split(rng.permutation(len(texts)), GROUPS):
+        for some in np.array_split(rng.permutation(taught), GROUPS):
             own, new, mean, start, end = judged(some)
             n = end - start
             at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -141,7 +143,7 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
             bias_sq += error.sum(axis=0) ** 2
             bias -= 0.1 * rate * error.sum(axis=0) / np.sqrt(bias_sq)
     worst = np.concatenate([judged(some)[2] for some in np.array_split(np.arange(len(texts)), GROUPS)]) + bias[1] - bias[0]
-    spoken = np.array([len(n) > 0 for n in numbers])
+    spoken = np.array([len(n) > 0 for n in numbers]) & (kept if kept.any() else True)
     scale, shift = logistic(worst[spoken], y[spoken]) if spoken.any() else (0.0, 0.0)
     shift -= np.log(share.get(1, 1.0) / share.get(0, 1.0))
     n1, n0 = y.sum() / share.get(1, 1.0), (len(y) - y.sum()) / share.get(0, 1.0)
@@ -203,7 +205,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         mean, _, _ = worst_windows(numbers, counts, table.results(), fresh(numbers, counts))
         table.tidy()
         z = (mean + model.bias) * model.scale + model.shift
-        p = np.where(counts > 0, 1 / (1 + np.exp(-np.clip(z, -700, 700))), model.base)
+        p = np.where((counts > 0) & (model.scale != 0), 1 / (1 + np.exp(-np.clip(z, -700, 700))), model.base)
         return with_columns(batch, score=pa.array(p, pa.float64()), predicted=pa.array((p >= threshold).astype(np.int32)))
 
     return map_texts(docs, extended(docs, StructField("score", DoubleType()), StructField("predicted", IntegerType())), run)
