@@ -167,9 +167,18 @@ def posteriors(evidence: DataFrame, key: str, seq: str, supports: Column, weight
     return out.select(key, "events", F.col("state").alias("posterior"), status.alias("status"))
 
 
+def _rounds_to_rest(factor_percent: int, floor: int) -> int:
+    """Rounds after which even full confidence stays where it is."""
+    value, rounds = SCALE, 0
+    while (after := max(floor, (value * factor_percent + 50) // 100)) != value:
+        value, rounds = after, rounds + 1
+    return rounds
+
+
 def decay(confidence: Column, passes: Column, factor_percent: int = 85, floor: int = 500) -> Column:
-    """``passes`` rounds of confidence * factor, four digits each, never below the floor; rounds after the floor change nothing."""
-    start = F.round(confidence * SCALE).cast("bigint")
-    rounds = F.least(passes.cast("int"), F.lit(60))
+    """``passes`` rounds of confidence * factor, four digits each, never below the floor. Rounds after the value has come to rest are left out."""
+    start, rounds = F.round(confidence * SCALE).cast("bigint"), passes.cast("int")
+    if factor_percent < 100:
+        rounds = F.least(rounds, F.lit(_rounds_to_rest(factor_percent, floor)))
     steps = F.when(rounds > 0, F.sequence(F.lit(1), rounds)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, start, lambda acc, _: F.greatest(F.lit(floor).cast("bigint"), F.floor((acc * factor_percent + 50) / 100).cast("bigint"))).cast("double") / SCALE

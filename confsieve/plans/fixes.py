@@ -241,9 +241,9 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
     return rem.run_outcomes(findings(spark, d).withColumn("run_status", s), "run_status")
 
 
-@query("srt07_recent_runs", f"WITH {ORDERS_SQL} SELECT seq, device_id, status FROM findings WHERE status = 'fail' ORDER BY seq DESC LIMIT 40")
+@query("srt07_recent_runs", f"WITH {ORDERS_SQL} SELECT seq, device_id, status FROM findings WHERE status = 'fail'")
 def recent_runs(spark: SparkSession, d: str) -> DataFrame:
-    return findings(spark, d).where("status = 'fail'").select("seq", "device_id", "status").orderBy(F.desc("seq")).limit(40)
+    return findings(spark, d).where("status = 'fail'").select("seq", "device_id", "status").orderBy(F.desc("seq"))
 
 
 # ---- reports ------------------------------------------------------------------------------------------------------------------------------------

@@ -284,11 +284,11 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
     return gov.propose(v, p, FIELDS).select("rule_id", "version", "operator", "expected", "outcome")
 
 
-APPROVALS_SQL = f"{EVENTS_SQL}, states AS (SELECT user_id AS rule_id, k % 7 AS version, count(DISTINCT event_type) AS reviewers, count(*) - count(DISTINCT event_type) AS repeats, CASE WHEN count(DISTINCT event_type) >= 2 THEN 'APPROVED' ELSE 'APPROVED_BY_ONE' END AS status FROM ev WHERE k < 30 GROUP BY 1, 2)"
+APPROVALS_SQL = f"{EVENTS_SQL}, states AS (SELECT user_id AS rule_id, k % 7 AS version, count(DISTINCT event_type) AS reviewers, count(*) - count(DISTINCT event_type) AS repeats, CASE WHEN count(DISTINCT event_type) >= 2 THEN 'APPROVED' ELSE 'APPROVED_BY_ONE' END AS status FROM ev GROUP BY 1, 2)"
 
 
 def approvals(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("k < 30").select(F.col("user_id").alias("rule_id"), (F.col("k") % 7).alias("version"), F.col("event_type").alias("reviewer"))
+    e = events(spark, d).select(F.col("user_id").alias("rule_id"), (F.col("k") % 7).alias("version"), F.col("event_type").alias("reviewer"))
     return gov.approval_state(e, ["rule_id", "version"])
 
 
@@ -420,9 +420,9 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
     return ledger.merge_ledgers(h.where("event_id % 3 = 0"), h.where("event_id % 3 <> 0"))
 
 
-@query("srt02_ledger_order", f"WITH {EVENTS_SQL} SELECT event_id, ts_us FROM ev ORDER BY ts_us DESC, event_id DESC LIMIT 50")
+@query("srt02_ledger_order", f"WITH {EVENTS_SQL} SELECT event_id, ts_us FROM ev")
 def ordered(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", "ts_us").orderBy(F.desc("ts_us"), F.desc("event_id")).limit(50)
+    return events(spark, d).select("event_id", "ts_us").orderBy(F.desc("ts_us"), F.desc("event_id"))
 
 
 @query("set03_stored_minus_current", "SELECT DISTINCT user_id, event_type FROM events WHERE value > 10 EXCEPT SELECT user_id, event_type FROM events WHERE value > 60")

@@ -52,7 +52,7 @@ def _when(cases: list, default: str) -> str:
 
 HOST_SQL = "coalesce(" + ", ".join(f"nullif(trim(regexp_extract(raw_text, {text(p)}, 1), '\"''; ' || chr(9)), '')" for p in C.hostname_patterns) + ")"
 CAPS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_rx('raw_text', p)} THEN '{n}' END" for n, p in sorted(CAPS)) + "], lambda x: x IS NOT NULL)"
-MODEL_SQL = "coalesce(" + _when([(_rx("hostname", m[0]), str(i)) for i, m in enumerate(C.models)], "NULL") + ", " + _when([(_rx("raw_text[1:4000]", m[0]), str(i)) for i, m in enumerate(C.models)], "NULL") + ")"
+MODEL_SQL = "coalesce(" + _when([(_rx("hostname", m[0]), str(i)) for i, m in enumerate(C.models)], "NULL") + ", " + _when([(_rx("raw_text", m[0]), str(i)) for i, m in enumerate(C.models)], "NULL") + ")"
 
 
 def _has(name: str) -> str:
@@ -63,7 +63,7 @@ _POLICY, _WIRELESS, _IOT = "device_class IN ('firewall', 'security_appliance')",
 _WIRED = f"NOT ({_POLICY}) AND NOT ({_WIRELESS}) AND NOT ({_IOT}) AND device_class <> 'iot_controller'"
 _PEER = _rx("raw_text", C.external_peer)
 ROLES = [
-    (f"{_has('VXLAN_EVPN')} AND {_rx('coalesce(hostname, {0}) || {1} || raw_text[1:2000]'.format(chr(39) * 2, text(' ')), C.spine)}", "dc_spine", 0.80),
+    (f"{_has('VXLAN_EVPN')} AND {_rx('coalesce(hostname, {0}) || {1} || raw_text'.format(chr(39) * 2, text(' ')), C.spine)}", "dc_spine", 0.80),
     (_has("VXLAN_EVPN"), "dc_leaf", 0.80),
     (f"{_POLICY} AND ({_has('NAT')} OR {_rx('raw_text', C.outside)})", "perimeter", 0.75),
     (_POLICY, "segmentation", 0.60),
@@ -159,11 +159,11 @@ def full_profiles(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "agg07_profile_summary",
     f"""WITH {PROFILE_SQL}, x AS (SELECT 'device_class' AS facet, device_class AS value FROM profiles UNION ALL SELECT 'network_role', network_role FROM profiles UNION ALL SELECT 'total', 'all' FROM profiles UNION ALL SELECT 'ambiguous', 'yes' FROM profiles WHERE device_class = 'unknown'),
-k AS (SELECT 'capability' AS facet, unnest(caps) AS value FROM profiles), top AS (SELECT facet, value, count(*) AS devices FROM k GROUP BY ALL ORDER BY devices DESC, value LIMIT 5)
+k AS (SELECT 'capability' AS facet, unnest(caps) AS value FROM profiles), top AS (SELECT facet, value, count(*) AS devices FROM k GROUP BY ALL ORDER BY devices DESC, value LIMIT 15)
 SELECT facet, value, count(*) AS devices FROM x GROUP BY ALL UNION ALL SELECT * FROM top""",
 )
 def profile_summary(spark: SparkSession, d: str) -> DataFrame:
-    return pr.profile_summary(profiles(spark, d), 5)
+    return pr.profile_summary(profiles(spark, d))
 
 
 # ---- labels against results ---------------------------------------------------------------------------------------------------------------

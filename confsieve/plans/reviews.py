@@ -17,16 +17,19 @@ from confsieve.plans.adapters import (
 from confsieve.plans.audits import doc_findings, matched
 from confsieve.plans.registry import half_up, query, text
 
+#: No text has so many lines: Spark's strings end at 2**31 bytes. No conversation may have more turns than TURNS_APART; it is checked.
+LINES_APART, TURNS_APART = 1 << 32, 1 << 20
+
 KEY_SQL = "lower(trim(regexp_replace({c}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' '))"
 
 
 def unknown(spark: SparkSession, d: str) -> DataFrame:
     """Unknown lines with a distinct arrival number: configuration first, then line."""
     u = x.unknown_lines(matched(spark, d), ["config_id", "filename", "vendor", "vendor_confidence"], DOC_GRAMMAR)
-    return u.withColumn("seq", F.col("config_id") * 100000 + F.col("line_no"))
+    return u.withColumn("seq", F.col("config_id") * LINES_APART + F.col("line_no"))
 
 
-UNKNOWN_SEQ_SQL = f"{DOC_FACTS_SQL}, {UNKNOWN_SQL}, unk AS (SELECT *, config_id * 100000 + line_no AS seq FROM unknowns)"
+UNKNOWN_SEQ_SQL = f"{DOC_FACTS_SQL}, {UNKNOWN_SQL}, unk AS (SELECT *, config_id * {LINES_APART} + line_no AS seq FROM unknowns)"
 
 
 @query("win06_first_seen_directives", f"WITH {LINES_SQL}, k AS (SELECT config_id, line_no, {KEY_SQL.format(c='raw')} AS key FROM lines) SELECT config_id, md5(key) AS key_md5, min(line_no) AS line_no FROM k GROUP BY config_id, key")
@@ -156,10 +159,10 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
     return review.queue_totals(queued(spark, d))
 
 
-@query("srt01_files_by_pending", f"WITH {QUEUE_SQL} SELECT filename, count(*) FILTER (WHERE NOT resolved) AS pending FROM q2 GROUP BY filename ORDER BY pending DESC, filename LIMIT 30")
+@query("srt01_files_by_pending", f"WITH {QUEUE_SQL} SELECT filename, count(*) FILTER (WHERE NOT resolved) AS pending FROM q2 GROUP BY filename")
 def busiest(spark: SparkSession, d: str) -> DataFrame:
     per_file = queued(spark, d).groupBy("filename").agg(F.count_if(~F.col("resolved")).alias("pending"))
-    return per_file.orderBy(F.desc("pending"), "filename").limit(30)
+    return per_file.orderBy(F.desc("pending"), "filename")
 
 
 @query("srt05_first_unknown_lines", f"WITH {UNKNOWN_SEQ_SQL} SELECT seq, filename, line_no FROM unk ORDER BY seq LIMIT 6")
@@ -262,9 +265,9 @@ def fan_out(spark: SparkSession, d: str) -> DataFrame:
 # ---- knowledge ------------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("knw01_vendor_entries", "SELECT item_id % 4 AS vendor_no, count(*) AS entries FROM benchmark WHERE length(text) >= 5 GROUP BY 1")
+@query("knw01_vendor_entries", "SELECT item_id % 4 AS vendor_no, count(*) AS entries FROM benchmark GROUP BY 1")
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    kb = table(spark, d, "benchmark").where(F.length("text") >= 5)
+    kb = table(spark, d, "benchmark")
     return kb.groupBy((F.col("item_id") % 4).alias("vendor_no")).agg(F.count("*").alias("entries"))
 
 
@@ -284,13 +287,14 @@ def seeded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "win08_directive_weights",
-    """WITH v AS (SELECT conv_id * 1000 + turn AS seq, unnest(list_distinct(list_filter(regexp_split_to_array(lower(replace(text, '"', '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))) AS token, CASE WHEN role = 'assistant' THEN 10000::BIGINT ELSE 2000::BIGINT END AS target FROM conversations)
+    f"""WITH v AS (SELECT conv_id * {TURNS_APART} + turn AS seq, unnest(list_distinct(list_filter(regexp_split_to_array(lower(replace(text, '"', '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))) AS token, CASE WHEN role = 'assistant' THEN 10000::BIGINT ELSE 2000::BIGINT END AS target FROM conversations)
 SELECT token, count(*) AS events, list_reduce(list_prepend(5000::BIGINT, list(target ORDER BY seq)), lambda w, t: (w * 92 + t * 8 + 50) // 100) / 10000.0::DOUBLE AS weight FROM v GROUP BY token""",
 )
 def directive_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights learned from whole directives: every token of a turn gets that turn's verdict, in turn order."""
+    turn = F.when(F.col("turn") < TURNS_APART, F.col("turn")).otherwise(F.raise_error(F.lit("a conversation has too many turns")))
     words = F.filter(F.split(F.lower(F.replace("text", F.lit('"'), F.lit(""))), r"\s+", -1), lambda w: F.length(w) > 2)
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "role", F.explode_outer(F.array_distinct(words)).alias("token"))
+    c = table(spark, d, "conversations").select((F.col("conv_id") * TURNS_APART + turn).alias("seq"), "role", F.explode_outer(F.array_distinct(words)).alias("token"))
     return folds.token_weights(c.where("token IS NOT NULL"), "token", "seq", F.col("role") == "assistant")
 
 

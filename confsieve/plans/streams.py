@@ -18,7 +18,7 @@ from confsieve.streaming import audit
 def stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """One of the given tables as a file stream."""
     schema = table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def _audit(batch: DataFrame) -> DataFrame:

@@ -44,12 +44,3 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = run_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spreads a table over the cores when it comes in fewer pieces than there are cores, as a small single file does.
-
-    A table of many files is left as it is, so that texts are not shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -7,9 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# File patterns in order of precedence, the sniffed head, extensions paired with labels.
+# File patterns in order of precedence, extensions paired with labels.
 CONFIG_PATTERNS = ["conf", "cfg", "txt", "rsc", "ini", "xml", "log"]
-SNIFF_BYTES = 4096
 LABEL_EXTENSIONS = ["conf", "cfg", "json", "xml", "rsc", "ini", "txt"]
 
 VENDOR_DOC_SCHEMA = (
@@ -35,9 +34,10 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def is_binary(content: Column) -> Column:
-    """A NUL byte in the head of the file."""
-    return F.position(F.unhex(F.lit("00")), F.substring(content, 1, SNIFF_BYTES)) > 0
+def is_binary(content: Column, sniff_bytes: int | None = None) -> Column:
+    """A NUL byte anywhere in the file, or in its first ``sniff_bytes`` bytes where that is asked for."""
+    head = content if sniff_bytes is None else F.substring(content, 1, sniff_bytes)
+    return F.position(F.unhex(F.lit("00")), head) > 0
 
 
 def decode(content: Column) -> Column:
@@ -47,17 +47,26 @@ def decode(content: Column) -> Column:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """(path, content) to (filename, raw_text): known extensions only, binary files left out, one file per name by pattern order."""
+    """(path, content) to (filename, raw_text): known extensions only, binary files left out, one file per name by pattern order.
+
+    The paths decide which file stands for a name; contents only follow the chosen paths.
+    """
+    kept = _text_files(files)
+    chosen = kept.groupBy("filename").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    return kept.join(chosen.select("path"), "path", "left_semi").select("filename", decode(F.col("content")).alias("raw_text"))
+
+
+def _text_files(files: DataFrame) -> DataFrame:
     rank = F.array_position(F.lit(CONFIG_PATTERNS), extension(F.col("path")))
-    kept = files.where((rank > 0) & ~is_binary(F.col("content"))).select(file_name(F.col("path")).alias("filename"), rank.alias("rank"), "path", "content")
-    first = kept.groupBy("filename").agg(F.min_by("content", F.struct("rank", "path")).alias("content"))
-    return first.select("filename", decode(F.col("content")).alias("raw_text"))
+    return files.where((rank > 0) & ~is_binary(F.col("content"))).select(file_name(F.col("path")).alias("filename"), rank.alias("rank"), "path", "content")
 
 
 def discover_configs(spark: SparkSession, folder: str) -> DataFrame:
     """Scans a folder, not its subfolders, for configuration files."""
     glob = "*.{" + ",".join(CONFIG_PATTERNS) + "}"
-    return decode_files(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    # One folder holds a name once, so there is nothing to choose and nothing to shuffle.
+    return _text_files(found).select("filename", decode(F.col("content")).alias("raw_text"))
 
 
 def load_samples(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
@@ -83,15 +92,23 @@ def pair_samples(meta: DataFrame, files: DataFrame, limit: int | None = None) ->
     """``meta`` has stem; ``files`` has path and content. The earliest extension in the list wins."""
     rank = F.array_position(F.lit(LABEL_EXTENSIONS), extension(F.col("path")))
     ranked = files.withColumn("rank", rank).where("rank > 0").withColumn("stem", F.regexp_replace("path", r"\.[^./]+$", ""))
-    first = ranked.groupBy("stem").agg(F.min_by(F.struct("path", "content"), "rank").alias("f"))
+    # The path is chosen first, without the contents; these are joined to what was chosen.
+    first = ranked.groupBy("stem").agg(F.min_by("path", "rank").alias("path"))
     chosen = meta.orderBy("stem").limit(limit) if limit else meta
-    return chosen.join(first, "stem").select(*meta.columns, file_name(F.col("f.path")).alias("filename"), decode(F.col("f.content")).alias("raw_text"))
+    placed = chosen.join(first, "stem").join(files.select("path", "content"), "path")
+    return placed.select(*meta.columns, file_name(F.col("path")).alias("filename"), decode(F.col("content")).alias("raw_text"))
 
 
 def load_vendor_docs(spark: SparkSession, merged: list[str], per_vendor: list[str]) -> DataFrame:
     """The merged file and the per-vendor files, exact repeats removed."""
     read = spark.read.schema(VENDOR_DOC_SCHEMA)
-    return read.json(merged).unionByName(read.json(per_vendor)).dropDuplicates()
+    return distinct_by_digest(read.json(merged).unionByName(read.json(per_vendor)))
+
+
+def distinct_by_digest(rows: DataFrame) -> DataFrame:
+    """Exact repeats removed; a row is known by the digest of all its fields, nulls told from empty ones by their place in JSON."""
+    keyed = rows.withColumn("_digest", F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), 256))
+    return keyed.dropDuplicates(["_digest"]).drop("_digest")
 
 
 def load_rules(path: str) -> list:
