@@ -1,9 +1,13 @@
-"""A hash-chained ledger that is appended and verified in parallel.
+"""A hash-chained ledger that is appended and verified in parallel, and whose every block commits to all before it.
 
-Every block's digest covers the digest before it, so one chain is sequential by nature. A chain is therefore rolled into segments by
-event number, as log files are: inside a segment blocks link one to the next, and the first block of a segment links to an anchor,
-the digest over the contents of the segment before. Segments have a fixed upper size, so no task folds more than one of them, and a
-changed, removed or added block still breaks its own segment or the anchor of the next.
+Every block's digest covers the digest before it, so one chain is sequential by nature. A chain is therefore cut into segments by event number.
+Inside a segment blocks link one to the next. The first block links to an anchor that covers the contents of *all* segments before it:
+segments are leaves of a tree by their number, a node's digest is over its children's, and an anchor is over the digests of everything to the
+left on the way from the root to the segment. Empty numbers leave no trace, so a removed segment, wherever it lies, changes the
+anchor and the numbering of all that follow. No task folds more than one segment or one node's children.
+
+A ledger grows by appends, which are its parts. What comes late goes into the part it comes with; the base of a part is the digest of the last
+block before it (zeros for the first). Blocks once written do not change.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from pyspark.sql import functions as F
 
 from confsieve.functions.digest import canonical, sha256
 
-SEGMENT = 256
+#: Events of a segment, children of a node.
+SEGMENT, FAN = 256, 256
 NO_PREVIOUS = "0" * 64
 
 
@@ -21,39 +26,72 @@ def block_digest(index: Column, ts: Column, previous: Column, kind: Column, payl
     return sha256(canonical(index, ts, previous, kind, payload, F.lit(0)))
 
 
-def content_digest(index: Column, ts: Column, kind: Column, payload: Column) -> Column:
+def content_digest(seq: Column, ts: Column, kind: Column, payload: Column) -> Column:
     """What a block says, apart from where it is linked."""
-    return sha256(canonical(index, ts, kind, payload))
+    return sha256(canonical(seq, ts, kind, payload))
 
 
 def segment_of(seq: Column) -> Column:
     return F.floor(seq / SEGMENT).cast("bigint")
 
 
-def _segments(events: DataFrame, chain: str, seq: str) -> DataFrame:
-    entry = F.struct(F.col(seq).alias("seq"), F.col("ts_us"), F.col("kind"), F.col("payload"))
-    return events.groupBy(F.col(chain).alias("chain"), segment_of(F.col(seq)).alias("segment")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+def _before(nodes: DataFrame, keys: list[str], greatest: int) -> DataFrame:
+    """Adds to nodes (keys, at, digest, n) what lies before each: ``history``, a digest of it (null for nothing), and ``offset``, its blocks."""
+    if greatest == 0:
+        return nodes.select(*keys, "at", F.lit(None).cast("string").alias("history"), F.lit(0).cast("bigint").alias("offset"))
+    up = F.floor(F.col("at") / FAN).cast("bigint")
+    gathered = nodes.groupBy(*keys, up.alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "digest", "n"))).alias("kids"))
+    parents = gathered.select(*keys, F.col("up").alias("at"), sha256(F.array_join(F.transform("kids", lambda x: x["digest"]), "")).alias("digest"), _total(F.col("kids")).alias("n"))
+    above = _before(parents, keys, greatest // FAN).withColumnsRenamed({"at": "up", "history": "_above", "offset": "_start"})
+    each = gathered.select(*keys, "up", "kids", F.posexplode_outer("kids").alias("i", "kid"))
+    left = F.slice("kids", F.lit(1), F.col("i"))
+    beside = sha256(F.array_join(F.transform(left, lambda x: x["digest"]), ""))
+    each = each.select(*keys, "up", "i", F.col("kid.at").alias("at"), beside.alias("_beside"), _total(left).alias("_n"))
+    history = F.when(F.col("i") == 0, F.col("_above")).otherwise(sha256(canonical(F.col("_above"), F.col("_beside"))))
+    return each.join(above, [*keys, "up"]).select(*keys, "at", history.alias("history"), (F.col("_start") + F.col("_n")).alias("offset"))
+
+
+def _total(kids: Column) -> Column:
+    return F.aggregate(kids, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+
+
+def _anchor(base: Column, history: Column) -> Column:
+    return F.when(history.isNull(), base).otherwise(sha256(canonical(base, history)))
+
 
+def _greatest(rows: DataFrame, number: Column) -> int:
+    return rows.agg(F.max(number)).first()[0] or 0
 
-def _anchors(segments: DataFrame) -> DataFrame:
-    """(chain, segment, anchor): the digest of the contents of the segment before, zeros where there is none."""
-    contents = F.array_join(F.transform("entries", lambda e, i: content_digest(i, e["ts_us"], e["kind"], e["payload"])), "")
-    made = segments.select("chain", (F.col("segment") + 1).alias("segment"), sha256(contents).alias("anchor"))
-    return segments.join(made, ["chain", "segment"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(NO_PREVIOUS)))
 
+def append_blocks(events: DataFrame, chain: str, seq: str, tips: DataFrame | None = None) -> DataFrame:
+    """Events (chain, seq, ts_us, kind, payload) to linked blocks. ``seq`` is a distinct whole number >= 0 per chain in one append.
 
-def append_blocks(events: DataFrame, chain: str, seq: str) -> DataFrame:
-    """Events (chain, seq, ts_us, kind, payload) to linked blocks. ``seq`` is a distinct whole number per chain."""
+    ``tips`` (chain, tip_hash, tip_blocks) says where chains ended before; without it every chain starts.
+    """
+    entry = F.struct(F.col(seq).alias("seq"), F.col("ts_us"), F.col("kind"), F.col("payload"))
+    segments = events.groupBy(F.col(chain).alias("chain"), segment_of(F.col(seq)).alias("segment")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    said = F.transform("entries", lambda e: content_digest(e["seq"], e["ts_us"], e["kind"], e["payload"]))
+    nodes = segments.select("chain", F.col("segment").alias("at"), sha256(F.array_join(said, "")).alias("digest"), F.size("entries").cast("bigint").alias("n"))
+    placed = segments.join(_before(nodes, ["chain"], _greatest(events, segment_of(F.col(seq)))).withColumnRenamed("at", "segment"), ["chain", "segment"])
+    if tips is None:
+        placed = placed.withColumns({"tip_hash": F.lit(NO_PREVIOUS), "tip_blocks": F.lit(0).cast("bigint")})
+    else:
+        placed = placed.join(tips.select("chain", "tip_hash", "tip_blocks"), "chain", "left").withColumns(
+            {"tip_hash": F.coalesce("tip_hash", F.lit(NO_PREVIOUS)), "tip_blocks": F.coalesce("tip_blocks", F.lit(0).cast("bigint"))}
+        )
+    placed = placed.withColumns({"anchor": _anchor(F.col("tip_hash"), F.col("history")), "first": F.col("tip_blocks") + F.col("offset")})
     linked = F.aggregate(
-        F.transform("entries", lambda e, i: F.struct(i.alias("i"), e.alias("e"))),
-        F.array().cast("array<struct<block_index:int,seq:bigint,ts_us:bigint,kind:string,payload:string,previous_hash:string,block_hash:string>>"),
+        F.transform("entries", lambda e, i: F.struct((F.col("first") + i).alias("i"), e.alias("e"))),
+        F.array().cast("array<struct<block_index:bigint,seq:bigint,ts_us:bigint,kind:string,payload:string,previous_hash:string,block_hash:string>>"),
         lambda acc, x: F.concat(acc, F.array(_next_block(acc, x))),
     )
-    return (
-        _anchors(_segments(events, chain, seq))
-        .select("chain", "segment", "anchor", F.explode_outer(linked).alias("b")).where(F.col("b").isNotNull())
-        .select("chain", "segment", "b.*")
-    )
+    return placed.select("chain", "segment", F.explode_outer(linked).alias("b")).where(F.col("b").isNotNull()).select("chain", "segment", "b.*")
+
+
+def tips_of(blocks: DataFrame) -> DataFrame:
+    """(chain, tip_hash, tip_blocks): the last block of each chain and how many there are."""
+    last = blocks.groupBy("chain").agg(F.max_by(F.struct("block_hash", "block_index"), "block_index").alias("t"))
+    return last.select("chain", F.col("t.block_hash").alias("tip_hash"), (F.col("t.block_index") + 1).alias("tip_blocks"))
 
 
 def _next_block(acc: Column, x: Column) -> Column:
@@ -70,30 +108,34 @@ def _next_block(acc: Column, x: Column) -> Column:
     )
 
 
-def verify_blocks(blocks: DataFrame) -> DataFrame:
-    """Every block with the digest it should carry and the digest its predecessor carries; ``fault`` says what is wrong with it.
+def verify_blocks(blocks: DataFrame, part: str | None = None) -> DataFrame:
+    """Every block with what is wrong with it in ``fault``, null if nothing is. ``part`` names the column that tells appends apart.
 
-    A block's predecessor is found by a lag inside its segment, which holds no more than SEGMENT blocks. The anchor of a segment's
-    first block is recomputed from the contents of the segment before.
+    A block's predecessor is found by a lag inside its segment, which holds no more than SEGMENT blocks. Anchors and numbers are worked out
+    anew from the contents of all segments there are; the base of a part is the last digest of the part before it.
     """
     from pyspark.sql import Window
 
-    contents = (
-        blocks.withColumn("_c", content_digest(F.col("block_index"), F.col("ts_us"), F.col("kind"), F.col("payload")))
-        .groupBy("chain", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("block_index", "_c"))).alias("_cs"))
-        .select("chain", (F.col("segment") + 1).alias("segment"), sha256(F.array_join(F.transform("_cs", lambda x: x["_c"]), "")).alias("_anchor"))
-    )
-    in_segment = Window.partitionBy("chain", "segment").orderBy("block_index")
-    joined = blocks.join(contents, ["chain", "segment"], "left")
-    previous = F.when(F.col("block_index") > 0, F.lag("block_hash").over(in_segment)).otherwise(F.coalesce("_anchor", F.lit(NO_PREVIOUS)))
-    checked = joined.withColumn("_previous", previous).withColumn(
-        "_expected", block_digest(F.col("block_index"), F.col("ts_us"), F.col("previous_hash"), F.col("kind"), F.col("payload"))
+    rows = blocks.withColumn("_part", F.col(part) if part else F.lit(0))
+    keys = ["chain", "_part"]
+    said = F.struct("seq", content_digest(F.col("seq"), F.col("ts_us"), F.col("kind"), F.col("payload")).alias("c"))
+    nodes = rows.groupBy(*keys, F.col("segment").alias("at")).agg(F.array_sort(F.collect_list(said)).alias("cs"))
+    nodes = nodes.select(*keys, "at", sha256(F.array_join(F.transform("cs", lambda x: x["c"]), "")).alias("digest"), F.size("cs").cast("bigint").alias("n"))
+    before = _before(nodes, keys, _greatest(rows, F.col("segment"))).withColumnRenamed("at", "segment")
+    # One row a chain and append.
+    ends = rows.groupBy(*keys).agg(F.max_by("block_hash", "block_index").alias("_end"), F.count("*").alias("_size"))
+    line = Window.partitionBy("chain").orderBy("_part")
+    bases = ends.select(*keys, F.coalesce(F.lag("_end").over(line), F.lit(NO_PREVIOUS)).alias("_base"), F.coalesce(F.sum("_size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    in_segment = Window.partitionBy(*keys, "segment").orderBy("block_index", "seq")
+    checked = rows.join(before, [*keys, "segment"]).join(bases, keys).withColumns({"_place": F.row_number().over(in_segment) - 1, "_link": F.lag("block_hash").over(in_segment)})
+    previous = F.when(F.col("_place") > 0, F.col("_link")).otherwise(_anchor(F.col("_base"), F.col("history")))
+    expected = block_digest(F.col("block_index"), F.col("ts_us"), F.col("previous_hash"), F.col("kind"), F.col("payload"))
+    fault = (
+        F.when(~F.col("block_hash").eqNullSafe(expected), "hash mismatch")
+        .when(~F.col("previous_hash").eqNullSafe(previous), "broken link")
+        .when(F.col("block_index") != F.col("_earlier") + F.col("offset") + F.col("_place"), "wrong number")
     )
-    return checked.withColumn(
-        "fault",
-        F.when(F.col("block_hash") != F.col("_expected"), "hash mismatch").when(~F.col("previous_hash").eqNullSafe(F.col("_previous")), "broken link"),
-    ).drop("_previous", "_expected", "_anchor")
+    return checked.select(*blocks.columns, fault.alias("fault"))
 
 
 def first_fault(verified: DataFrame) -> DataFrame:

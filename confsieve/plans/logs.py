@@ -330,14 +330,19 @@ def rule_history(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- ledger -------------------------------------------------------------------------------------------------------------------------------------
 
-CHAIN_SQL = f"""{EVENTS_SQL}, entries AS (SELECT user_id AS chain, event_id // {ledger.SEGMENT} AS segment, row_number() OVER (PARTITION BY user_id, event_id // {ledger.SEGMENT} ORDER BY event_id) - 1 AS block_index, event_id AS seq, ts_us, event_type AS kind, props AS payload FROM ev),
-contents AS (SELECT chain, segment + 1 AS segment, sha256(string_agg(sha256(concat_ws('|', block_index, ts_us, kind, payload)), '' ORDER BY block_index)) AS anchor FROM entries GROUP BY chain, segment),
+CHAIN_SQL = f"""{EVENTS_SQL}, entries AS (SELECT user_id AS chain, event_id // {ledger.SEGMENT} AS segment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS block_index, row_number() OVER (PARTITION BY user_id, event_id // {ledger.SEGMENT} ORDER BY event_id) - 1 AS place, event_id AS seq, ts_us, event_type AS kind, props AS payload FROM ev),
+said AS (SELECT chain, segment, segment // {ledger.FAN} AS node, sha256(string_agg(sha256(concat_ws('|', seq, ts_us, kind, payload)), '' ORDER BY seq)) AS d FROM entries GROUP BY chain, segment),
+nodes AS (SELECT chain, node, sha256(string_agg(d, '' ORDER BY segment)) AS d FROM said GROUP BY chain, node),
+above AS (SELECT chain, node, sha256('|' || sha256(string_agg(d, '') OVER (PARTITION BY chain ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) AS h FROM nodes),
+beside AS (SELECT chain, segment, node, sha256(string_agg(d, '') OVER (PARTITION BY chain, node ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS b FROM said),
+history AS (SELECT chain, segment, CASE WHEN b IS NULL THEN h ELSE sha256(coalesce(h, '') || '|' || b) END AS h FROM beside JOIN above USING (chain, node)),
+contents AS (SELECT chain, segment, coalesce(sha256(repeat('0', 64) || '|' || h), repeat('0', 64)) AS anchor FROM history),
 blocks AS (SELECT * FROM (WITH RECURSIVE b AS (
-  SELECT e.chain, e.segment, e.block_index, e.seq, e.ts_us, e.kind, e.payload, coalesce(c.anchor, repeat('0', 64)) AS previous_hash, sha256(concat_ws('|', e.block_index, e.ts_us, coalesce(c.anchor, repeat('0', 64)), e.kind, e.payload, 0)) AS block_hash
-  FROM entries e LEFT JOIN contents c USING (chain, segment) WHERE block_index = 0
+  SELECT e.chain, e.segment, e.block_index, e.place, e.seq, e.ts_us, e.kind, e.payload, c.anchor AS previous_hash, sha256(concat_ws('|', e.block_index, e.ts_us, c.anchor, e.kind, e.payload, 0)) AS block_hash
+  FROM entries e JOIN contents c USING (chain, segment) WHERE place = 0
   UNION ALL
-  SELECT e.chain, e.segment, e.block_index, e.seq, e.ts_us, e.kind, e.payload, b.block_hash, sha256(concat_ws('|', e.block_index, e.ts_us, b.block_hash, e.kind, e.payload, 0))
-  FROM b JOIN entries e ON e.chain = b.chain AND e.segment = b.segment AND e.block_index = b.block_index + 1) SELECT * FROM b))"""
+  SELECT e.chain, e.segment, e.block_index, e.place, e.seq, e.ts_us, e.kind, e.payload, b.block_hash, sha256(concat_ws('|', e.block_index, e.ts_us, b.block_hash, e.kind, e.payload, 0))
+  FROM b JOIN entries e ON e.chain = b.chain AND e.segment = b.segment AND e.place = b.place + 1) SELECT * FROM b))"""
 
 
 def chain_events(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +355,7 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win05_chain_append", f"WITH {CHAIN_SQL} SELECT chain, segment, seq, block_index, previous_hash, block_hash FROM blocks")
 def appended(spark: SparkSession, d: str) -> DataFrame:
-    return blocks(spark, d).select("chain", "segment", "seq", F.col("block_index").cast("bigint").alias("block_index"), "previous_hash", "block_hash")
+    return blocks(spark, d).select("chain", "segment", "seq", "block_index", "previous_hash", "block_hash")
 
 
 def _tampered(b: DataFrame) -> DataFrame:
@@ -361,11 +366,11 @@ def _tampered(b: DataFrame) -> DataFrame:
 @query(
     "win04_chain_verification",
     f"""WITH {CHAIN_SQL}, shown AS (SELECT *, kind = 'error' AND payload = '{{"k": 13}}' AS changed FROM blocks),
-f AS (SELECT s.*, CASE WHEN changed THEN 'hash mismatch' WHEN block_index = 0 AND EXISTS (SELECT 1 FROM shown p WHERE p.chain = s.chain AND p.segment = s.segment - 1 AND p.changed) THEN 'broken link' END AS fault FROM shown s)
+f AS (SELECT s.*, CASE WHEN changed THEN 'hash mismatch' WHEN place = 0 AND EXISTS (SELECT 1 FROM shown p WHERE p.chain = s.chain AND p.segment < s.segment AND p.changed) THEN 'broken link' END AS fault FROM shown s)
 SELECT chain, count(*) AS blocks, count(fault) AS faults, min(CASE WHEN fault IS NOT NULL THEN seq END) AS first_seq, arg_min(fault, seq) FILTER (WHERE fault IS NOT NULL) AS first_fault FROM f GROUP BY chain""",
 )
 def verified(spark: SparkSession, d: str) -> DataFrame:
-    """The stored chain with some payloads changed afterwards: each change shows in its own block, and where it anchors a segment, there too."""
+    """The stored chain with some payloads changed afterwards: each change shows in its own block and in the anchor of every later segment."""
     return ledger.first_fault(ledger.verify_blocks(_tampered(blocks(spark, d))))
 
 

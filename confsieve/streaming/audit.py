@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from confsieve.operators.latest import latest_per_key
-from confsieve.operators.ledger import append_blocks, segment_of
+from confsieve.operators.ledger import append_blocks, tips_of
 
 
 def _start(stream: DataFrame, write: Callable, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
@@ -58,36 +58,30 @@ def first_verdicts(stream: DataFrame, keys: list[str], time: str, delay: str) ->
 
 
 def ledger_log(stream: DataFrame, chain: str, seq: str, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keeps the decisions of the stream and links them into blocks.
+    """Appends the decisions of each batch to the ledger as one part of it.
 
-    Decisions are stored first. A batch then rebuilds the segments it touches, and the segment after each of them, from the stored
-    decisions; with the fixed segment size that is a bounded amount of work per decision, and the result is that of one append over
-    the whole log. Within a segment the last rebuilt version counts, see :func:`current_blocks`.
+    A batch links on to the last block of each chain, so a decision that comes late goes to the end, in order of arrival, and no block that
+    was written changes. Only the ends of the chains are read again: a narrow table, one row for each chain and batch that touched it.
     """
-    events_root, blocks_root = f"{root.rstrip('/')}/events", f"{root.rstrip('/')}/blocks"
+    blocks_root, tips_root = f"{root.rstrip('/')}/blocks", f"{root.rstrip('/')}/tips"
+    tip_schema = f"chain {stream.schema[chain].dataType.simpleString()}, tip_hash string, tip_blocks bigint, batch bigint"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("_segment", segment_of(F.col(seq))).write.mode("overwrite").parquet(_batch_path(events_root, number))
-        # Only batches up to this one: a repeat after a failure must see what the first try saw.
-        stored = spark.read.parquet(events_root).where(F.col("batch") <= number)
-        touched = stored.where(F.col("batch") == number).select(chain, "_segment").distinct()
-        rebuilt = touched.unionByName(touched.withColumn("_segment", F.col("_segment") + 1)).distinct()
-        # A segment needs the contents of the one before it for its anchor.
-        needed = rebuilt.unionByName(rebuilt.withColumn("_segment", F.col("_segment") - 1)).distinct()
-        events = stored.join(needed, [chain, "_segment"], "left_semi").drop("batch", "_segment")
-        blocks = append_blocks(events, chain, seq)
-        target = rebuilt.select(F.col(chain).alias("chain"), F.col("_segment").alias("segment"))
-        blocks.join(target, ["chain", "segment"], "left_semi").write.mode("overwrite").parquet(_batch_path(blocks_root, number))
+        # Only batches before this one: a repeat after a failure must see what the first try saw.
+        tips = None
+        if number > 0:
+            earlier = spark.read.schema(tip_schema).parquet(tips_root).where(F.col("batch") < number)
+            tips = latest_per_key(earlier, ["chain"], ["batch"])
+        append_blocks(batch, chain, seq, tips).write.mode("overwrite").parquet(_batch_path(blocks_root, number))
+        tips_of(spark.read.parquet(_batch_path(blocks_root, number))).write.mode("overwrite").parquet(_batch_path(tips_root, number))
 
     return _start(stream, write, checkpoint, available_now=available_now)
 
 
 def current_blocks(spark: SparkSession, root: str) -> DataFrame:
-    """The last rebuilt version of every segment."""
-    blocks = spark.read.parquet(f"{root.rstrip('/')}/blocks")
-    last = blocks.groupBy("chain", "segment").agg(F.max("batch").alias("batch"))
-    return blocks.join(last, ["chain", "segment", "batch"], "left_semi").drop("batch")
+    """The ledger; ``batch`` tells its parts apart."""
+    return spark.read.parquet(f"{root.rstrip('/')}/blocks")
 
 
 def live_counters(stream: DataFrame, by: list[str], root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -6,11 +6,13 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from confsieve.functions.digest import hmac_sha256
 from confsieve.functions.text import char_grams, split_lines
 from confsieve.operators import cluster, folds, latest, ledger, remediation, report
+from confsieve.session import cut_lineage
 from confsieve.sources import configs as src
 
 
@@ -106,11 +108,76 @@ def test_chain_links_and_breaks(spark):
     assert (clean.blocks, clean.faults) == (450, 0)
     bad = blocks.withColumn("payload", F.when(F.col("seq") == 100, "changed").otherwise(F.col("payload")))
     found = ledger.first_fault(ledger.verify_blocks(bad)).first()
-    assert found.first_seq == 100 and found.first_fault == "hash mismatch" and found.faults == 2
+    # The block itself, and the anchors of the three segments after it, which cover all before them.
+    assert found.first_seq == 100 and found.first_fault == "hash mismatch" and found.faults == 4
     gone = blocks.where("seq <> 300")
     assert ledger.first_fault(ledger.verify_blocks(gone)).first().faults > 0
 
 
+CHAIN = "c string, seq bigint, ts_us bigint, kind string, payload string"
+
+
+def chained(spark, numbers, forged=()):
+    rows = [("c", i, 1000 + i, "HUMAN_DECISION", f"{'forged' if i in forged else 'p'}{i}") for i in numbers]
+    return ledger.append_blocks(spark.createDataFrame(rows, CHAIN), "c", "seq")
+
+
+def faults(blocks, part=None):
+    return ledger.first_fault(ledger.verify_blocks(blocks, part)).first().faults
+
+
+@pytest.mark.parametrize("numbers", [[0, 1, 2, 1000, 1001, 5000, 200_000], list(range(0, 1300))])
+def test_no_segment_goes_unnoticed(spark, numbers):
+    blocks = cut_lineage(chained(spark, numbers))
+    assert faults(blocks) == 0
+    assert [r.block_index for r in blocks.orderBy("seq").collect()] == list(range(len(numbers)))
+    segments = sorted({n // ledger.SEGMENT for n in numbers})
+    for s in segments[:-1]:
+        assert faults(blocks.where(F.col("segment") != s)) > 0
+    tip = ledger.tips_of(blocks).first().tip_hash
+    assert ledger.tips_of(chained(spark, [n for n in numbers if n // ledger.SEGMENT != segments[0]])).first().tip_hash != tip
+
+
+def test_a_rewritten_past_is_noticed(spark):
+    honest, forged = cut_lineage(chained(spark, range(1024))), cut_lineage(chained(spark, range(1024), forged={5}))
+    assert ledger.tips_of(honest).first().tip_hash != ledger.tips_of(forged).first().tip_hash
+    for first in (1, 2, 3):
+        mixed = forged.where(F.col("segment") < first).unionByName(honest.where(F.col("segment") >= first))
+        assert faults(mixed) > 0
+
+
+def test_late_events_go_to_the_end(spark, tmp_path):
+    from confsieve.streaming import audit
+
+    def come(numbers, name):
+        rows = [("c", i, 1000 + i, "HUMAN_DECISION", f"p{i}") for i in numbers]
+        spark.createDataFrame(rows, CHAIN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        audit.ledger_log(spark.readStream.schema(CHAIN).parquet(str(tmp_path / "in")), "c", "seq", str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        return {r.block_hash: r.block_index for r in audit.current_blocks(spark, str(tmp_path / "out")).collect()}
+
+    first = come(range(300, 600), "a")
+    both = come([5, 700, 701], "b")
+    assert first.items() <= both.items() and sorted(both.values()) == list(range(303))
+    blocks = audit.current_blocks(spark, str(tmp_path / "out"))
+    assert faults(blocks, "batch") == 0 and faults(blocks.where("segment <> 1 or batch = 1"), "batch") > 0
+
+
+def test_decay_runs_until_it_rests(spark):
+    def plain(value, passes, factor, floor=500):
+        for _ in range(passes):
+            value = max(floor, (value * factor + 50) // 100)
+        return value / 10000
+
+    for factor in (50, 85, 99):
+        got = spark.range(1).select(*[folds.decay(F.lit(1.0), F.lit(n), factor).alias(f"n{n}") for n in (0, 1, 60, 100, 400, 5000)]).first()
+        assert list(got) == [plain(10000, n, factor) for n in (0, 1, 60, 100, 400, 5000)]
+
+
+def test_hmac_of_long_keys(spark):
+    for key in ("k", "k" * 64, "k" * 65, "ключ" * 40):
+        assert spark.range(1).select(hmac_sha256(key, F.lit("message"))).first()[0] == hmac.new(key.encode(), b"message", hashlib.sha256).hexdigest()
+
+
 def test_hmac(spark):
     got = spark.range(1).select(hmac_sha256("key", F.lit("message"))).first()[0]
     assert got == hmac.new(b"key", b"message", hashlib.sha256).hexdigest()
