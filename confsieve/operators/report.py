@@ -75,7 +75,7 @@ def _gate(name: str, ok: Column) -> Column:
 
 def remediation_sections(promoted: DataFrame, run: str, file: str) -> DataFrame:
     """One text per remediation run from its gate columns and its decision."""
-    outcome = F.when(F.col("decision") == "APPROVED", "Configuration successfully remediated and promoted").when(F.col("passed"), "Remediation validated, pending promotion").otherwise("Remediation validation failed")
+    outcome = F.when(F.col("decision") == "APPROVED", "the candidate is now the configuration").when(F.col("passed"), "the candidate holds and waits").otherwise("the candidate is held back")
     text = F.concat_ws(
         "\n",
         F.lit("## Remediation & Verification"),

@@ -183,9 +183,10 @@ def override_evidence(evidence: DataFrame, confirmed: DataFrame, keys: list[str]
 
 def remediation_rows(rules: list = RULES) -> list:
     return [
-        {"rule_id": r["id"], "vendor": v, "command": command, "rationale": rationale}
+        {"rule_id": r["id"], "vendor": v, "command": command, "rationale": rationale or f"On {v} this sets {r['field_path']} as {r['id']} asks."}
         for r in rules
-        for v, (command, rationale) in (r.get("remediation") or {}).items()
+        for v, fix in (r.get("remediation") or {}).items()
+        for command, rationale in [(fix, None) if isinstance(fix, str) else fix]
     ]
 
 

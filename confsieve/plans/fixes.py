@@ -26,7 +26,7 @@ def order_findings(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- proposals --------------------------------------------------------------------------------------------------------------------------
 
-_TABLE_ROWS = ", ".join(f"({text(r)}, {text(v)}, {text(a)}, {text(x)})" for r, v, _, a, _p, x in rem.FIXES)
+_TABLE_ROWS = ", ".join(f"({text(r)}, {text(v)}, {text(a)}, {text(x)})" for r, v, a, _p, x in rem.FIXES)
 FIXES_SQL = f"""{ORDERS_SQL}, fixes(rule_id, part, action, replacement) AS (VALUES {_TABLE_ROWS}),
 failing AS (SELECT *, CASE WHEN contains(vendor, 'cisco') THEN 'cisco' WHEN contains(vendor, 'juniper') THEN 'juniper' WHEN contains(vendor, 'huawei') THEN 'huawei' END AS grp FROM findings WHERE status = 'fail'),
 proposed AS (SELECT f.device_id, f.seq, f.rule_id, f.vendor, coalesce(own.action, gen.action) AS action, coalesce(own.replacement, gen.replacement) AS replacement
@@ -157,13 +157,13 @@ runs AS (SELECT DISTINCT device_id, CASE WHEN device_id % 17 = 0 THEN 1 ELSE 0 E
 v0 AS (SELECT r.device_id, structure_errors, coalesce(targets, 0) AS targets, coalesce(unresolved, 0) AS unresolved, coalesce(edge_notes, 0) AS edge_notes, coalesce(regressions, 0) AS regressions, coalesce(improvements, 0) AS improvements, coalesce(reviewable_improvements, 0) AS reviewable_improvements,
   coalesce(before_pass, 0) AS before_pass, coalesce(before_fail, 0) AS before_fail, coalesce(after_pass, 0) AS after_pass, coalesce(after_fail, 0) AS after_fail, coalesce(failing_critical, 0) + coalesce(missing_critical, 0) AS violations FROM runs r LEFT JOIN tg USING (device_id) LEFT JOIN reg USING (device_id) LEFT JOIN inv USING (device_id)),
 v AS (SELECT *, structure_errors = 0 AS syntax_valid, structure_errors = 0 AND unresolved = 0 AND regressions = 0 AND violations = 0 AS passed FROM v0),
-vs AS (SELECT *, CASE WHEN NOT syntax_valid THEN 'Candidate failed syntax validation' WHEN passed THEN 'Validation passed. Resolved ' || (targets - unresolved) || ' target violation(s), ' || improvements || ' total improvement(s), no regressions.'
-  ELSE 'Validation failed: ' || concat_ws('; ', CASE WHEN unresolved > 0 THEN unresolved || ' target violation(s) remain unfixed' END, CASE WHEN regressions > 0 THEN regressions || ' new failure(s) introduced' END, CASE WHEN violations > 0 THEN 'critical security invariants violated' END) END AS summary FROM v),
+vs AS (SELECT *, CASE WHEN NOT syntax_valid THEN 'the candidate is not well formed' WHEN passed THEN 'all gates held: solved ' || (targets - unresolved) || ' target(s), ' || improvements || ' control(s) better, none worse'
+  ELSE 'held back: ' || concat_ws('; ', CASE WHEN unresolved > 0 THEN unresolved || ' target(s) still failing' END, CASE WHEN regressions > 0 THEN regressions || ' control(s) now failing' END, CASE WHEN violations > 0 THEN 'a critical control does not hold' END) END AS summary FROM v),
 dec AS (SELECT *, CASE WHEN NOT passed THEN 'REJECTED' WHEN (reviewable_improvements > 0 OR edge_notes > 0) AND device_id % 2 <> 0 THEN 'DEFERRED' ELSE 'APPROVED' END AS decision FROM vs),
-pro AS (SELECT *, passed AND reviewable_improvements = 0 AND edge_notes = 0 AS auto_promote, CASE decision WHEN 'REJECTED' THEN concat_ws(' | ', CASE WHEN NOT syntax_valid THEN 'Syntax validation failed (' || structure_errors || ' error(s))' END, CASE WHEN unresolved > 0 THEN 'Target violations not resolved (' || unresolved || ' remain failing)' END,
-   CASE WHEN regressions > 0 THEN 'Regressions detected (' || regressions || ' new failure(s) introduced)' END, CASE WHEN violations > 0 THEN 'Security invariants violated (' || violations || ' critical control(s) weakened)' END)
-  WHEN 'DEFERRED' THEN CASE WHEN reviewable_improvements > 0 THEN 'Critical management/authentication controls modified (' || reviewable_improvements || ' rule(s)). Human review required.' ELSE 'Target resolution included edge cases. Human review recommended.' END
-  ELSE 'All validation gates passed. Resolved ' || targets || ' target violation(s). ' || improvements || ' total control(s) improved. No regressions detected.' || CASE WHEN device_id % 2 = 0 THEN ' Human override applied.' ELSE '' END END AS rationale FROM dec)"""
+pro AS (SELECT *, passed AND reviewable_improvements = 0 AND edge_notes = 0 AS auto_promote, CASE decision WHEN 'REJECTED' THEN concat_ws(' | ', CASE WHEN NOT syntax_valid THEN 'not well formed (' || structure_errors || ' error(s))' END, CASE WHEN unresolved > 0 THEN 'targets not met (' || unresolved || ' left)' END,
+   CASE WHEN regressions > 0 THEN 'controls made worse (' || regressions || ' now failing)' END, CASE WHEN violations > 0 THEN 'critical controls lost (' || violations || ')' END)
+  WHEN 'DEFERRED' THEN CASE WHEN reviewable_improvements > 0 THEN 'management or login controls changed (' || reviewable_improvements || ' of them); a person decides' ELSE 'some targets met in an unusual way; a person decides' END
+  ELSE 'All validation gates passed. Resolved ' || targets || ' target(s), ' || improvements || ' control(s) better, none worse.' || CASE WHEN device_id % 2 = 0 THEN ' A person overruled the gate.' ELSE '' END END AS rationale FROM dec)"""
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,7 +279,7 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
 @query("rpt03_remediation_sections", f"""WITH {SIDES_SQL}, t2 AS (SELECT device_id, concat_ws(chr(10), '## Remediation & Verification', '**Configuration:** ' || device_id || '.conf', '**Session ID:** ' || device_id, '#### Validation Gates',
   '- **Syntax Validation:** ' || CASE WHEN syntax_valid THEN 'PASS' ELSE 'FAIL' END, '- **Target Resolution:** ' || CASE WHEN unresolved = 0 THEN 'PASS' ELSE 'FAIL' END, '- **Regression Audit:** ' || CASE WHEN regressions = 0 THEN 'PASS' ELSE 'FAIL' END, '- **Security Invariants:** ' || CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END,
   '   - Before: ' || before_pass || ' PASS | ' || before_fail || ' FAIL', '   - After: ' || after_pass || ' PASS | ' || after_fail || ' FAIL', '#### Summary' || chr(10) || summary, '**Decision:** ' || decision || ' — ' || rationale,
-  '**Outcome:** ' || CASE WHEN decision = 'APPROVED' THEN 'Configuration successfully remediated and promoted' WHEN passed THEN 'Remediation validated, pending promotion' ELSE 'Remediation validation failed' END) AS section FROM pro)
+  '**Outcome:** ' || CASE WHEN decision = 'APPROVED' THEN 'the candidate is now the configuration' WHEN passed THEN 'the candidate holds and waits' ELSE 'the candidate is held back' END) AS section FROM pro)
 SELECT device_id, md5('# Report' || chr(10) || section || '## Audit Trail' || chr(10) || 'sealed') AS report_md5 FROM t2""")
 def remediation_report(spark: SparkSession, d: str) -> DataFrame:
     p = promotions(spark, d).withColumn("file", F.concat(F.col("device_id").cast("string"), F.lit(".conf")))
