@@ -25,7 +25,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from confsieve.llm.common import extended, map_texts, with_columns, without
 
 #: Encodings and neighbour decisions a worker remembers before it starts anew.
-PIECES_KEPT, PAIRS_KEPT = 300_000, 1_000_000
+PIECES_KEPT, PAIRS_KEPT = 120_000, 250_000
+_PAIR = 1 << 32
 #: White space as the pattern's ``\s`` means it, stated because Python's also takes U+001C to U+001F. Fixed values.
 UNICODE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -90,11 +91,12 @@ class Encoder:
                 self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.token]
+        self.table = ByteTable([t or None for t in self.token])
         self.joined = {(a, b): rank for rank, (a, b) in enumerate(self.tree) if a >= 0 and a != rank}
         self.shorter = lru_cache(None)(self._shorter)
         self.edge = lru_cache(None)(self._edge)
         self.pieces: dict[str, tuple[int, ...]] = _Pieces(self)
-        self.fits: dict[tuple[int, int], bool] = _Fits(self)
+        self.fits: dict[int, bool] = _Fits(self)  # by left * _PAIR + right
 
     def _shorter(self, token: int) -> int:
         """The longest token that is a proper prefix, or -1."""
@@ -137,7 +139,7 @@ class Encoder:
         ids: list[int] = []
         at, closed, token = 0, bytearray(n + 1), longest[0]
         while at < n:
-            while token >= 0 and (closed[at + size[token]] or ids and not fits[ids[-1], token]):
+            while token >= 0 and (closed[at + size[token]] or ids and not fits[ids[-1] * _PAIR + token]):
                 token = shorter(token)
             if token >= 0:
                 ids.append(token)
@@ -178,8 +180,8 @@ class _Fits(dict):
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
 
-    def __missing__(self, pair: tuple[int, int]) -> bool:
-        self[pair] = yes = self.encoder.together(*pair)
+    def __missing__(self, pair: int) -> bool:
+        self[pair] = yes = self.encoder.together(*divmod(pair, _PAIR))
         return yes
 
 
@@ -204,18 +206,21 @@ def _flat(lists: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(flat))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with ``ids``, the token ids of ``text`` (array of int). A column of that name is replaced."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids``, the token ids of ``text`` (array of int); on demand also with ``decoded``, the bytes the ids stand for,
+    in the same pass. Columns of these names are replaced."""
     vocabulary = Vocabulary(docs.sparkSession, path, pattern)
-    docs = without(docs, "ids")
+    names = ["ids", "decoded"] if decoded else ["ids"]
+    docs = without(docs, *names)
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         encoder = vocabulary.encoder()
-        ids = [encoder.encode(t.decode()) if t else [] for t in texts]
+        ids = _flat([encoder.encode(t.decode()) if t else [] for t in texts])
         encoder.tidy()
-        return with_columns(batch, ids=_flat(ids))
+        return with_columns(batch, ids=ids, **({"decoded": encoder.table.decode(ids)} if decoded else {}))
 
-    return map_texts(docs, extended(docs, StructField("ids", ArrayType(IntegerType()))), run)
+    fields = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]
+    return map_texts(docs, extended(docs, *fields[: len(names)]), run)
 
 
 def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -232,29 +237,37 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_texts(docs, extended(docs, StructField("n_tokens", IntegerType())), run)
 
 
+class ByteTable:
+    """The bytes of all tokens end to end, to look many ids up at once."""
+
+    def __init__(self, tokens: list[bytes | None]):
+        self.size = np.array([-1 if t is None else len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(np.r_[0, np.maximum(self.size, 0)])[:-1]
+        self.bytes = np.frombuffer(b"".join(t or b"" for t in tokens), np.uint8)
+
+    def decode(self, column: pa.Array) -> pa.Array:
+        """Lists of ids to bytes; null stays null."""
+        ids, counts = column.flatten().to_numpy(zero_copy_only=False), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.dtype.kind != "i" or ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.size[ids.astype(np.int64)]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids.astype(np.int64)] - (ends - size), size)
+        data, cuts = self.bytes[at].tobytes(), np.r_[0, ends][np.cumsum(np.r_[0, counts])]
+        return pa.array([None if null else data[a:b] for a, b, null in zip(cuts, cuts[1:], column.is_null().to_pylist())], pa.binary())
+
+
 def decode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``decoded``, the bytes that ``ids`` stand for. A column of that name is replaced."""
     tokens = {rank: token for token, rank in load_ranks(path).items()}
-    order = [tokens.get(i) for i in range(max(tokens) + 1)]
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+    sent = docs.sparkSession.sparkContext.broadcast([tokens.get(i) for i in range(max(tokens) + 1)])
     docs = without(docs, "decoded")
 
     def run(batches):
-        order = sent.value
-        size = np.array([-1 if t is None else len(t) for t in order], np.int64)
-        start, table = np.cumsum(np.r_[0, np.maximum(size, 0)])[:-1], np.frombuffer(b"".join(t or b"" for t in order), np.uint8)
+        table = ByteTable(sent.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                column = batch.column(batch.schema.get_field_index("ids"))
-                ids, counts = column.flatten().to_numpy(zero_copy_only=False), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.dtype.kind != "i" or ids.min() < 0 or ids.max() >= len(size) or size[ids].min() < 0):
-                    raise ValueError("an id is not in the vocabulary")
-                ids = ids.astype(np.int64)
-                ends = np.cumsum(size[ids])
-                at_byte = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[ids] - (ends - size[ids]), size[ids])
-                data, cuts = table[at_byte].tobytes(), np.r_[0, ends][np.cumsum(np.r_[0, counts])]
-                nulls = column.is_null().to_pylist()
-                yield with_columns(batch, decoded=pa.array([None if null else data[a:b] for a, b, null in zip(cuts, cuts[1:], nulls)], pa.binary()))
+                yield with_columns(batch, decoded=table.decode(batch.column(batch.schema.get_field_index("ids"))))
 
     return docs.mapInArrow(run, extended(docs, StructField("decoded", BinaryType())))

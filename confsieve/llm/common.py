@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 #: White space of the word and line rules: space and U+0009 to U+000D. ``bytes.split()`` and ``bytes.strip()`` use the same set.
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows handled at a time inside a batch, so that Python objects of one slice only are alive.
-SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -67,8 +67,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """The number and digest of each document's token ids, and the digest of what they decode to."""
     path, pattern = _vocabulary()
-    ids = byte_bpe.encode(pick(read(spark, folder, "documents"), "doc_id", "text"), path, pattern)
-    decoded = byte_bpe.decode(ids.select("doc_id", "ids"), path)
+    decoded = byte_bpe.encode(pick(read(spark, folder, "documents"), "doc_id", "text"), path, pattern, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

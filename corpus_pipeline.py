@@ -44,7 +44,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    decoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return without(decoded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": exact}), "decoded")
 

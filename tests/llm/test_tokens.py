@@ -52,6 +52,8 @@ def test_small_vocabulary_agrees_with_plain_merging():
 def test_columns_and_round_trip(clashing):
     ids = byte_bpe.encode(clashing, PATH, PATTERN)
     got = byte_bpe.decode(ids, PATH).collect()
+    at_once = byte_bpe.encode(clashing, PATH, PATTERN, decoded=True)
+    assert sorted((str(r.ids), r.decoded) for r in at_once.collect()) == sorted((str(r.ids), r.decoded) for r in got)
     assert ids.columns.count("ids") == 1 and len(got) == len(edge_rows())
     for r in got:
         assert r.ids == LIBRARY.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
