@@ -195,7 +195,7 @@ ew AS (SELECT item_id, gram, tf, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.
 en AS (SELECT item_id, sum(tf * tf * ie * ie) AS sq FROM ew GROUP BY item_id),
 pr AS (SELECT q.seq, e.item_id, sum(q.w * e.tf * q.iq) AS dot, sum(e.tf * e.tf * (q.iq * q.iq - e.ie * e.ie)) AS shift FROM qw q JOIN ew e USING (gram) GROUP BY ALL),
 sc AS (SELECT seq, item_id, dot / sqrt(qsq * (sq + shift)) AS cosine FROM pr JOIN qn USING (seq) JOIN en USING (item_id)),
-near AS (SELECT u.seq, coalesce({half_up('max(cosine)', 4)}, 0::DOUBLE) AS similarity FROM unk u LEFT JOIN sc USING (seq) GROUP BY u.seq)"""
+near AS MATERIALIZED (SELECT u.seq, coalesce({half_up('max(cosine)', 4)}, 0::DOUBLE) AS similarity FROM unk u LEFT JOIN sc USING (seq) GROUP BY u.seq)"""
 
 
 def nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -232,29 +232,48 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
     return u.join(cluster.cluster_lines(u, "vendor", "raw", "seq"), "seq")
 
 
-@query("jon09_similar_lines")
+#: The greedy run in arrival order, spelled out: distinct lines, their unit vectors, all pairs at or above the threshold, then line by line.
+CLUSTER_SQL = f"""{UNKNOWN_SEQ_SQL}, nodes AS MATERIALIZED (SELECT vendor, raw, min(seq) AS node, count(*) AS copies FROM unk GROUP BY vendor, raw),
+padded AS (SELECT node, vendor, copies, ' ' || w || ' ' AS w FROM (SELECT node, vendor, copies, unnest(regexp_split_to_array(lower(raw), '[ \\t\\n\\x0b\\f\\r]+')) AS w FROM nodes) WHERE w <> ''),
+placed AS (SELECT node, vendor, copies, w, n, unnest(generate_series(1, length(w) - n + 1)) AS i FROM padded, (VALUES (2), (3), (4)) AS sizes(n)),
+tfs AS (SELECT node, vendor, copies, substr(w, i, n) AS gram, count(*) AS tf FROM placed GROUP BY ALL),
+idfs AS (SELECT gram, ln(((SELECT sum(copies) FROM nodes) + 1.0::DOUBLE) / (sum(copies) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM tfs GROUP BY gram),
+weights AS MATERIALIZED (SELECT node, vendor, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY node)) AS w FROM tfs JOIN idfs USING (gram)),
+near AS (SELECT a.node AS i, b.node AS j, sum(a.w * b.w) AS similarity FROM weights a JOIN weights b ON a.gram = b.gram AND a.vendor = b.vendor AND a.node < b.node GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {similarity.THRESHOLD - 1e-12!r}::DOUBLE),
+line AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS k, coalesce(js, []::BIGINT[]) AS js FROM nodes LEFT JOIN (SELECT j AS node, list(i) AS js FROM near GROUP BY j) USING (node)),
+greedy AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE g AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS node, NULL::BIGINT AS seed, []::BIGINT[] AS seeds
+  UNION ALL
+  SELECT l.k, l.node, coalesce(list_min(list_intersect(g.seeds, l.js)), l.node), CASE WHEN len(list_intersect(g.seeds, l.js)) = 0 THEN list_append(g.seeds, l.node) ELSE g.seeds END FROM g JOIN line l ON l.k = g.k + 1) SELECT node, seed FROM g WHERE k > 0)),
+members AS MATERIALIZED (SELECT u.seq, u.config_id, u.vendor, u.raw, g.seed FROM unk u JOIN nodes n ON u.vendor = n.vendor AND u.raw = n.raw JOIN greedy g ON g.node = n.node),
+groups AS (SELECT seed, count(DISTINCT config_id) AS devices, count(*) AS lines, min(seq) AS first_order FROM members GROUP BY seed)"""
+
+
+@query("jon09_similar_lines", f"WITH {CLUSTER_SQL} SELECT i, j, {half_up('similarity', 6)} AS similarity FROM near JOIN greedy ON greedy.node = near.j AND greedy.seed = near.i")
 def similar(spark: SparkSession, d: str) -> DataFrame:
     """Every grouped line with the cosine to the line that opened its group."""
+    from confsieve.functions.numbers import round_half_up
+
     c = clustered(spark, d)
     nodes = cluster.collapse_equal(c, "vendor", "raw", "seq")
     vectors, _ = similarity.unit_vectors(nodes, "node", "raw", "copies")
     pairs = c.join(nodes, ["vendor", "raw"]).select(F.col("seed").alias("i"), F.col("node").alias("j")).where("i <> j").distinct()
-    return similarity.verify_pairs(pairs, vectors, "i", "j", "node")
+    return similarity.verify_pairs(pairs, vectors, "i", "j", "node").withColumn("similarity", round_half_up(F.col("similarity"), 6))
 
 
-@query("win13_review_groups")
+@query("win13_review_groups", f"WITH {CLUSTER_SQL} SELECT seq, seed FROM members")
 def groups(spark: SparkSession, d: str) -> DataFrame:
     return clustered(spark, d).select("seq", "seed")
 
 
-@query("agg29_cluster_rollup")
+@query("agg29_cluster_rollup", f"WITH {CLUSTER_SQL} SELECT seed, devices, lines, first_order, vendor, raw AS representative FROM groups JOIN members USING (seed) WHERE seq = seed")
 def rollup(spark: SparkSession, d: str) -> DataFrame:
     c = clustered(spark, d)
     heads = c.where("seq = seed").select("seed", "vendor", F.col("raw").alias("representative"))
     return cluster.cluster_summary(c, "seed", "config_id", "seq").join(heads, "seed")
 
 
-@query("jon14_mapping_fan_out")
+@query("jon14_mapping_fan_out", f"WITH {CLUSTER_SQL} SELECT DISTINCT config_id, seed, 'content.noise.present' AS field_path FROM members JOIN groups USING (seed) WHERE devices > 1")
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """One decision per group (here: groups that reach more than one device) reaches every device of the group."""
     c = clustered(spark, d)
