@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders given out by run_folder.
+RUN_FOLDERS: list[str] = []
+
+
 def local_session(app: str = "confsieve", cores: str = "*") -> SparkSession:
     """A session for tests and benchmarks; on a cluster the caller brings its own."""
     return (
@@ -35,8 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
-    """A folder of its own for one run, below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A folder of its own for one run, below the shared folder. :func:`remove_run_folders` removes those of this process."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    RUN_FOLDERS.append(folder)
+    return folder
+
+
+def remove_run_folders(spark: SparkSession) -> None:
+    """Removes what the runs of this process have written below the shared folder, for callers that have read their results."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while RUN_FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(RUN_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
