@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from confsieve.catalog import fields as field_catalog
 from confsieve.catalog import grammar as grammar_catalog
+from confsieve.functions.needles import needles
 from confsieve.functions.numbers import clamp, round_half_up
 from confsieve.functions.tables import computed, literal_map, literal_rows
 from confsieve.functions.text import any_of, numbered_lines
@@ -84,25 +85,47 @@ def _constant_row(path: str, value: object, category: str, pattern: str, strict:
 _EMISSION_TYPE = "array<struct<path:string,kind:string,type:string,arg:string,grp:int,pattern:string,category:string>>"
 
 
-def _first_match(raw: Column, numbered: list) -> Column:
+def _first_match(raw: Column, numbered: list, possible: Column | None = None) -> Column:
     out = None
     for number, pattern in numbered:
         hit = raw.rlike("(?i)" + pattern)
+        if possible is not None and needles(pattern):
+            hit = F.get(possible, F.lit(number)) & hit
         out = F.when(hit, F.lit(number)) if out is None else out.when(hit, F.lit(number))
     return out if out is not None else F.lit(None).cast("int")
 
 
-def rule_number(raw: Column, vendor: Column, g: Grammar) -> Column:
-    """Number of the first grammar rule that matches the line: vendor grammar, fallback grammar, keyword test, else null."""
+def _holds_any(low: Column, words: list[str]) -> Column:
+    hit = F.lit(not words)
+    for word in words:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
+
+
+def possible_rules(low: Column, vendor: Column, g: Grammar) -> Column:
+    """For each vendor and fallback rule whether the lower-cased text holds a word the rule cannot match without."""
+    out = []
+    for name, pattern, _ in g.vendor_rules:
+        out.append((vendor == name) & _holds_any(low, needles(pattern)))
+    for pattern, *_ in g.fallback_rules:
+        out.append(_holds_any(low, needles(pattern)))
+    return F.array(*[F.coalesce(x, F.lit(False)) for x in out]) if out else F.array().cast("array<boolean>")
+
+
+def rule_number(raw: Column, vendor: Column, g: Grammar, possible: Column | None = None) -> Column:
+    """Number of the first grammar rule that matches the line: vendor grammar, fallback grammar, keyword test, else null.
+
+    ``possible`` (see :func:`possible_rules`) spares the patterns that cannot match any line of the text.
+    """
     by_vendor: dict = {}
     for number, (name, pattern, _) in enumerate(g.vendor_rules):
         by_vendor.setdefault(name, []).append((number, pattern))
     own = None
     for name, numbered in by_vendor.items():
-        branch = _first_match(raw, numbered)
+        branch = _first_match(raw, numbered, possible)
         own = F.when(vendor == name, branch) if own is None else own.when(vendor == name, branch)
     base = len(g.vendor_rules)
-    fallback = _first_match(raw, [(base + i, r[0]) for i, r in enumerate(g.fallback_rules)])
+    fallback = _first_match(raw, [(base + i, r[0]) for i, r in enumerate(g.fallback_rules)], possible)
     base += len(g.fallback_rules)
     keyword = None
     low = F.lower(raw)
@@ -154,14 +177,20 @@ def _fact(raw: Column, line_no: Column, e: Column, g: Grammar) -> Column:
 
 
 def match_lines(configs: DataFrame, g: Grammar = Grammar(), text: str = "raw_text", vendor: str = "vendor") -> DataFrame:
-    """Adds ``lines``: array<struct<line_no, raw, rule_no>> of every line that is not blank or a comment."""
-    return computed(
-        configs,
+    """Adds ``lines``: array<struct<line_no, raw, rule_no>> of every line that is not blank or a comment.
+
+    One plain search a rule over the whole text comes first; most rules then need not be tried on any line.
+    """
+    low = computed(configs, _low=F.lower(F.col(text)))
+    ready = computed(low, _possible=possible_rules(F.col("_low"), F.col(vendor), g)).drop("_low")
+    matched = computed(
+        ready,
         lines=F.transform(
             numbered_lines(F.col(text)),
-            lambda x: F.struct(x["line_no"].alias("line_no"), x["raw"].alias("raw"), rule_number(x["raw"], F.col(vendor), g).alias("rule_no")),
+            lambda x: F.struct(x["line_no"].alias("line_no"), x["raw"].alias("raw"), rule_number(x["raw"], F.col(vendor), g, F.col("_possible")).alias("rule_no")),
         ),
     )
+    return matched.drop("_possible")
 
 
 def emit_facts(matched: DataFrame, g: Grammar = Grammar()) -> DataFrame:
