@@ -2,15 +2,17 @@
 
 Every word is predicted from the two words on each side of it; the sum of the conditional log probabilities is the document's score.
 Words are ids: the most frequent ones have their own, all others share hash buckets. The network adds an embedding for each place of the
-window, takes tanh, and predicts first the class of the word (32 classes of 32 ids, by frequency), then the word in its class.
+window, takes tanh, and predicts first the class of the word (32 classes of 32 ids, by frequency), then the word in its class. A word
+without an id of its own is then told from the others of its bucket by its share of the bucket's counts, so the score is one of words.
 
 1. All words of all documents are counted; the most frequent become the vocabulary, their logs the starting biases.
 2. Training runs where the texts lie. In each round every task takes gradient steps (Adagrad) from the common parameters on its own documents,
    and the results are averaged by the number of words seen, in two levels. Each round trains on one in ``PART`` positions of every
    document, chosen by a hash of place and neighbours; later rounds on other positions.
-3. All positions of all documents are scored.
+3. All positions of all documents are scored. The share of a word in its bucket comes from the counts: those of the ``KNOWN`` next frequent
+   words are sent to the tasks, all others meet the distinct words of each document in a join. One count a bucket is left for unseen words.
 
-The driver holds the vocabulary and the parameters, 0.5 MB at any input. Scores depend in the last digits on how rows are dealt to tasks.
+The driver holds the vocabulary, the known counts and the parameters, a few MB at any input. Scores depend in the last digits on how rows are dealt to tasks.
 
 Defined cases: a text without words, or null, has 0 words, log probability 0 and no mean. Result columns replace input columns of their name.
 """
@@ -25,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from confsieve.llm.common import extended, map_texts, pick, slices, with_columns, without
 from confsieve.session import cut_lineage
@@ -37,6 +39,8 @@ OFFSETS, DIM = (-2, -1, 1, 2), 24
 ROUNDS, PART, BATCH, RATE = 2, 16, 2048, 0.1
 #: Distinct words a task counts, and ids it remembers, before it hands out or starts anew; pieces the parameters travel in.
 WORDS_KEPT, PIECES, FAN = 400_000, 32, 32
+#: Words below the frequent ones whose counts are sent to the tasks; the others are too rare to be hot keys of a join.
+KNOWN = 1 << 15
 MARKS = b".,;:!?|%*$&#\"'()[]{}<>"
 _SHAPES = {"places": (len(OFFSETS), IDS + 1, DIM), "hidden": (DIM,), "classes": (DIM, CLASSES), "class_bias": (CLASSES,), "words": (CLASSES, DIM, WIDE), "word_bias": (CLASSES, WIDE)}
 
@@ -230,9 +234,14 @@ def train_round(docs: DataFrame, frequent: list[bytes], params: dict, part: int)
     return shaped(np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(rows)])) if rows else params
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], dict]:
-    """The vocabulary and the trained parameters."""
-    counted = cut_lineage(count_words(docs), "words")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all documents, written."""
+    return cut_lineage(count_words(docs), "words")
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, counted: DataFrame | None = None) -> tuple[list[bytes], dict]:
+    """The vocabulary and the trained parameters; ``counted`` are the written counts of ``docs`` where the caller has them."""
+    counted = word_counts(docs) if counted is None else counted
     top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
     frequent = [bytes(r.word) for r in top]
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -245,20 +254,86 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], dict]:
     return frequent, params
 
 
-def score(docs: DataFrame, frequent: list[bytes], params: dict) -> DataFrame:
-    """``docs`` with ``n_words``, ``log_prob`` (summed over all words) and ``mean_log_prob``."""
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, flat(params)))
+class Logs(dict):
+    """Word to the log of its count, NaN where the tasks do not know it. Marks at the ends of a word do not count."""
+
+    def __init__(self, known: dict[bytes, float]):
+        self.known = known
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        self[word] = out = self.known.get(word.strip(MARKS) or word, np.nan)
+        return out
+
+
+def bucket_logs(counted: DataFrame, frequent: list[bytes]) -> np.ndarray:
+    """For each bucket the log of the summed counts of its words and one for those unseen."""
+    sent = counted.sparkSession.sparkContext.broadcast(frequent)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sums = Ids(sent.value), np.zeros(IDS, np.int64)
+        for batch in batches:
+            of = np.fromiter(map(ids.__getitem__, batch.column(0).to_pylist()), np.int64, batch.num_rows)
+            np.add.at(sums, of, batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(range(IDS - FREQUENT), pa.int32()), pa.array(sums[FREQUENT:])], names=["bucket", "n"])
+
+    out = np.ones(IDS - FREQUENT)
+    for r in counted.select("word", "n").mapInArrow(totals, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row a bucket
+        out[r.bucket] += r.n
+    return np.log(out)
+
+
+def score(docs: DataFrame, frequent: list[bytes], params: dict, counted: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``n_words``, ``log_prob`` (summed over all words) and ``mean_log_prob``.
+
+    ``counted`` are the counts (word, n) of the corpus. Without them all words of a bucket are one word.
+    """
+    spark = docs.sparkSession
+    known, rest = {}, np.zeros(IDS - FREQUENT)
+    if counted is not None:
+        top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT + KNOWN).collect()  # bounded
+        own_id = set(frequent)
+        known = {bytes(r.word): float(np.log(r.n)) for r in top if bytes(r.word) not in own_id}
+        rest = bucket_logs(counted, frequent)
+    shared = counted is not None
+    sent = spark.sparkContext.broadcast((frequent, flat(params), known, rest))
     docs = without(docs, "n_words", "log_prob", "mean_log_prob")
     own: dict = {}
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         if not own:
-            own.update(ids=Ids(sent.value[0]), params=shaped(sent.value[1]))
+            own.update(ids=Ids(sent.value[0]), params=shaped(sent.value[1]), logs=Logs(sent.value[2]))
         line, at, counts = laid_out(own["ids"], texts)
-        sums = np.r_[0.0, np.cumsum(log_probabilities(own["params"], line, at))]
+        logs = log_probabilities(own["params"], line, at)
+        columns = {}
+        if shared:
+            said = [w for t in texts for w in words_of(t)]
+            tail = np.flatnonzero(line[at] >= FREQUENT)
+            counted_logs = np.fromiter((own["logs"][said[i]] for i in tail.tolist()), np.float64, len(tail))
+            logs[tail] += np.nan_to_num(counted_logs) - sent.value[3][line[at[tail]] - FREQUENT]
+            document = np.repeat(np.arange(len(texts)), counts)
+            unknown = tail[np.isnan(counted_logs)]
+            rare: list[Counter] = [Counter() for _ in texts]
+            for i, d in zip(unknown.tolist(), document[unknown].tolist()):
+                rare[d][said[i].strip(MARKS) or said[i]] += 1
+            offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rare])], pa.int32())
+            pairs = [pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())]
+            columns["__rare"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "times"]))
+        sums = np.r_[0.0, np.cumsum(logs)]
         ends = np.cumsum(counts)
         total = np.where(counts > 0, sums[ends] - sums[ends - counts], 0.0)
         mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-        return with_columns(batch, n_words=pa.array(counts), log_prob=pa.array(total), mean_log_prob=mean)
-
-    return map_texts(docs, extended(docs, StructField("n_words", LongType()), StructField("log_prob", DoubleType()), StructField("mean_log_prob", DoubleType())), run)
+        return with_columns(batch, n_words=pa.array(counts), log_prob=pa.array(total), mean_log_prob=mean, **columns)
+
+    fields = [StructField("n_words", LongType()), StructField("log_prob", DoubleType()), StructField("mean_log_prob", DoubleType())]
+    if not shared:
+        return map_texts(docs, extended(docs, *fields), run)
+    rare_type = ArrayType(StructType([StructField("word", BinaryType()), StructField("times", LongType())]))
+    # Written, so that the row numbers hold from here on.
+    scored = cut_lineage(map_texts(docs, extended(docs, *fields, StructField("__rare", rare_type)), run).withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
+    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
+    # The log of a count of one, as of one unseen, is 0.
+    added = rare.join(counted.filter("n > 1").select("word", F.log("n").alias("log_n")), "word").groupBy("__row").agg(F.sum(F.col("times") * F.col("log_n")).alias("__added"))
+    whole = scored.drop("__rare").join(added, "__row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("__added", F.lit(0.0)))
+    return whole.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))).drop("__row", "__added")

@@ -135,4 +135,5 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The log probability of each document's words, each given the words on both sides of it."""
     docs = read(spark, folder, "documents")
-    return lm_score.score(pick(docs, "doc_id", "text"), *lm_score.fit(docs)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    counted = lm_score.word_counts(docs)
+    return lm_score.score(pick(docs, "doc_id", "text"), *lm_score.fit(docs, counted=counted), counted).select("doc_id", "n_words", "log_prob", "mean_log_prob")

@@ -130,6 +130,33 @@ def test_lm_scores_equal_plain_and_learn(spark, taught):
     assert sum(r.log_prob for r in got.values()) > before
 
 
+def test_lm_words_of_a_bucket_share_its_probability(spark, monkeypatch):
+    """More words than ids: the plain version multiplies in the word's share of its bucket; junk scores below words of the corpus."""
+    monkeypatch.setattr(lm_score, "KNOWN", 50)
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rnd.choices(words, [1 / (k + 9) for k in range(3000)], k=60)) + ".") for i in range(200)] + [(900, "w800 " * 40), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = lm_score.word_counts(docs)
+    frequent, params = lm_score.fit(docs, counted=counted)
+    ids, n, rest = lm_score.Ids(frequent), {bytes(r.word): r.n for r in counted.collect()}, {}
+    for w, times in n.items():
+        rest[ids[w]] = rest.get(ids[w], 1) + times
+    asked = docs.union(spark.createDataFrame([(902, "qzx" + " vbnm w2999")], docs.schema))
+    got = {r.doc_id: r for r in lm_score.score(asked, frequent, params, counted).collect()}
+
+    def share(w):
+        w = w.strip(lm_score.MARKS) or w
+        return np.log(n.get(w, 1) / rest.get(ids[w], 1)) if ids[w] >= lm_score.FREQUENT else 0.0
+
+    for i, text in rows[:20] + rows[200:] + [(902, "qzx vbnm w2999")]:
+        said = lm_score.words_of((text or "").encode())
+        want = plain_log_prob(params, ids, (text or "").encode()) + sum(share(w) for w in said)
+        assert got[i].n_words == len(said) and abs(got[i].log_prob - want) < 1e-2
+        assert got[i].mean_log_prob == (got[i].log_prob / len(said) if said else None)
+    assert any(share(w.encode()) < -1 for w in words)
+
+
 def test_lm_edges(clashing, empty):
     got = {r.doc_id: r for r in lm_score.score(clashing, *lm_score.fit(clashing)).collect()}
     assert all(got[i].n_words == 0 and got[i].log_prob == 0 and got[i].mean_log_prob is None for i in (7, 8, 9)) and got[15].n_words == 140_000
