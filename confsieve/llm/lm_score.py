@@ -8,7 +8,7 @@ without an id of its own is then told from the others of its bucket by its share
 1. All words of all documents are counted; the most frequent become the vocabulary, their logs the starting biases.
 2. Training runs where the texts lie. In each round every task takes gradient steps (Adagrad) from the common parameters on its own documents,
    and the results are averaged by the number of words seen, in two levels. Each round trains on one in ``PART`` positions of every
-   document, chosen by a hash of place and neighbours; later rounds on other positions.
+   document, chosen by a hash of place and neighbours; the rounds together train on every position once.
 3. All positions of all documents are scored. The share of a word in its bucket comes from the counts: those of the ``KNOWN`` next frequent
    words are sent to the tasks, all others meet the distinct words of each document in a join. One count a bucket is left for unseen words.
 
@@ -36,7 +36,9 @@ CLASSES, WIDE = 32, 32
 IDS = CLASSES * WIDE
 FREQUENT, PAD = 24 * WIDE, IDS
 OFFSETS, DIM = (-2, -1, 1, 2), 24
-ROUNDS, PART, BATCH, RATE = 2, 16, 2048, 0.1
+ROUNDS, BATCH, RATE = 2, 2048, 0.1
+#: A round trains on one in so many positions, so that the rounds together train on every position once.
+PART = ROUNDS
 #: Distinct words a task counts, and ids it remembers, before it hands out or starts anew; pieces the parameters travel in.
 WORDS_KEPT, PIECES, FAN = 400_000, 32, 32
 #: Words below the frequent ones whose counts are sent to the tasks; the others are too rare to be hot keys of a join.

@@ -157,6 +157,16 @@ def test_lm_words_of_a_bucket_share_its_probability(spark, monkeypatch):
     assert any(share(w.encode()) < -1 for w in words)
 
 
+def test_lm_trains_on_every_position(spark, monkeypatch):
+    texts = [b" ".join(b"w%d" % (i * k % 97) for k in range(50)) for i in range(1, 20)]
+    line, at, counts = lm_score.laid_out(lm_score.Ids([b"w1", b"w2"]), texts)
+    rounds = []
+    monkeypatch.setattr(lm_score, "train_round", lambda docs, frequent, params, part: rounds.append(part) or params)
+    lm_score.fit(spark.createDataFrame([(t.decode(),) for t in texts], "text string"))
+    trained = np.concatenate([lm_score.chosen(line, at, counts, part) for part in rounds])
+    assert np.array_equal(np.sort(trained), at)
+
+
 def test_lm_edges(clashing, empty):
     got = {r.doc_id: r for r in lm_score.score(clashing, *lm_score.fit(clashing)).collect()}
     assert all(got[i].n_words == 0 and got[i].log_prob == 0 and got[i].mean_log_prob is None for i in (7, 8, 9)) and got[15].n_words == 140_000
