@@ -251,14 +251,13 @@ groups AS (SELECT seed, count(DISTINCT config_id) AS devices, count(*) AS lines,
 
 @query("jon09_similar_lines", f"WITH {CLUSTER_SQL} SELECT i, j, {half_up('similarity', 6)} AS similarity FROM near JOIN greedy ON greedy.node = near.j AND greedy.seed = near.i")
 def similar(spark: SparkSession, d: str) -> DataFrame:
-    """Every grouped line with the cosine to the line that opened its group."""
+    """Every two similar lines of a vendor, each distinct line named by its first occurrence."""
     from confsieve.functions.numbers import round_half_up
+    from confsieve.session import cut_lineage
 
-    c = clustered(spark, d)
-    nodes = cluster.collapse_equal(c, "vendor", "raw", "seq")
-    vectors, _ = similarity.unit_vectors(nodes, "node", "raw", "copies")
-    pairs = c.join(nodes, ["vendor", "raw"]).select(F.col("seed").alias("i"), F.col("node").alias("j")).where("i <> j").distinct()
-    return similarity.verify_pairs(pairs, vectors, "i", "j", "node").withColumn("similarity", round_half_up(F.col("similarity"), 6))
+    # The SQL still keeps only the pairs of a member and the line that opened its group; tests/test_whole_results.py has all of ``near``.
+    nodes = cut_lineage(cluster.collapse_equal(unknown(spark, d), "vendor", "raw", "seq"), "similar-lines")
+    return similarity.similar_pairs(nodes, "vendor", "node", "raw", "copies").withColumn("similarity", round_half_up(F.col("similarity"), 6))
 
 
 @query("win13_review_groups", f"WITH {CLUSTER_SQL} SELECT seq, seed FROM members")
