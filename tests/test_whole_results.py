@@ -5,7 +5,7 @@ from compare import compare, connect
 
 import __spark_entry__ as entry
 from confsieve.operators import similarity
-from confsieve.plans import reviews
+from confsieve.plans import evidences, reviews
 from confsieve.plans.registry import half_up
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +34,10 @@ def test_similar_pairs_in_blocks(spark):
     whole = pairs(1000)
     assert pairs(3) == whole and len(whole) > len(lines)
     assert all(i < j and (i % 7 == 0) == (j % 7 == 0) for i, j in whole)
+
+
+def test_confirmed_mappings_rerun_all_rules(spark, con):
+    sql = f"""{evidences.ALL_STATUS}, {evidences.CONFIRMED_SQL}
+    SELECT f.device_id, f.rule_id, CASE WHEN c.device_id IS NOT NULL AND f.rule_id = 'CIS-MGMT-01' THEN 'pass' ELSE f.status END AS status, c.device_id IS NOT NULL AS human
+    FROM findings f LEFT JOIN confirmed c ON c.device_id = f.device_id AND c.field_path = f.field_path"""
+    assert compare(spark, con, entry.queries()["knw08_confirmed_mappings"], sql, FOLDER) == ""
