@@ -56,23 +56,34 @@ class Model:
         return np.stack([np.bincount(owner, self.weight[bucket], len(words)), np.bincount(owner, minlength=len(words))], axis=1)
 
 
-def fresh(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Whether a word is not among the ``WINDOW - 1`` words of its text before it: a word said over and over counts once in a window."""
-    order = np.lexsort((np.arange(len(numbers)), numbers))
+def earlier(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word the place of the same word before it in its text, -1 without one. In a window it counts if that lies before the start."""
+    order = np.argsort(numbers, kind="stable")
     document = np.repeat(np.arange(len(counts)), counts)
-    again = (np.diff(numbers[order]) == 0) & (np.diff(order) < WINDOW) & (np.diff(document[order]) == 0)
-    out = np.ones(len(numbers), bool)
-    out[order[1:][again]] = False
+    same = (np.diff(numbers[order]) == 0) & (np.diff(document[order]) == 0)
+    out = np.full(len(numbers), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
-def worst_windows(numbers: np.ndarray, counts: np.ndarray, rows: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def worst_windows(numbers: np.ndarray, counts: np.ndarray, rows: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, start, end) of the window with the greatest mean weight of each text; the mean of a text without words is 0."""
     own = rows[numbers]
-    own[:, 0] *= new
     sums = np.concatenate([np.zeros((1, 2)), np.cumsum(own, axis=0)])
     start, end, document = windows(counts, WINDOW, STEP)
-    mean = (sums[end, 0] - sums[start, 0]) / np.maximum(sums[end, 1] - sums[start, 1], 1)
+    total = sums[end] - sums[start]
+    # What a window repeats is taken out of it: of the windows that hold the word, those that start at or before the earlier one.
+    again = np.flatnonzero((before >= 0) & (np.arange(len(before)) - before < WINDOW))
+    begin, number = np.cumsum(counts) - counts, np.bincount(document, minlength=len(counts))
+    text = np.repeat(np.arange(len(counts)), counts)[again]
+    low = np.maximum(-(-(again - begin[text] - WINDOW + 1) // STEP), 0)
+    high = np.minimum((before[again] - begin[text]) // STEP, number[text] - 1)
+    for more in range(-(-WINDOW // STEP)):
+        held = low + more <= high
+        at = (np.cumsum(number) - number)[text[held]] + low[held] + more
+        for column in range(2):
+            total[:, column] -= np.bincount(at, own[again[held], column], len(total))
+    mean = total[:, 0] / np.maximum(total[:, 1], 1)
     best = np.lexsort((-mean, document))[np.r_[0, np.flatnonzero(np.diff(document)) + 1]] if len(document) else np.array([], np.int64)
     return mean[best], start[best], end[best]
 
@@ -111,8 +122,8 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
         who = np.repeat(np.arange(len(used)), size[used])
         rows = np.stack([np.bincount(who, weight[bucket[at]], len(used)), size[used]], axis=1)
         counts = np.array([len(numbers[i]) for i in some])
-        new = fresh(where, counts)
-        return own, new, *worst_windows(where, counts, rows, new)
+        before = earlier(where, counts)
+        return own, before, *worst_windows(where, counts, rows, before)
 
     # A fifth of the sample is kept from the steps and sets the scale, so that it is not fitted to texts learned by heart.
     kept = np.arange(len(texts)) % 5 == 4 if len(set(y[4::5])) == 2 and len(set(np.delete(y, np.s_[4::5]))) == 2 else np.zeros(len(texts), bool)
@@ -120,12 +131,13 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for some in np.array_split(rng.permutation(taught), GROUPS):
-            own, new, mean, start, end = judged(some)
+            own, before, mean, start, end = judged(some)
             n = end - start
             at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             window = np.repeat(np.arange(len(some)), n)
-            total = np.maximum(np.bincount(window, size[own[at]], len(some)), 1)
-            member, window = own[at[new[at]]], window[new[at]]
+            first_said = before[at] < start[window]
+            member, window = own[at[first_said]], window[first_said]
+            total = np.maximum(np.bincount(window, size[member], len(some)), 1)
             window, buckets = np.repeat(window, size[member]), bucket[spread(member)]
             average = np.stack([np.bincount(window, embed[buckets, d], len(some)) for d in range(DIM)], axis=1) / total[:, None]
             logits = average @ heads + bias
@@ -202,7 +214,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         split = [(t or b"").decode().split() for t in texts]
         counts = np.array([len(w) for w in split], np.int64)
         numbers = table.numbers([w for words in split for w in words])
-        mean, _, _ = worst_windows(numbers, counts, table.results(), fresh(numbers, counts))
+        mean, _, _ = worst_windows(numbers, counts, table.results(), earlier(numbers, counts))
         table.tidy()
         z = (mean + model.bias) * model.scale + model.shift
         p = np.where((counts > 0) & (model.scale != 0), 1 / (1 + np.exp(-np.clip(z, -700, 700))), model.base)

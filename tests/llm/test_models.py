@@ -108,6 +108,30 @@ def test_windows_cover_every_word():
     assert set().union(*[range(a, b) for a, b in zip(start, end)]) == set(range(int(counts.sum())))
 
 
+def test_repeats_are_judged_in_each_window():
+    rng = np.random.default_rng(2)
+    rows = np.stack([rng.standard_normal(6), rng.integers(1, 5, 6)], axis=1).astype(float)
+    rows[0] = 9.0, 3.0
+    texts = [[0], [0] * 8, [0] * 30, [1, 2, 3, 0, 4, 5, 1, 2, 0, 4, 4, 4, 4], [], *[rng.integers(0, 6, rng.integers(1, 40)).tolist() for _ in range(60)]]
+    numbers, counts = np.array([w for t in texts for w in t]), np.array([len(t) for t in texts])
+    mean, *_ = toxicity.worst_windows(numbers, counts, rows, toxicity.earlier(numbers, counts))
+
+    def plain(text):
+        parts = [set(text[a : a + toxicity.WINDOW]) for a in range(0, max(len(text) - toxicity.WINDOW, 0) + toxicity.STEP, toxicity.STEP)]
+        return max((sum(rows[w, 0] for w in p) / max(sum(rows[w, 1] for w in p), 1) for p in parts if p or not text), default=0)
+
+    assert np.allclose(mean, [plain(t) for t in texts])
+    assert np.allclose(mean[:3], 3.0)
+
+
+def test_a_toxic_word_said_often_is_as_toxic_as_said_once(spark, taught):
+    _, docs, _, labels = taught
+    model = toxicity.fit(docs, labels)
+    asked = spark.createDataFrame([(n, " ".join(["gromfulas"] * n)) for n in (1, 8, 50)], "doc_id long, text string")
+    scores = [r.score for r in toxicity.score(asked, model).collect()]
+    assert max(scores) - min(scores) < 1e-9 and min(scores) > toxicity.THRESHOLD
+
+
 def plain_log_prob(params, ids, text):
     line = [lm_score.PAD] * 2 + [ids[w] for w in lm_score.words_of(text)] + [lm_score.PAD] * 2
     total = 0.0
