@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from confsieve.llm.common import map_texts, pick, without
+from confsieve.llm.common import extended, map_texts, pick, with_columns, without
 from confsieve.llm.components import components
 from confsieve.session import cut_lineage
 
@@ -264,12 +264,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE, wide_from: int = WIDE_FROM
     return dealt.mapInPandas(verify, "a long, b long").filter("a <> b")
 
 
+def grouped_prints(prints: DataFrame, distance: int = DISTANCE, wide_from: int = WIDE_FROM, part_rows: int = PART_ROWS) -> DataFrame:
+    """(fp, first_id, root): each fingerprint, the smallest document that has it, and the component it is in."""
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    roots = components(links(nodes, distance, wide_from, part_rows))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, wide_from: int = WIDE_FROM, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): a row for each row of ``docs``."""
     prints = cut_lineage(fingerprints(docs), "simhash")
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    roots = components(links(nodes, distance, wide_from, part_rows))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    grouped = grouped_prints(prints, distance, wide_from, part_rows)
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut_lineage(grouped.join(cut_lineage(smallest, "simhash-smallest"), "root").select("fp", "component_id"), "simhash-groups")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -280,10 +285,16 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id. Of rows that share that id one stays, with the smallest
-    hash of its text. Documents without an id cannot be named by a group and all stay."""
-    groups = near_duplicates(docs)
-    keepers = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__doc")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(keepers, docs["doc_id"] == keepers["__doc"], "left_semi").withColumn("__rank", rank).filter("__rank = 1")
-    return without(kept, "__rank").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """``docs`` with one row of each group: the smallest id, of its rows the smallest fingerprint, of those the smallest hash of the text.
+    Rows that share an id but hold different texts are told apart by fingerprint. Documents without an id cannot be named by a group and all stay."""
+    grouped = grouped_prints(cut_lineage(fingerprints(docs), "simhash"))
+    first = grouped.filter("first_id is not null").groupBy("root").agg(F.min(F.struct("first_id", "fp")).alias("k"))
+    keepers = first.select(F.col("k.first_id").alias("__doc"), F.col("k.fp").alias("__keep"))
+
+    def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        return with_columns(batch, __fp=pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+
+    printed = map_texts(docs.filter(F.col("doc_id").isNotNull()), extended(docs, StructField("__fp", LongType())), run)
+    rank = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text")))
+    kept = printed.join(keepers, (printed["doc_id"] == keepers["__doc"]) & (printed["__fp"] == keepers["__keep"]), "left_semi").withColumn("__rank", rank).filter("__rank = 1")
+    return without(kept, "__rank", "__fp").unionByName(docs.filter(F.col("doc_id").isNull()))

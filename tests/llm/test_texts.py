@@ -165,3 +165,13 @@ def test_components_of_chains_and_stars(spark):
 
 def test_digest_matches_hashlib(spark, edge):
     assert hashlib.sha256(b"").hexdigest() == line_dedup.drop_shared_lines(edge).filter("doc_id = 7").selectExpr("sha2(text, 256) as d").first().d
+
+
+def test_near_copies_leave_one_row_of_each_group_where_ids_repeat(spark):
+    """Id 1 has a text near to no other and one near document 2: one row of each group stays."""
+    long = " ".join(f"word{i}" for i in range(200))
+    other = " ".join(f"else{i * 7}" for i in range(200))
+    for lone, shared in ((other, long), (long, other)):
+        docs = spark.createDataFrame([(1, lone), (1, shared), (2, shared), (3, shared), (None, lone)], "doc_id long, text string")
+        got = sorted((r.doc_id or 0, r.text) for r in simhash.deduplicated(docs).collect())
+        assert got == sorted([(0, lone), (1, lone), (1, shared)])
