@@ -1,5 +1,8 @@
 """Queries whose registered SQL states less than the whole: here they meet SQL or plain Python that states all of it."""
 
+import hashlib
+import re
+
 import pytest
 from compare import compare, connect
 
@@ -41,3 +44,12 @@ def test_confirmed_mappings_rerun_all_rules(spark, con):
     SELECT f.device_id, f.rule_id, CASE WHEN c.device_id IS NOT NULL AND f.rule_id = 'CIS-MGMT-01' THEN 'pass' ELSE f.status END AS status, c.device_id IS NOT NULL AS human
     FROM findings f LEFT JOIN confirmed c ON c.device_id = f.device_id AND c.field_path = f.field_path"""
     assert compare(spark, con, entry.queries()["knw08_confirmed_mappings"], sql, FOLDER) == ""
+
+
+def test_markup_keeps_pieces_with_unequal_tags(spark, tmp_path):
+    lines = ["<a>one</b>", "<a>one</a>", "<a>x</b> <c> two </c>", "<c>y</c><a>x</b>", "plain  text", "<a>one</a> <a>x</b>"]
+    spark.createDataFrame([(7, "\n".join(lines))], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.piece_no: (r.flat_md5, r.flat_length) for r in entry.queries()["prj04_flatten_markup"](spark, str(tmp_path)).collect()}
+    cut = "\n".join(lines).replace("><", ">\n<").split("\n")
+    flat = [re.sub(r"\s+", " ", re.sub(r"<([A-Za-z0-9_:-]+)>([^<]*)</\1>", r"\1 \2", x.strip())).strip() for x in cut]
+    assert got == {i + 1: (hashlib.md5(x.encode()).hexdigest(), len(x)) for i, x in enumerate(flat)}
