@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confsieve.llm import byte_bpe, langid, length_counts, line_dedup, lm_score, minhash, mixing, simhash, topk, toxicity
+from confsieve.llm import byte_bpe, host_lines, langid, length_counts, lexical, line_dedup, lm_score, minhash, mixing, simhash, spelling, topk, toxicity
 from confsieve.llm.common import pick, read
 from confsieve.session import cut_lineage
 
@@ -137,3 +137,76 @@ def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     counted = lm_score.word_counts(docs)
     return lm_score.score(pick(docs, "doc_id", "text"), *lm_score.fit(docs, counted=counted), counted).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+
+
+#: The table of the CRC-32 of zip files, from its polynomial, and the sum over the UTF-8 bytes of a text whose code points are below U+0800.
+CRC_SQL = """
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) AS r(i)))
+"""
+_BYTES = "flatten(list_transform(regexp_extract_all(s, '.'), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [(192 + unicode(ch) // 64)::BIGINT, (128 + unicode(ch) % 64)::BIGINT] END))"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BYTES}), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT)"
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT run, n, {_CRC} AS h FROM (SELECT run, n, concat(doc_id, ':', run) AS s FROM runs), crc_table),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS MATERIALIZED (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS a, b.word AS b, b.n AS bn FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word),
+near AS (SELECT a AS word, count(*) AS n_near, max(bn) AS best_n, arg_min(b, (-bn, b)) AS best FROM pairs GROUP BY a),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+chain AS (SELECT word, form AS at FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.at FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, coalesce(e.at, f.word) AS root FROM formed f LEFT JOIN ends e USING (word)
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Each word, the words one edit from it, the far more frequent one that it may stand for, and where that leads."""
+    return spelling.variants(read(spark, folder, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORD = "'[^\\x20\\x09-\\x0D]+'"
+OP12_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS words FROM documents),
+lines AS MATERIALIZED (SELECT r, source, line, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, regexp_extract_all(line, {_WORD}) AS words
+  FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE trim(line, {_BLANKS}) <> ''),
+doubled AS (SELECT r, sum(n - 1)::BIGINT AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM lines GROUP BY ALL) GROUP BY r),
+windows AS (SELECT r, i, array_to_string(words[i : i + 7], ' ') AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r),
+hosts AS (SELECT source, count(*) AS all_docs FROM docs GROUP BY source),
+over AS (SELECT l.source, l.key FROM (SELECT source, key, count(DISTINCT r) AS n FROM lines GROUP BY ALL) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE n >= 20 AND 100 * n > all_docs),
+lost AS (SELECT r, sum(len(words)) AS words, sum(length(array_to_string(words, ''))) AS chars FROM lines l JOIN over o ON l.source IS NOT DISTINCT FROM o.source AND l.key = o.key GROUP BY r),
+base AS (SELECT d.r, doc_id, len(d.words)::BIGINT AS n_words, length(array_to_string(d.words, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(l.words, 0) AS lost_words, coalesce(l.chars, 0) AS lost_chars
+  FROM docs d LEFT JOIN doubled USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost l USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (2 * lost_chars > word_chars OR n_words - lost_words < 20) AS kept FROM judged
+"""
+
+
+@query("op12_quality_rules", OP12_SQL)
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """What each document measures, and whether it is kept once the lines that its host repeats are gone."""
+    return host_lines.judged(read(spark, folder, "documents")).select("doc_id", *host_lines.COUNTS, "base_failed", "kept")
+
+
+OP13_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+q AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n::DOUBLE + 2) / (2 * df::DOUBLE + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+m AS (SELECT r, doc_id, 25 + (75 * len(terms) * n) // l AS m FROM d, s WHERE len(terms) > 0),
+scores AS (SELECT q, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, r)::INTEGER AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every item."""
+    return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark")).select("item_id", "rank", "doc_id", "score")
