@@ -155,8 +155,9 @@ CONFIRMED_SQL = """confirmed AS (SELECT l_orderkey AS device_id, 'management.tel
 
 @query(
     "knw08_confirmed_mappings",
-    f"""WITH {EVIDENCE_SQL}, {CONFIRMED_SQL}, {evidence_findings_sql([r for r in USED if r['id'] == 'CIS-MGMT-01'], FIELD_TYPES)}
-SELECT f.device_id, CASE WHEN c.device_id IS NOT NULL THEN 'pass' ELSE f.status END AS status, c.device_id IS NOT NULL AS human FROM findings f LEFT JOIN confirmed c USING (device_id)""",
+    f"""{ALL_STATUS}, {CONFIRMED_SQL}
+SELECT f.device_id, f.rule_id, CASE WHEN c.device_id IS NOT NULL AND f.rule_id = 'CIS-MGMT-01' THEN 'pass' ELSE f.status END AS status, c.device_id IS NOT NULL AS human
+FROM findings f LEFT JOIN confirmed c ON c.device_id = f.device_id AND c.field_path = f.field_path""",
 )
 def confirmed(spark: SparkSession, d: str) -> DataFrame:
     ev = evidence(spark, d)
@@ -170,7 +171,7 @@ def confirmed(spark: SparkSession, d: str) -> DataFrame:
     # Every device stays, also one whose only evidence is of list fields.
     lists = ev.where(F.col("field_path").contains("[]")).select(merged.columns)
     packed_again = ru.pack_evidence(merged.unionByName(lists), ["device_id", "vendor"], ["confidence"])
-    # ``human``: the rule reads a field that a person confirmed. The SQL still states CIS-MGMT-01 only; tests/test_whole_results.py has all rules.
+    # ``human``: the rule reads a field that a person confirmed.
     found = ru.evaluate(packed_again, ["device_id"], USED)
     answered = human.select("device_id", "field_path", F.lit(True).alias("human"))
     return found.join(answered, ["device_id", "field_path"], "left").select("device_id", "rule_id", "status", F.coalesce("human", F.lit(False)).alias("human"))

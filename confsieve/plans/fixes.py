@@ -15,7 +15,7 @@ from confsieve.plans.adapters import DOC_BASE_SQL, DOC_SIGNATURES, DOC_SQL, FIEL
 from confsieve.plans.evidences import REMEDIES_SQL
 from confsieve.plans.registry import half_up, query, text
 
-FIELD_SQL = "CASE rule_id " + " ".join(f"WHEN {text(k)} THEN {text(FIELD_OF[k])}" for k in ("CIS-MGMT-01", "CIS-MGMT-02", "CIS-AUTH-01", "CIS-LOG-01", "CIS-CRYPTO-01")) + " END"
+FIELD_SQL = "CASE rule_id " + " ".join(f"WHEN {text(k)} THEN {text(FIELD_OF[k])}" for k in ("CIS-MGMT-01", "CIS-MGMT-02", "CIS-AUTH-01", "CIS-LOG-01", "CIS-CRYPTO-01", "CIS-AUTH-02")) + " END"
 
 
 def order_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -141,9 +141,14 @@ def structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- gates ------------------------------------------------------------------------------------------------------------------------------------
-# A run is a device; its first finding per rule is the original, its last the candidate.
+# A run is a device; its first finding per rule is the original, its last since CANDIDATES_FROM the candidate. Every order is also an audit of the
+# control that no priority stands for.
 
-SIDES_SQL = f"""{ORDERS_SQL}, o AS (SELECT device_id, rule_id, arg_min(status, seq) AS status FROM findings GROUP BY ALL), c AS (SELECT device_id, rule_id, arg_max(status, seq) AS status FROM findings WHERE seq % 7 <> 0 GROUP BY ALL),
+CANDIDATES_FROM = "1997-01-01"
+CRITICAL_SQL = "(" + ", ".join(text(c) for c in rem.CRITICAL_CONTROLS) + ")"
+
+SIDES_SQL = f"""{ORDERS_SQL}, audits AS (SELECT device_id, seq, rule_id, status, audited_at FROM findings UNION ALL SELECT o_custkey, o_orderkey, 'CIS-AUTH-02', CASE WHEN o_totalprice > 400000 THEN 'fail' ELSE 'pass' END, o_orderdate FROM orders),
+o AS (SELECT device_id, rule_id, arg_min(status, seq) AS status FROM audits GROUP BY ALL), c AS (SELECT device_id, rule_id, arg_max(status, seq) AS status FROM audits WHERE audited_at >= TIMESTAMP '{CANDIDATES_FROM}' GROUP BY ALL),
 targets AS (SELECT device_id, rule_id FROM o WHERE status = 'fail' UNION SELECT device_id, 'CIS-ACL-02' FROM o WHERE device_id % 5 = 0),
 t AS (SELECT g.device_id, g.rule_id, o.status AS original_status, c.status AS candidate_status, CASE WHEN o.status IS NULL THEN 'target rule not found in original findings' WHEN o.status <> 'fail' THEN 'original was not failing' WHEN c.status IS NULL THEN 'rule not evaluated in candidate'
   WHEN c.status = 'pass' THEN 'fixed' WHEN c.status = 'not_applicable' THEN 'control no longer applicable' ELSE 'violation still present' END AS note FROM targets g LEFT JOIN o USING (device_id, rule_id) LEFT JOIN c USING (device_id, rule_id)),
@@ -151,7 +156,7 @@ tr AS (SELECT *, note IN ('original was not failing', 'fixed', 'control no longe
 j AS (SELECT coalesce(o.device_id, c.device_id) AS device_id, coalesce(o.rule_id, c.rule_id) AS rule_id, o.status AS os, c.status AS cs FROM o FULL JOIN c ON o.device_id = c.device_id AND o.rule_id = c.rule_id),
 reg AS (SELECT device_id, count(*) FILTER (WHERE os = 'pass' AND cs = 'fail') AS regressions, count(*) FILTER (WHERE os = 'fail' AND cs = 'pass') AS improvements, count(*) FILTER (WHERE os = 'fail' AND cs = 'pass' AND (rule_id LIKE 'CIS-MGMT%' OR rule_id LIKE 'CIS-AUTH%')) AS reviewable_improvements,
   count(*) FILTER (WHERE os = 'pass') AS before_pass, count(*) FILTER (WHERE os = 'fail') AS before_fail, count(*) FILTER (WHERE cs = 'pass') AS after_pass, count(*) FILTER (WHERE cs = 'fail') AS after_fail FROM j GROUP BY device_id),
-inv AS (SELECT device_id, count(*) FILTER (WHERE status = 'fail' AND rule_id IN ('CIS-MGMT-01', 'CIS-CRYPTO-01')) AS failing_critical, 2 - count(*) FILTER (WHERE rule_id IN ('CIS-MGMT-01', 'CIS-CRYPTO-01')) AS missing_critical FROM c GROUP BY device_id),
+inv AS (SELECT device_id, count(*) FILTER (WHERE status = 'fail' AND rule_id IN {CRITICAL_SQL}) AS failing_critical, {len(rem.CRITICAL_CONTROLS)} - count(*) FILTER (WHERE rule_id IN {CRITICAL_SQL}) AS missing_critical FROM c GROUP BY device_id),
 tg AS (SELECT device_id, count(*) AS targets, count(*) FILTER (WHERE NOT resolved) AS unresolved, count(*) FILTER (WHERE resolved AND note <> 'fixed') AS edge_notes FROM tr GROUP BY device_id),
 runs AS (SELECT DISTINCT device_id, CASE WHEN device_id % 17 = 0 THEN 1 ELSE 0 END AS structure_errors FROM o),
 v0 AS (SELECT r.device_id, structure_errors, coalesce(targets, 0) AS targets, coalesce(unresolved, 0) AS unresolved, coalesce(edge_notes, 0) AS edge_notes, coalesce(regressions, 0) AS regressions, coalesce(improvements, 0) AS improvements, coalesce(reviewable_improvements, 0) AS reviewable_improvements,
@@ -167,9 +172,12 @@ pro AS (SELECT *, passed AND reviewable_improvements = 0 AND edge_notes = 0 AS a
 
 
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = findings(spark, d)
+    length = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("seq"), F.lit("CIS-AUTH-02").alias("rule_id"), F.when(F.col("o_totalprice") > 400000, "fail").otherwise("pass").alias("status"), F.col("o_orderdate").alias("audited_at")
+    )
+    f = findings(spark, d).select(length.columns).unionByName(length)
     first, _ = fi.first_and_last(f, ["device_id", "rule_id"], "seq")
-    _, last = fi.first_and_last(f.where("seq % 7 <> 0"), ["device_id", "rule_id"], "seq")
+    _, last = fi.first_and_last(f.where(F.col("audited_at") >= F.to_timestamp(F.lit(CANDIDATES_FROM))), ["device_id", "rule_id"], "seq")
     extra = first.where("device_id % 5 = 0").select("device_id", F.lit("CIS-ACL-02").alias("rule_id"))
     return first, last, first.where("status = 'fail'").select("device_id", "rule_id").unionByName(extra).distinct()
 
@@ -178,7 +186,7 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
     first, last, targets = sides(spark, d)
     runs = first.select("device_id").distinct().withColumn("structure_errors", F.when(F.col("device_id") % 17 == 0, 1).otherwise(0))
     return rem.verdict(
-        runs, rem.target_resolution(targets, first, last, "device_id"), rem.regressions(first, last, "device_id"), rem.invariants(last, "device_id", ["CIS-MGMT-01", "CIS-CRYPTO-01"]), "device_id"
+        runs, rem.target_resolution(targets, first, last, "device_id"), rem.regressions(first, last, "device_id"), rem.invariants(last, "device_id", list(rem.CRITICAL_CONTROLS)), "device_id"
     )
 
 
@@ -211,12 +219,8 @@ def matched_sides(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("before_status", "after_status").agg(F.count("*").alias("rules"))
 
 
-CRITICAL_SQL = "(" + ", ".join(text(c) for c in rem.CRITICAL_CONTROLS) + ")"
-
-
 @query("rem08_invariants", f"WITH {SIDES_SQL} SELECT device_id, count(*) FILTER (WHERE status = 'fail' AND rule_id IN {CRITICAL_SQL}) AS failing_critical, {len(rem.CRITICAL_CONTROLS)} - count(*) FILTER (WHERE rule_id IN {CRITICAL_SQL}) AS missing_critical FROM c GROUP BY device_id")
 def invariant(spark: SparkSession, d: str) -> DataFrame:
-    """All critical controls. The gate queries below use the two that the data can satisfy, as every run would else be rejected."""
     _, last, _ = sides(spark, d)
     return rem.invariants(last, "device_id", list(rem.CRITICAL_CONTROLS))
 
@@ -253,7 +257,7 @@ def recent_runs(spark: SparkSession, d: str) -> DataFrame:
 # ---- reports ------------------------------------------------------------------------------------------------------------------------------------
 
 SECTION_SQL = f"""{SIDES_SQL}, {REMEDIES_SQL}, lf AS (SELECT c.device_id, c.rule_id, c.status, CASE c.device_id % 3 WHEN 0 THEN 'cisco_ios' WHEN 1 THEN 'juniper_junos' ELSE 'huawei_vrp' END AS vendor, {FIELD_SQL} AS field_path,
-  CASE rule_id WHEN 'CIS-MGMT-01' THEN 'critical' WHEN 'CIS-MGMT-02' THEN 'high' WHEN 'CIS-AUTH-01' THEN 'medium' WHEN 'CIS-LOG-01' THEN 'low' ELSE 'info' END AS severity FROM c),
+  CASE rule_id WHEN 'CIS-MGMT-01' THEN 'critical' WHEN 'CIS-MGMT-02' THEN 'high' WHEN 'CIS-AUTH-01' THEN 'medium' WHEN 'CIS-LOG-01' THEN 'low' WHEN 'CIS-AUTH-02' THEN 'high' ELSE 'info' END AS severity FROM c),
 items AS (SELECT device_id, rule_id, severity, field_path, status, '  - `' || rule_id || '` (' || severity || ') — ' || field_path || CASE WHEN fix_command IS NULL THEN '' ELSE ' fix: ' || split_part(fix_command, chr(10), 1) END AS item FROM lf LEFT JOIN remedies USING (rule_id, vendor)),
 sections AS (SELECT device_id, count(*) FILTER (WHERE status = 'fail') AS failing, count(*) AS evaluated, '- **' || device_id || '**: ' || count(*) FILTER (WHERE status = 'fail') || ' failing checks out of ' || count(*) || ' evaluated' || chr(10) || coalesce(string_agg(item, chr(10) ORDER BY item) FILTER (WHERE status = 'fail'), '') AS section FROM items GROUP BY device_id)"""
 
@@ -263,7 +267,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     from confsieve.plans.adapters import RULE_OF, SEVERITY_OF
 
     _, last, _ = sides(spark, d)
-    severity = {RULE_OF[k]: v for k, v in SEVERITY_OF.items()}
+    severity = {RULE_OF[k]: v for k, v in SEVERITY_OF.items()} | {"CIS-AUTH-02": "high"}
     n = F.col("device_id") % 3
     full = last.withColumn("vendor", F.when(n == 0, "cisco_ios").when(n == 1, "juniper_junos").otherwise("huawei_vrp"))
     full = full.withColumn("field_path", F.try_element_at(literal_map(FIELD_OF), F.col("rule_id"))).withColumn("severity", F.try_element_at(literal_map(severity), F.col("rule_id")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from confsieve.functions.tables import computed
 from confsieve.operators import detection as de
 from confsieve.operators import fingerprint as fp
 from confsieve.operators import profile as pr
 from confsieve.plans.adapters import DOC_BASE_SQL, DOC_SIGNATURES, DOC_SQL, configs, table
 from confsieve.plans.registry import half_up, query, text
+from confsieve.session import cut_lineage
 
 # ---- device profile -------------------------------------------------------------------------------------------------------------------
 
@@ -267,25 +269,30 @@ def predicate_columns(spark: SparkSession, d: str) -> DataFrame:
 BASE_SQL = f"{RESULTS_SQL}, now AS (SELECT config_id, truth, CASE WHEN s1 IS NULL OR s1 < 0.02::DOUBLE THEN 'unknown' ELSE v1 END AS vendor FROM decided JOIN doc USING (config_id)), converted AS (SELECT r.config_id FROM results r JOIN now n USING (config_id) WHERE r.vendor = 'unknown' AND n.vendor NOT IN ('unknown', n.truth))"
 
 
-def lower_floor(spark: SparkSession, d: str) -> DataFrame:
-    """The same detector with a lower evidence floor: the change the gate is asked about."""
-    r = fp.fingerprint(configs(spark, d), DOC_SIGNATURES, floor=0.02)
-    return r.withColumn("outcome", de.outcome(F.col("vendor") == F.col("truth"), F.col("vendor")))
+def two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The detector at its floor and at a lower one, the change the gate is asked about: texts are scored once, and ``ranking`` decides both."""
+    scored = fp.score_vendors(configs(spark, d), DOC_SIGNATURES).select("config_id", "truth", fp.vendor_at(fp.EVIDENCE_FLOOR).alias("vendor"), fp.vendor_at(0.02).alias("vendor_after"))
+    runs = computed(scored, outcome=_outcome("vendor"), outcome_after=_outcome("vendor_after"))
+    return cut_lineage(runs, "two-runs")
 
 
-def converted(spark: SparkSession, d: str) -> DataFrame:
-    abstained = results(spark, d).where("outcome = 'abstained'").select("config_id")
-    return lower_floor(spark, d).where("outcome = 'wrong'").select("config_id").join(abstained, "config_id", "left_semi")
+def _outcome(vendor: str) -> F.Column:
+    return de.outcome(de.vendor_matches(F.col("truth"), F.lit(""), F.col(vendor)), F.col(vendor))
+
+
+def converted(runs: DataFrame) -> DataFrame:
+    return runs.where("outcome = 'abstained' AND outcome_after = 'wrong'").select("config_id")
 
 
 @query("jon12_abstentions_turned_wrong", f"WITH {BASE_SQL} SELECT config_id FROM converted")
 def turned(spark: SparkSession, d: str) -> DataFrame:
-    return converted(spark, d)
+    return converted(two_runs(spark, d))
 
 
 @query("set01_run_intersection", f"WITH {BASE_SQL} SELECT config_id FROM results WHERE outcome = 'correct' INTERSECT SELECT config_id FROM now WHERE vendor = truth")
 def intersection(spark: SparkSession, d: str) -> DataFrame:
-    return results(spark, d).where("outcome = 'correct'").select("config_id").intersect(lower_floor(spark, d).where("outcome = 'correct'").select("config_id"))
+    runs = two_runs(spark, d)
+    return runs.where("outcome = 'correct'").select("config_id").intersect(runs.where("outcome_after = 'correct'").select("config_id"))
 
 
 @query(
@@ -300,14 +307,11 @@ def gate(spark: SparkSession, d: str) -> DataFrame:
         o = F.col("outcome")
         return r.agg(F.count_if(o == "wrong").alias("wrong"), de.ratio(F.count_if(o == "correct"), F.count_if(o != "abstained")).alias("precision"))
 
-    from confsieve.session import cut_lineage
-
     fam = {"french": "truth = 'fr'"}
-    # Each run is read several times; only its narrow verdicts are kept.
-    before, after = (cut_lineage(r.select("config_id", "truth", "vendor", "outcome"), "run") for r in (results(spark, d), lower_floor(spark, d)))
-    turned_wrong = after.where("outcome = 'wrong'").select("config_id").join(before.where("outcome = 'abstained'").select("config_id"), "config_id", "left_semi")
+    runs = two_runs(spark, d)
+    before, after = runs.select("config_id", "truth", "outcome"), runs.select("config_id", "truth", F.col("outcome_after").alias("outcome"))
     return de.regression_gate(
-        metrics(before), metrics(after), de.failure_families(before.where("outcome = 'wrong'"), fam), de.failure_families(after.where("outcome = 'wrong'"), fam), turned_wrong, "french"
+        metrics(before), metrics(after), de.failure_families(before.where("outcome = 'wrong'"), fam), de.failure_families(after.where("outcome = 'wrong'"), fam), converted(runs), "french"
     ).select("criterion")
 
 

@@ -249,13 +249,12 @@ members AS MATERIALIZED (SELECT u.seq, u.config_id, u.vendor, u.raw, g.seed FROM
 groups AS (SELECT seed, count(DISTINCT config_id) AS devices, count(*) AS lines, min(seq) AS first_order FROM members GROUP BY seed)"""
 
 
-@query("jon09_similar_lines", f"WITH {CLUSTER_SQL} SELECT i, j, {half_up('similarity', 6)} AS similarity FROM near JOIN greedy ON greedy.node = near.j AND greedy.seed = near.i")
+@query("jon09_similar_lines", f"WITH {CLUSTER_SQL} SELECT i, j, {half_up('similarity', 6)} AS similarity FROM near")
 def similar(spark: SparkSession, d: str) -> DataFrame:
     """Every two similar lines of a vendor, each distinct line named by its first occurrence."""
     from confsieve.functions.numbers import round_half_up
     from confsieve.session import cut_lineage
 
-    # The SQL still keeps only the pairs of a member and the line that opened its group; tests/test_whole_results.py has all of ``near``.
     nodes = cut_lineage(cluster.collapse_equal(unknown(spark, d), "vendor", "raw", "seq"), "similar-lines")
     return similarity.similar_pairs(nodes, "vendor", "node", "raw", "copies").withColumn("similarity", round_half_up(F.col("similarity"), 6))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from confsieve.catalog.signatures import SIGNATURES
 from confsieve.functions import text as t
 from confsieve.functions.tables import literal_map
 from confsieve.operators import fingerprint as fp
@@ -59,7 +60,12 @@ def markers(spark: SparkSession, d: str) -> DataFrame:
 # Markup pages are cut at tag borders into directive-like pieces.
 PIECES_SQL = f"""pieces AS (SELECT page_id, CAST(i AS INTEGER) AS piece_no, trim(p[i], {BLANKS_SQL}) AS piece
   FROM (SELECT page_id, string_split(replace(replace(html, '><', '>' || chr(10) || '<'), '</p>', '</p>' || chr(10)), chr(10)) AS p FROM pages), unnest(range(1, len(p) + 1)) AS t(i))"""
-FLAT_SQL = f"trim(regexp_replace(regexp_replace(trim(piece, {BLANKS_SQL}), '<([A-Za-z0-9_:-]+)>([^<]*)</([A-Za-z0-9_:-]+)>', '\\1 \\2', 'g'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')"
+# DuckDB has no back-reference. Text between two tags holds no tag, so that pairs never overlap: all are cut out, and those of equal names flattened.
+TAG_SQL = "[A-Za-z0-9_:-]+"
+PAIR_SQL = f"'<({TAG_SQL})>([^<]*)</({TAG_SQL})>'"
+PAIRED_SQL = f"""array_to_string(list_transform(list_zip(regexp_split_to_array(piece, '<{TAG_SQL}>[^<]*</{TAG_SQL}>'), regexp_extract_all(piece, {PAIR_SQL})), lambda z: z[1] || CASE WHEN z[2] IS NULL THEN ''
+  WHEN regexp_extract(z[2], {PAIR_SQL}, 1) = regexp_extract(z[2], {PAIR_SQL}, 3) THEN regexp_extract(z[2], {PAIR_SQL}, 1) || ' ' || regexp_extract(z[2], {PAIR_SQL}, 2) ELSE z[2] END), '')"""
+FLAT_SQL = f"trim(regexp_replace({PAIRED_SQL}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')"
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -71,11 +77,7 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# The SQL, without a back-reference, leaves out pieces whose first pair has different tag names; the query keeps all.
-@query(
-    "prj04_flatten_markup",
-    f"WITH {PIECES_SQL} SELECT page_id, piece_no, md5({FLAT_SQL}) AS flat_md5, length({FLAT_SQL}) AS flat_length FROM pieces WHERE NOT regexp_matches(piece, '<([A-Za-z0-9_:-]+)>[^<]*</([A-Za-z0-9_:-]+)>') OR regexp_extract(piece, '<([A-Za-z0-9_:-]+)>[^<]*</([A-Za-z0-9_:-]+)>', 1) = regexp_extract(piece, '<([A-Za-z0-9_:-]+)>[^<]*</([A-Za-z0-9_:-]+)>', 2)",
-)
+@query("prj04_flatten_markup", f"WITH {PIECES_SQL}, flat AS (SELECT page_id, piece_no, {FLAT_SQL} AS f FROM pieces) SELECT page_id, piece_no, md5(f) AS flat_md5, length(f) AS flat_length FROM flat")
 def flatten(spark: SparkSession, d: str) -> DataFrame:
     flat = t.flatten_markup(F.col("piece"))
     return pieces(spark, d).select("page_id", "piece_no", F.md5(flat).alias("flat_md5"), F.length(flat).cast("bigint").alias("flat_length"))
@@ -164,12 +166,11 @@ def _fix(x: str, n: int) -> str:
     return f"printf('%.{n}f', {half_up(x, n)})"
 
 
-REASON_SQL = f"""CASE WHEN empty THEN 'Configuration is empty.'
-  WHEN s1 IS NULL AND n_lines <= 6 THEN 'Only ' || n_lines || ' substantive line(s); no vendor signature matched.'
-  WHEN s1 IS NULL THEN 'No vendor signature matched despite a substantive configuration.'
-  WHEN s1 < 0.08::DOUBLE THEN 'Best candidate ' || v1 || ' scored only ' || {_fix('s1', 3)} || ', below the 0.08 evidence floor' || CASE WHEN n_lines <= 6 THEN ' across ' || n_lines || ' substantive line(s).' ELSE '.' END
-  WHEN s2 > 0 AND margin < 0.15::DOUBLE THEN v1 || ' (' || {_fix('s1', 2)} || ') and ' || v2 || ' (' || {_fix('s2', 2)} || ') score within ' || CAST(CAST(floor(margin * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) || '%; evidence does not separate them.'
-  WHEN s1 < 0.62::DOUBLE THEN 'Best match ' || v1 || ' scored ' || {_fix('s1', 2)} || ', below the 0.62 confidence threshold.' END"""
+FEW_SQL = "CASE WHEN n_lines <= 6 THEN '; lines of substance: ' || n_lines ELSE '' END"
+REASON_SQL = f"""CASE WHEN empty THEN 'nothing to read' WHEN s1 IS NULL THEN 'no family has a marker here' || {FEW_SQL}
+  WHEN s1 < 0.08::DOUBLE THEN 'too little evidence: ' || v1 || ' leads with ' || {_fix('s1', 3)} || ', 0.08 is needed' || {FEW_SQL}
+  WHEN s2 > 0 AND margin < 0.15::DOUBLE THEN 'undecided between ' || v1 || ' at ' || {_fix('s1', 2)} || ' and ' || v2 || ' at ' || {_fix('s2', 2)} || ', ' || CAST(CAST(floor(margin * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) || '% apart'
+  WHEN s1 < 0.62::DOUBLE THEN 'likely ' || v1 || ' at ' || {_fix('s1', 2)} || ', sure from 0.62 on' END"""
 
 
 @query("fpr03_certainty_status", f"WITH {DOC_BASE_SQL} SELECT config_id, {STATUS_SQL} AS vendor_status, {REASON_SQL} AS vendor_reason FROM decided")
@@ -193,6 +194,50 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return fp.top_ranking(fp.score_vendors(configs(spark, d), DOC_SIGNATURES), ["config_id"])
 
 
+#: Documents and pages as configurations of one table.
+ALL_TEXTS_SQL = "every AS (SELECT 'd' || doc_id AS config_id, coalesce(text, '') AS raw_text FROM documents UNION ALL SELECT 'p' || page_id, coalesce(html, '') FROM pages)"
+
+
+def all_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("config_id"), F.coalesce("text", F.lit("")).alias("raw_text"))
+    return docs.unionByName(table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id")).alias("config_id"), F.coalesce("html", F.lit("")).alias("raw_text")))
+
+
+@query(
+    "fpr01_stated_catalogue",
+    f"WITH {ALL_TEXTS_SQL}, {scores_sql('every', SIGNATURES)} SELECT e.config_id, coalesce(arg_min(vendor, (-score, ordinal)), 'unknown') AS leading, count(vendor) AS families FROM every e LEFT JOIN scores s USING (config_id) GROUP BY e.config_id",
+)
+def stated(spark: SparkSession, d: str) -> DataFrame:
+    """The stated families over documents and pages."""
+    scored = fp.score_vendors(all_texts(spark, d))
+    return scored.select("config_id", fp.vendor_at(0.0).alias("leading"), F.size("ranking").cast("bigint").alias("families"))
+
+
+CATALOGUE_SQL = """words AS (SELECT item_id, unnest(w) AS marker, generate_subscripts(w, 1) AS i, len(w) AS n FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2) AS w FROM benchmark)),
+markers AS (SELECT DISTINCT CASE WHEN 2 * i <= n THEN 2 * item_id ELSE 2 * item_id + 1 END AS ordinal, CASE WHEN length(marker) > 5 THEN 'strong' ELSE 'weak' END AS tier, marker FROM words),
+possible AS (SELECT ordinal, sum(CASE tier WHEN 'strong' THEN 3 ELSE 1 END)::DOUBLE AS possible FROM markers GROUP BY ordinal),
+low AS (SELECT doc_id, lower(text) AS t, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS k FROM documents),
+hit AS (SELECT doc_id, ordinal, sum(CASE tier WHEN 'strong' THEN 3 ELSE 1 END)::DOUBLE AS earned FROM low, markers WHERE CASE tier WHEN 'strong' THEN contains(t, marker) ELSE contains(k, ' ' || marker || ' ') END GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(ordinal, (-earned / possible, ordinal)) AS ordinal, max(earned / possible) AS score, count(*) AS families FROM hit JOIN possible USING (ordinal) GROUP BY doc_id)"""
+
+
+@query(
+    "fpr02_loaded_catalogue",
+    f"WITH {CATALOGUE_SQL} SELECT d.doc_id, coalesce(b.ordinal, -1) AS family, {half_up('coalesce(score, 0::DOUBLE)', 6)} AS score, coalesce(families, 0) AS families FROM documents d LEFT JOIN best b USING (doc_id)",
+)
+def loaded(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue from a table, two families an item: the words of either half mark it."""
+    from confsieve.functions.numbers import round_half_up
+
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 2)
+    cut = table(spark, d, "benchmark").select("item_id", F.size(words).alias("n"), F.posexplode(words).alias("i", "marker"))
+    family = 2 * F.col("item_id") + F.when(2 * (F.col("i") + 1) <= F.col("n"), 0).otherwise(1)
+    markers = cut.select(family.alias("ordinal"), family.cast("string").alias("vendor"), F.when(F.length("marker") > 5, "strong").otherwise("weak").alias("tier"), "marker")
+    scored = fp.score_vendors(table(spark, d, "documents"), fp.catalogue(markers), text="text")
+    best = F.try_element_at("ranking", F.lit(1))
+    return scored.select("doc_id", F.coalesce(best["vendor"].cast("bigint"), F.lit(-1)).alias("family"), round_half_up(F.coalesce(best["score"], F.lit(0.0)), 6).alias("score"), F.size("ranking").cast("bigint").alias("families"))
+
+
 @query(
     "jon01_marker_hits",
     f"WITH {DOC_SQL}, low AS (SELECT config_id, lower(raw_text) AS t FROM doc), hits AS ("

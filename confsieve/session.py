@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders given out by run_folder.
+#: Folders given out by run_folder, and the temporary folder of a local session that names none.
 RUN_FOLDERS: list[str] = []
+_LOCAL_FOLDER: list[str] = []
 
 
 def local_session(app: str = "confsieve", cores: str = "*") -> SparkSession:
@@ -33,8 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="confsieve-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _LOCAL_FOLDER:  # Spark does not let this setting be changed while a session runs
+            _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="confsieve-"))
+        folder = _LOCAL_FOLDER[0]
     return folder
 
 
