@@ -8,7 +8,8 @@ without an id of its own is then told from the others of its bucket by its share
 1. All words of all documents are counted; the most frequent become the vocabulary, their logs the starting biases.
 2. Training runs where the texts lie. In each round every task takes gradient steps (Adagrad) from the common parameters on its own documents,
    and the results are averaged by the number of words seen, in two levels. Each round trains on one in ``PART`` positions of every
-   document, chosen by a hash of place and neighbours; the rounds together train on every position once.
+   document, chosen by a hash of place and neighbours; the rounds together train on every position once. Ids are written when words have been
+   counted; training and scoring read them and no texts.
 3. All positions of all documents are scored. The share of a word in its bucket comes from the counts: those of the ``KNOWN`` next frequent
    words are sent to the tasks, all others meet the distinct words of each document in a join. One count a bucket is left for unseen words.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ CLASSES, WIDE = 32, 32
 IDS = CLASSES * WIDE
 FREQUENT, PAD = 24 * WIDE, IDS
 OFFSETS, DIM = (-2, -1, 1, 2), 24
-ROUNDS, BATCH, RATE = 2, 2048, 0.1
+ROUNDS, BATCH, RATE = 2, 8192, 0.3
 #: A round trains on one in so many positions, so that the rounds together train on every position once.
 PART = ROUNDS
 #: Distinct words a task counts, and ids it remembers, before it hands out or starts anew; pieces the parameters travel in.
@@ -68,17 +70,39 @@ class Ids(dict):
         return n
 
 
-def laid_out(ids: Ids, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def placed(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids with two pads before, between and after the texts, where the words are, words of each text)."""
-    split = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in split], np.int64)
-    flat = np.fromiter(map(ids.__getitem__, (w for words in split for w in words)), np.int64, int(counts.sum()))
-    at = np.arange(len(flat)) + 2 * np.repeat(np.arange(1, len(texts) + 1), counts)
-    out = np.full(len(flat) + 2 * (len(texts) + 1), PAD, np.int64)
+    at = np.arange(len(flat)) + 2 * np.repeat(np.arange(1, len(counts) + 1), counts)
+    out = np.full(len(flat) + 2 * (len(counts) + 1), PAD, np.int16)
     out[at] = flat
     return out, at, counts
 
 
+def ids_of(ids: Ids, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(w) for w in split], np.int64)
+    return np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int16, int(counts.sum())), counts
+
+
+def laid_out(ids: Ids, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return placed(*ids_of(ids, [words_of(t) for t in texts]))
+
+
+def texts_laid_out(frequent: list[bytes]):
+    ids = Ids(frequent)
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for _, texts in slices(batches):
+            yield laid_out(ids, texts)
+
+    return lay
+
+
+def ids_laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """From a table of :func:`encoded`: ids are written once and then read."""
+    for _, ids in slices(batches, "ids"):
+        yield placed(np.frombuffer(b"".join(ids), np.int16), np.array([len(x) // 2 for x in ids], np.int64))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
 
@@ -171,27 +195,34 @@ def step(params: dict, seen: dict, line: np.ndarray, at: np.ndarray, rate: float
     error[rows, group] -= 1
     grads["classes"], grads["class_bias"] = h.T @ error, error.sum(axis=0)
     back = error @ params["classes"].T
+    # Class by class, with the positions of a class side by side. Sorting small integers is a radix sort.
     order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=CLASSES))
-    for c, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+    ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
+    h_sorted, member, below = h[order], member[order], np.empty_like(back)
+    for c, (a, b) in enumerate(zip([0, *ends], ends)):
         if b > a:
-            own = order[a:b]
-            error = _softmax(h[own] @ params["words"][c] + params["word_bias"][c])
-            error[np.arange(b - a), member[own]] -= 1
-            grads["words"][c], grads["word_bias"][c] = h[own].T @ error, error.sum(axis=0)
-            back[own] += error @ params["words"][c].T
+            own, words = h_sorted[a:b], params["words"][c]
+            error = _softmax(own @ words + params["word_bias"][c])
+            error[rows[: b - a], member[a:b]] -= 1
+            grads["words"][c], grads["word_bias"][c] = own.T @ error, error.sum(axis=0)
+            np.matmul(error, words.T, out=below[a:b])
+    back[order] += below
     back *= 1 - h * h
     grads["hidden"] = back.sum(axis=0)
     for name, grad in grads.items():
         grad /= len(at)
         seen[name] += grad * grad
         params[name] -= rate * grad / np.sqrt(seen[name])
+    back /= len(at)
     for place, offset in enumerate(OFFSETS):
-        ids, where = np.unique(line[at + offset], return_inverse=True)
-        order = np.argsort(where, kind="stable")
-        grad = np.add.reduceat(back[order], np.r_[0, np.flatnonzero(np.diff(where[order])) + 1], axis=0) / len(at)
-        seen["places"][place][ids] += grad * grad
-        params["places"][place][ids] -= rate * grad / np.sqrt(seen["places"][place][ids])
+        ids = line[at + offset]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        starts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1]
+        grad, ids = np.add.reduceat(back[order], starts, axis=0), ids[starts]
+        squares = seen["places"][place][ids] + grad * grad
+        seen["places"][place][ids] = squares
+        params["places"][place][ids] -= rate * grad / np.sqrt(squares)
 
 
 def chosen(line: np.ndarray, at: np.ndarray, counts: np.ndarray, part: int) -> np.ndarray:
@@ -203,17 +234,16 @@ def chosen(line: np.ndarray, at: np.ndarray, counts: np.ndarray, part: int) -> n
 
 
 def train_round(docs: DataFrame, frequent: list[bytes], params: dict, part: int) -> dict:
-    """One round of local steps and averaging."""
-    spark = docs.sparkSession
+    """One round of local steps and averaging, over texts or over their written ids."""
+    spark, written = docs.sparkSession, "ids" in docs.columns
     sent = spark.sparkContext.broadcast((frequent, flat(params)))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, values = sent.value
-        params, ids = shaped(values), Ids(frequent)
+        params, lay = shaped(values), ids_laid_out if written else texts_laid_out(frequent)
         seen = {name: np.full(shape, 1e-4, np.float32) for name, shape in _SHAPES.items()}
         total = 0
-        for _, texts in slices(batches):
-            line, at, counts = laid_out(ids, texts)
+        for line, at, counts in lay(batches):
             own = chosen(line, at, counts, part)
             for low in range(0, len(own), BATCH):
                 step(params, seen, line, own[low : low + BATCH], RATE)
@@ -229,7 +259,7 @@ def train_round(docs: DataFrame, frequent: list[bytes], params: dict, part: int)
         row["data"], row["n"] = [mean.astype(np.float32).tobytes()], [int(n.sum())]
         return row
 
-    own = pick(docs, "text").mapInArrow(local, "piece int, data binary, n long").withColumn("fan", F.spark_partition_id() % FAN)
+    own = pick(docs, "ids" if written else "text").mapInArrow(local, "piece int, data binary, n long").withColumn("fan", F.spark_partition_id() % FAN)
     schema = "piece int, data binary, n long, fan int"
     first = own.groupBy("piece", "fan").applyInPandas(average, schema)
     rows = first.groupBy("piece").applyInPandas(average, schema).select("piece", "data").collect()  # the parameters once
@@ -244,16 +274,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, rounds: int = ROUNDS, counted: DataFrame | None = None) -> tuple[list[bytes], dict]:
     """The vocabulary and the trained parameters; ``counted`` are the written counts of ``docs`` where the caller has them."""
     counted = word_counts(docs) if counted is None else counted
+    frequent, params = untrained(counted)
+    return frequent, trained(pick(docs, "text"), frequent, params, rounds)
+
+
+def untrained(counted: DataFrame) -> tuple[list[bytes], dict]:
     top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
     frequent = [bytes(r.word) for r in top]
     total = counted.agg(F.sum("n")).first()[0] or 0
     counts = np.zeros(IDS)
     counts[: len(top)] = [r.n for r in top]
     counts[FREQUENT:] = (total - counts.sum()) / (IDS - FREQUENT)
-    params = start(counts)
+    return frequent, start(counts)
+
+
+def trained(docs: DataFrame, frequent: list[bytes], params: dict, rounds: int = ROUNDS) -> dict:
     for part in range(rounds):
         params = train_round(docs, frequent, params, part)
-    return frequent, params
+    return params
 
 
 class Logs(dict):
@@ -286,56 +324,128 @@ def bucket_logs(counted: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return np.log(out)
 
 
+class Shares:
+    """What a word says about its bucket: the log of its count less that of the bucket, for the words known to the tasks."""
+
+    def __init__(self, known: dict[bytes, float], rest: np.ndarray):
+        self.logs, self.rest = Logs(known), rest
+
+    def of(self, split: list[list[bytes]], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """For each text the sum over its words without an id, unknown ones as if seen once, and the unknown (word, times)."""
+        said = list(chain.from_iterable(split))
+        tail = np.flatnonzero(ids >= FREQUENT)
+        logs = np.fromiter((self.logs[said[i]] for i in tail.tolist()), np.float64, len(tail))
+        document = np.repeat(np.arange(len(split)), counts)
+        sums = np.bincount(document[tail], np.nan_to_num(logs) - self.rest[ids[tail] - FREQUENT], len(split)).astype(np.float64)
+        unknown = tail[np.isnan(logs)]
+        rare: list[Counter] = [Counter() for _ in split]
+        for i, d in zip(unknown.tolist(), document[unknown].tolist()):
+            rare[d][said[i].strip(MARKS) or said[i]] += 1
+        offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rare])], pa.int32())
+        pairs = [pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())]
+        return sums, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "times"]))
+
+
+def _known(counted: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, float], np.ndarray]:
+    top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT + KNOWN).collect()  # bounded
+    own_id = set(frequent)
+    return {bytes(r.word): float(np.log(r.n)) for r in top if bytes(r.word) not in own_id}, bucket_logs(counted, frequent)
+
+
+RARE = ArrayType(StructType([StructField("word", BinaryType()), StructField("times", LongType())]))
+SCORES = [StructField("n_words", LongType()), StructField("log_prob", DoubleType()), StructField("mean_log_prob", DoubleType())]
+
+
+def encoded(docs: DataFrame, frequent: list[bytes], counted: DataFrame) -> DataFrame:
+    """A written table of the columns of ``docs`` but the text (``doc``), row, ids (two bytes a word), and what :class:`Shares` says."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, *_known(counted, frequent)))
+    own: dict = {}
+
+    def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+        if not own:
+            own.update(ids=Ids(sent.value[0]), shares=Shares(*sent.value[1:]))
+        split = [words_of(t) for t in texts]
+        ids, counts = ids_of(own["ids"], split)
+        sums, rare = own["shares"].of(split, ids, counts)
+        ends = np.cumsum(counts)
+        cut = pa.array([ids[a:b].tobytes() for a, b in zip(ends - counts, ends)], pa.binary())
+        return with_columns(batch.drop_columns(["text"]), ids=cut, shares=pa.array(sums), rare=rare)
+
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    base = docs.select(F.struct(*rest).alias("doc"), F.monotonically_increasing_id().alias("row"), _text(docs))
+    fields = [StructField("ids", BinaryType()), StructField("shares", DoubleType()), StructField("rare", RARE)]
+    return cut_lineage(map_texts(base, extended(base.drop("text"), *fields), run), "lm-ids")
+
+
+def _text(docs: DataFrame):
+    name = next((c for c in docs.columns if c.lower() == "text"), None)
+    return (F.col(f"`{name}`") if name else F.lit(None)).cast("string").alias("text")
+
+
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Trains on all of ``docs`` and scores them: their columns but the text, and ``n_words``, ``log_prob`` and ``mean_log_prob``.
+
+    Texts are read twice, to count words and to write their ids; training and scoring read the ids."""
+    docs = without(docs, "n_words", "log_prob", "mean_log_prob")
+    counted = word_counts(docs)
+    frequent, params = untrained(counted)
+    table = encoded(docs, frequent, counted)
+    params = trained(table, frequent, params, rounds)
+    sent = docs.sparkSession.sparkContext.broadcast(flat(params))
+    own: dict = {}
+
+    def run(batch: pa.RecordBatch, ids: list) -> pa.RecordBatch:
+        if not own:
+            own.update(params=shaped(sent.value))
+        line, at, counts = placed(np.frombuffer(b"".join(ids), np.int16), np.array([len(x) // 2 for x in ids], np.int64))
+        total = _sums(log_probabilities(own["params"], line, at), counts) + batch.column(batch.schema.get_field_index("shares")).to_numpy()
+        return with_columns(batch.drop_columns(["ids", "shares"]), n_words=pa.array(counts), log_prob=pa.array(total))
+
+    base = table.drop("rare")
+    scored = map_texts(base, extended(base.drop("ids", "shares"), *SCORES[:2]), run, "ids")
+    added = _added(table.select("row", "rare"), counted)
+    whole = scored.join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob")
+    return whole.select("doc.*", "n_words", "log_prob", mean)
+
+
+def _sums(logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    sums, ends = np.r_[0.0, np.cumsum(logs)], np.cumsum(counts)
+    return np.where(counts > 0, sums[ends] - sums[ends - counts], 0.0)
+
+
+def _added(rare: DataFrame, counted: DataFrame) -> DataFrame:
+    """(row, added): the logs of the counts of words too rare to be sent. The log of a count of one, as of one unseen, is 0."""
+    words = rare.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
+    return words.join(counted.filter("n > 1").select("word", F.log("n").alias("log_n")), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("added"))
+
+
 def score(docs: DataFrame, frequent: list[bytes], params: dict, counted: DataFrame | None = None) -> DataFrame:
-    """``docs`` with ``n_words``, ``log_prob`` (summed over all words) and ``mean_log_prob``.
+    """``docs`` with ``n_words``, ``log_prob`` (summed over all words) and ``mean_log_prob``, by a model trained before.
 
     ``counted`` are the counts (word, n) of the corpus. Without them all words of a bucket are one word.
     """
-    spark = docs.sparkSession
-    known, rest = {}, np.zeros(IDS - FREQUENT)
-    if counted is not None:
-        top = counted.orderBy(F.col("n").desc(), "word").limit(FREQUENT + KNOWN).collect()  # bounded
-        own_id = set(frequent)
-        known = {bytes(r.word): float(np.log(r.n)) for r in top if bytes(r.word) not in own_id}
-        rest = bucket_logs(counted, frequent)
     shared = counted is not None
-    sent = spark.sparkContext.broadcast((frequent, flat(params), known, rest))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, flat(params), *(_known(counted, frequent) if shared else ({}, np.zeros(IDS - FREQUENT)))))
     docs = without(docs, "n_words", "log_prob", "mean_log_prob")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"), _text(docs))
     own: dict = {}
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         if not own:
-            own.update(ids=Ids(sent.value[0]), params=shaped(sent.value[1]), logs=Logs(sent.value[2]))
-        line, at, counts = laid_out(own["ids"], texts)
-        logs = log_probabilities(own["params"], line, at)
-        columns = {}
+            own.update(ids=Ids(sent.value[0]), params=shaped(sent.value[1]), shares=Shares(*sent.value[2:]))
+        split = [words_of(t) for t in texts]
+        ids, counts = ids_of(own["ids"], split)
+        total, columns = _sums(log_probabilities(own["params"], *placed(ids, counts)[:2]), counts), {}
         if shared:
-            said = [w for t in texts for w in words_of(t)]
-            tail = np.flatnonzero(line[at] >= FREQUENT)
-            counted_logs = np.fromiter((own["logs"][said[i]] for i in tail.tolist()), np.float64, len(tail))
-            logs[tail] += np.nan_to_num(counted_logs) - sent.value[3][line[at[tail]] - FREQUENT]
-            document = np.repeat(np.arange(len(texts)), counts)
-            unknown = tail[np.isnan(counted_logs)]
-            rare: list[Counter] = [Counter() for _ in texts]
-            for i, d in zip(unknown.tolist(), document[unknown].tolist()):
-                rare[d][said[i].strip(MARKS) or said[i]] += 1
-            offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rare])], pa.int32())
-            pairs = [pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())]
-            columns["__rare"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "times"]))
-        sums = np.r_[0.0, np.cumsum(logs)]
-        ends = np.cumsum(counts)
-        total = np.where(counts > 0, sums[ends] - sums[ends - counts], 0.0)
-        mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-        return with_columns(batch, n_words=pa.array(counts), log_prob=pa.array(total), mean_log_prob=mean, **columns)
-
-    fields = [StructField("n_words", LongType()), StructField("log_prob", DoubleType()), StructField("mean_log_prob", DoubleType())]
-    if not shared:
-        return map_texts(docs, extended(docs, *fields), run)
-    rare_type = ArrayType(StructType([StructField("word", BinaryType()), StructField("times", LongType())]))
-    # Written, so that the row numbers hold from here on.
-    scored = cut_lineage(map_texts(docs, extended(docs, *fields, StructField("__rare", rare_type)), run).withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("__row", F.explode("__rare").alias("r")).select("__row", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
-    # The log of a count of one, as of one unseen, is 0.
-    added = rare.join(counted.filter("n > 1").select("word", F.log("n").alias("log_n")), "word").groupBy("__row").agg(F.sum(F.col("times") * F.col("log_n")).alias("__added"))
-    whole = scored.drop("__rare").join(added, "__row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("__added", F.lit(0.0)))
-    return whole.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))).drop("__row", "__added")
+            sums, columns["rare"] = own["shares"].of(split, ids, counts)
+            total = total + sums
+        return with_columns(batch.drop_columns(["text"]), n_words=pa.array(counts), log_prob=pa.array(total), **columns)
+
+    scored = map_texts(base, extended(base.drop("text"), *SCORES[:2], *([StructField("rare", RARE)] if shared else [])), run)
+    if shared:
+        scored = cut_lineage(scored, "lm-scored")  # written, so that the row numbers hold from here on
+        added = _added(scored.select("row", "rare"), counted)
+        scored = scored.join(added, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob")
+    return scored.select("doc.*", "n_words", "log_prob", mean)

@@ -134,9 +134,8 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_lm_scores")
 def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The log probability of each document's words, each given the words on both sides of it."""
-    docs = read(spark, folder, "documents")
-    counted = lm_score.word_counts(docs)
-    return lm_score.score(pick(docs, "doc_id", "text"), *lm_score.fit(docs, counted=counted), counted).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    scored = lm_score.pseudo_likelihood(pick(read(spark, folder, "documents"), "doc_id", "text"))
+    return scored.select("doc_id", "mean_log_prob", "log_prob", "n_words")
 
 
 #: The table of the CRC-32 of zip files, from its polynomial, and the sum over the UTF-8 bytes of a text whose code points are below U+0800.

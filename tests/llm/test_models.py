@@ -206,3 +206,19 @@ def test_word_counts_cover_all_rows(edge):
             bare = w.strip(lm_score.MARKS) or w
             want[bare] = want.get(bare, 0) + 1
     assert {bytes(r.word): r.n for r in lm_score.count_words(edge).collect()} == want
+
+
+def test_lm_from_written_ids_equals_lm_from_texts(spark, clashing, empty):
+    """The registered path: ids written once. Untrained, so that both have the same parameters."""
+    counted = lm_score.word_counts(clashing)
+    want = lm_score.score(clashing, *lm_score.fit(clashing, rounds=0, counted=counted), counted)
+    got = lm_score.pseudo_likelihood(clashing, rounds=0)
+    assert "text" not in got.columns and got.columns.count("log_prob") == 1 and "words" in got.columns
+
+    def rows(df):
+        return sorted(((r.doc_id, r.n_words, round(r.log_prob, 6), r.mean_log_prob is None) for r in df.collect()), key=str)
+
+    assert rows(got) == rows(want)
+    assert lm_score.pseudo_likelihood(clashing).count() == clashing.count()
+    assert lm_score.pseudo_likelihood(empty).count() == 0
+    assert lm_score.score(empty, *lm_score.fit(empty), lm_score.word_counts(empty)).count() == 0
