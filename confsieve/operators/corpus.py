@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confsieve.functions.numbers import round_half_up
+from confsieve.functions.tables import literal_map
+from confsieve.session import cut_lineage
 
 # Label file rules and the address blocks a published configuration may show.
 REQUIRED_KEYS = [
@@ -96,49 +98,86 @@ def repeatable_sample(samples: DataFrame, key: str, seed: int, n: int = 25) -> D
     return samples.withColumn("_d", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("_d").limit(n).drop("_d")
 
 
+def stratified_sample(samples: DataFrame, strata: list[str], key: str, seed: int, n: int) -> DataFrame:
+    """A sample of about ``n`` that spans all strata and repeats: shares by largest remainder, one row a stratum at least, and in each stratum the
+    rows of smallest digest. The window is limited on the map side, so that a task hands on no more rows of a stratum than its share.
+    """
+    sizes = cut_lineage(samples.groupBy(*strata).agg(F.count("*").alias("_size")), "strata")
+    total = sizes.agg(F.sum("_size")).first()[0] or 1
+    exact = F.lit(float(n)) * F.col("_size") / F.lit(total)
+    shares = sizes.withColumn("_base", F.floor(exact)).withColumn("_left", exact - F.floor(exact))
+    spare = n - (shares.agg(F.sum("_base")).first()[0] or 0)
+    # Fewer places are spare than there are strata, so the greatest remainders are a bounded top-k and no sort of all strata.
+    lucky = shares.orderBy(F.desc("_left"), *strata).limit(int(spare)).select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(strata)], F.lit(1).alias("_more"))
+    matched = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_l{i}")) for i, c in enumerate(strata)])
+    given = F.greatest(F.col("_base") + F.coalesce("_more", F.lit(0)), F.lit(1)).alias("_n")
+    quota = cut_lineage(shares.join(lucky, matched, "left").select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(strata)], given), "quota")
+    most = quota.agg(F.max("_n")).first()[0] or 1
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    ranked = samples.withColumn("_k", F.row_number().over(Window.partitionBy(*strata).orderBy(digest, key))).where(F.col("_k") <= int(most))
+    matched = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_q{i}")) for i, c in enumerate(strata)])
+    return ranked.join(quota, matched).where(F.col("_k") <= F.col("_n")).select(*samples.columns)
+
+
+def lone_labels(labels: DataFrame, configs: DataFrame, key: str) -> DataFrame:
+    """Labels whose configuration is not there."""
+    return labels.join(configs.select(key), key, "left_anti")
+
+
+def reconcile(configs: DataFrame, labels: DataFrame, stem: str) -> DataFrame:
+    """(stem, error) of configurations without a label and labels without a configuration. One shuffle: both sides are counted by stem together."""
+    both = configs.select(stem, F.lit(1).alias("_c"), F.lit(0).alias("_l")).unionByName(labels.select(stem, F.lit(0).alias("_c"), F.lit(1).alias("_l")))
+    seen = both.groupBy(stem).agg(F.max("_c").alias("_c"), F.max("_l").alias("_l")).where("_c + _l = 1")
+    return seen.select(stem, F.when(F.col("_c") == 0, "label without configuration").otherwise("configuration without label").alias("error"))
+
+
+def manifest_errors(found: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """(key, declared, found, error) where the counts of a manifest are not those found."""
+    j = declared.join(found, key, "full")
+    kind = F.when(F.col("found").isNull(), "declared and not found").when(F.col("declared").isNull(), "found and not declared").otherwise("counts differ")
+    zero = F.lit(0).cast("long")
+    return j.where(~F.col("found").eqNullSafe(F.col("declared"))).select(key, F.coalesce("declared", zero).alias("declared"), F.coalesce("found", zero).alias("found"), kind.alias("error"))
+
+
 def coverage(records: DataFrame, topic: str, vendor: str, vendors: list[str]) -> DataFrame:
     """Topic by vendor matrix of record counts; the vendor list is given, so no extra pass finds it."""
     return records.groupBy(topic).pivot(vendor, vendors).agg(F.count(F.lit(1))).fillna(0, subset=vendors)
 
 
-def field_statistics(data: DataFrame, fields: list[str], sample: int = 10) -> DataFrame:
-    """Per field: count, min, max, mean and sum if any value is a number, else distinct values and the first few of them.
+def field_statistics(data: DataFrame, fields: list[str] | None = None, sample: int = 10) -> DataFrame:
+    """Per field its type, values, nulls, distinct values and a sample, and of numbers min, max, mean and sum (texts that are numbers count as such).
 
-    All numeric parts come from one aggregation. Only fields without numbers get a distinct pass, and their sample is a top-k.
+    One scan melts the fields to (field, value) and counts equal values where they lie; a second level works on distinct values only. Nested fields
+    go by their JSON text, so that every field has a row. The sample is the first ``sample`` values, limited on the map side.
     """
-    def as_number(c: str) -> Column:
-        return F.col(c).cast("string").try_cast("double")
-
-    stats = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("field"),
-                F.count(as_number(c)).alias("numbers"),
-                F.min(as_number(c)).alias("min"),
-                F.max(as_number(c)).alias("max"),
-                round_half_up(F.avg(as_number(c)), 4).alias("mean"),
-                round_half_up(F.sum(as_number(c)), 4).alias("sum"),
-            )
-            for c in fields
-        ]
+    fields = fields or data.columns
+    types = {f.name: f.dataType for f in data.schema.fields}
+
+    def text_of(c: str) -> Column:
+        nested = types[c].typeName() in ("struct", "array", "map", "variant")
+        return F.to_json(F.col(f"`{c}`")) if nested else F.col(f"`{c}`").cast("string")
+
+    melted = data.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), text_of(c).alias("value")) for c in fields])).alias("m")).select("m.*")
+    values = cut_lineage(melted.groupBy("field", "value").agg(F.count("*").alias("times")), "field-values")
+    x, n = F.col("value").try_cast("double"), F.col("times")
+    is_number = x.isNotNull()
+    exact = F.col("value").try_cast("decimal(38,6)")
+    per = values.groupBy("field").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("values"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("nulls"),
+        F.count("value").alias("distinct_values"),
+        F.coalesce(F.sum(F.when(is_number, n)), F.lit(0)).alias("numbers"),
+        F.min(x).alias("min"), F.max(x).alias("max"),
+        F.sum(exact * n.cast("decimal(20,0)")).cast("double").alias("_sum"),
     )
-    numeric = data.agg(stats.alias("s")).select(F.explode_outer("s").alias("s")).where(F.col("s").isNotNull()).select("s.*")
-    texts = None
-    for c in fields:
-        if data.schema[c].dataType.typeName() != "string":
-            continue
-        values = data.where(F.col(c).isNotNull()).select(F.col(c).alias("v")).distinct()
-        one = values.agg(F.count("*").alias("distinct_values")).select(F.lit(c).alias("field"), "distinct_values")
-        head = values.orderBy("v").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("sample")).select(F.lit(c).alias("field"), "sample")
-        row = one.join(head, "field")
-        texts = row if texts is None else texts.unionByName(row)
-    if texts is None:
-        return numeric.withColumn("distinct_values", F.lit(None).cast("bigint")).withColumn("sample", F.lit(None).cast("string"))
-    is_text = F.col("numbers") == 0
-    joined = numeric.join(texts, "field", "left")
+    order = Window.partitionBy("field").orderBy("value")
+    heads = values.where(F.col("value").isNotNull()).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sample)
+    shown = heads.groupBy("field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "value"))), lambda r: r["value"]), ",").alias("sample"))
+    kinds = literal_map({c: types[c].typeName() for c in fields})
+    joined = per.join(shown, "field", "left")
     return joined.select(
-        "field", "numbers", "min", "max", "mean", "sum",
-        F.when(is_text, F.col("distinct_values")).alias("distinct_values"), F.when(is_text, F.col("sample")).alias("sample"),
+        "field", F.try_element_at(kinds, F.col("field")).alias("type"), "values", "nulls", "distinct_values", "numbers", "min", "max",
+        round_half_up(F.col("_sum") / F.col("numbers"), 4).alias("mean"), round_half_up(F.col("_sum"), 2).alias("sum"), "sample",
     )
 
 

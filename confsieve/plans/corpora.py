@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from confsieve.operators import corpus as co
 from confsieve.plans.adapters import DOC_SQL, configs, table
 from confsieve.plans.registry import query
+from confsieve.session import run_folder
 from confsieve.sources import configs as src
+from confsieve.sources import tables as stored
 
 # ---- files ----------------------------------------------------------------------------------------------------------------------------------
 # Documents as files: seven extensions and one unknown; every 5th in Latin-1, every 11th with a NUL byte, line ends of every 3rd doubled.
@@ -82,22 +84,32 @@ def labels_from_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src06_vendor_documents", "SELECT lang, source, count(*) AS records FROM (SELECT DISTINCT lang, source, text FROM documents) GROUP BY ALL")
 def vendor_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("lang", "source", "text")
-    # The merged file and the per-vendor files overlap.
-    return docs.unionByName(docs.where("lang <> 'en'")).dropDuplicates().groupBy("lang", "source").agg(F.count("*").alias("records"))
+    """Written as a merged file and per-vendor files that overlap it, and loaded again."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("vendor"), F.col("source").alias("os_name"), F.col("text").alias("concept_summary"))
+    merged, own = run_folder(spark, "vendor-docs"), run_folder(spark, "vendor-docs")
+    docs.write.json(merged)
+    docs.where("vendor <> 'en'").write.json(own)
+    loaded = src.load_vendor_docs(spark, [merged], [own])
+    return loaded.groupBy(F.col("vendor").alias("lang"), F.col("os_name").alias("source")).agg(F.count("*").alias("records"))
 
 
 @query("snk06_preserved_labels", "SELECT doc_id, lang AS legacy_device_type, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS device_type FROM documents")
 def preserved(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.col("lang").alias("device_type"))
+    """The relabelled table is written, read, and relabelled again: the original label stays."""
+    docs, root = table(spark, d, "documents").select("doc_id", "n_chars", F.col("lang").alias("device_type")), run_folder(spark, "relabelled")
     derived = F.when(F.col("n_chars") > 2000, "long").otherwise("short")
-    once = co.preserve_label(docs, "device_type", "legacy_device_type", derived)
-    return co.preserve_label(once, "device_type", "legacy_device_type", derived).select("doc_id", "legacy_device_type", "device_type")
+    stored.write_version(docs, root, 1)
+    for version in (1, 2):
+        stored.write_version(co.preserve_label(stored.read_version(spark, root, version), "device_type", "legacy_device_type", derived), root, version + 1)
+    return stored.read_version(spark, root, 3).select("doc_id", "legacy_device_type", "device_type")
 
 
-@query("jon06_orphan_labels", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("jon06_orphan_labels", "SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id + 1000000000 FROM labels WHERE toxic = 1 EXCEPT ALL SELECT doc_id FROM documents")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Label sidecars without a configuration; labels of toxic documents stand under names that no document has."""
+    labels = table(spark, d, "labels")
+    named = labels.where("quality = 1").select("doc_id").unionByName(labels.where("toxic = 1").select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
+    return co.lone_labels(named, table(spark, d, "documents"), "doc_id")
 
 
 # ---- corpus views -----------------------------------------------------------------------------------------------------------------------------
@@ -130,9 +142,36 @@ def top_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.max("n_chars").alias("longest")).orderBy(F.desc("longest"), "source").limit(12)
 
 
-@query("srt06_repeatable_sample", "SELECT doc_id, lang FROM documents ORDER BY md5('7|' || doc_id) LIMIT 25")
+SHARES_SQL = """sized AS (SELECT source, lang, count(*) AS size FROM documents GROUP BY ALL), share AS (SELECT *, 120.0::DOUBLE * size / (SELECT sum(size) FROM sized) AS exact FROM sized),
+ranked AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, source, lang) AS r FROM share),
+given AS (SELECT source, lang, floor(exact) + CASE WHEN r <= 120 - (SELECT sum(floor(exact)) FROM share) THEN 1 ELSE 0 END AS base FROM ranked),
+quota AS (SELECT source, lang, greatest(base, 1) AS n FROM given)"""
+
+
+@query("srt06_repeatable_sample", f"WITH {SHARES_SQL} SELECT doc_id, d.source, d.lang FROM (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY md5('7|' || doc_id), doc_id) AS k FROM documents) d JOIN quota q ON d.source = q.source AND d.lang = q.lang WHERE k <= n")
 def sampled(spark: SparkSession, d: str) -> DataFrame:
-    return co.repeatable_sample(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 7)
+    return co.stratified_sample(table(spark, d, "documents").select("doc_id", "source", "lang"), ["source", "lang"], "doc_id", 7, 120)
+
+
+@query("dq01_manifest_counts", """WITH found AS (SELECT lang AS category, count(*) AS n FROM documents GROUP BY lang), told AS (SELECT d.lang AS category, count(*) AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY d.lang UNION ALL SELECT 'gone', 3)
+SELECT coalesce(f.category, t.category) AS category, coalesce(t.n, 0) AS declared, coalesce(f.n, 0) AS found, CASE WHEN f.n IS NULL THEN 'declared and not found' WHEN t.n IS NULL THEN 'found and not declared' ELSE 'counts differ' END AS error
+FROM found f FULL JOIN told t ON f.category = t.category WHERE f.n IS DISTINCT FROM t.n""")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts a manifest declares (here: labelled documents, and a category that is gone) against those found."""
+    docs = table(spark, d, "documents")
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id").groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("declared"))
+    declared = labelled.unionByName(docs.sparkSession.range(1).select(F.lit("gone").alias("category"), F.lit(3).cast("long").alias("declared")))
+    return co.manifest_errors(docs.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("found")), declared, "category")
+
+
+@query("dq01_reconciled_stems", """WITH c AS (SELECT DISTINCT source || '/' || doc_id AS stem FROM documents), l AS (SELECT d.source || '/' || CASE WHEN toxic = 1 THEN 'x' ELSE '' END || l.doc_id AS stem FROM labels l JOIN documents d USING (doc_id))
+SELECT coalesce(c.stem, l.stem) AS stem, CASE WHEN c.stem IS NULL THEN 'label without configuration' ELSE 'configuration without label' END AS error FROM c FULL JOIN l ON c.stem = l.stem WHERE c.stem IS NULL OR l.stem IS NULL""")
+def reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations and label sidecars by stem; sidecars of toxic documents are misnamed."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    stem = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    odd = F.concat(F.col("source"), F.lit("/"), F.when(F.col("toxic") == 1, "x").otherwise(""), F.col("doc_id").cast("string"))
+    return co.reconcile(docs.select(stem.alias("stem")), table(spark, d, "labels").join(docs, "doc_id").select(odd.alias("stem")), "stem")
 
 
 # ---- validation ---------------------------------------------------------------------------------------------------------------------------------

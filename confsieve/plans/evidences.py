@@ -16,6 +16,8 @@ from confsieve.plans.adapters import (
     EVIDENCE_ORDER, EVIDENCE_SQL, PREDICATE_SQL, evidence, evidence_findings_sql, rules_sql, table,
 )
 from confsieve.plans.registry import query, text
+from confsieve.session import run_folder
+from confsieve.sources.configs import load_rules
 
 USED = [r for r in RULES if r["field_path"] in {
     "management.telnet.enabled", "management.ssh.protocol_version", "authentication.password_policy.min_length", "cryptography.tls.min_version",
@@ -177,15 +179,36 @@ def confirmed(spark: SparkSession, d: str) -> DataFrame:
     return found.join(answered, ["device_id", "field_path"], "left").select("device_id", "rule_id", "status", F.coalesce("human", F.lit(False)).alias("human"))
 
 
+def catalogue_file(spark: SparkSession) -> str:
+    """The rule catalogue as YAML with nested blocks, one file."""
+    import yaml
+
+    nested = [
+        {
+            "id": r["id"], "title": r["title"], "framework": r["framework"], "baseline_field_path": r["field_path"], "description": r["description"], "severity": r["severity"],
+            "evaluation": {"operator": r["operator"], "expected": r["expected"]}, "evidence": {"minimum_confidence": r["minimum_confidence"], "require_explicit_configuration": r["require_explicit"]},
+            "known_insecure_defaults": r["known_insecure_defaults"], "remediation": {v: {"command": c, "rationale": None} for v, c in r["remediation"].items()},
+            "references": [{"benchmark": r["framework"], "control_id": None}, {"benchmark": "own", "control_id": r["id"]}],
+        }
+        for r in RULES
+    ]
+    path = f"{run_folder(spark, 'rules')}.yaml"
+    spark.createDataFrame([(yaml.safe_dump({"rules": nested}, sort_keys=False),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
 @query(
     "src07_rule_catalogue",
-    f"WITH {rules_sql(RULES, FIELD_TYPES)}, {EVIDENCE_SQL} SELECT rule_id, severity, op AS operator, min_conf AS min_confidence, need_explicit AS require_explicit, (SELECT count(*) FROM evidence e WHERE e.field_path = rules.field_path AND e.confidence >= rules.min_conf) AS usable_rows FROM rules",
+    f"WITH {rules_sql(RULES, FIELD_TYPES)}, {EVIDENCE_SQL} SELECT rule_id, severity, op AS operator, min_conf AS min_confidence, need_explicit AS require_explicit, 2 AS refs, (SELECT count(*) FROM evidence e WHERE e.field_path = rules.field_path AND e.confidence >= rules.min_conf) AS usable_rows FROM rules",
 )
 def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    rows = ru.rule_rows()
+    """The catalogue written as a file with nested blocks and references, loaded, and met with the evidence that can be used."""
+    loaded = load_rules(spark, catalogue_file(spark))
+    refs = {r["id"]: len(r["references"]) for r in loaded}
+    rows = ru.rule_rows(loaded)
     rules = spark.createDataFrame(
-        [(r["rule_id"], r["severity"], r["operator"], float(r["min_confidence"]), r["require_explicit"], r["field_path"]) for r in rows],
-        "rule_id string, severity string, operator string, min_confidence double, require_explicit boolean, field_path string",
+        [(r["rule_id"], r["severity"], r["operator"], float(r["min_confidence"]), r["require_explicit"], refs[r["rule_id"]], r["field_path"]) for r in rows],
+        "rule_id string, severity string, operator string, min_confidence double, require_explicit boolean, refs int, field_path string",
     )
     # Confidence has few distinct values, so evidence shrinks to a count per (field, confidence) before it meets the rules.
     per_value = evidence(spark, d).groupBy("field_path", "confidence").agg(F.count("*").alias("n"))

@@ -15,7 +15,8 @@ from confsieve.operators.latest import latest_per_key
 from confsieve.operators.profile import asset_mix
 from confsieve.plans.adapters import ORDERS_SQL, RULE_OF, findings, table
 from confsieve.plans.registry import half_up, query, text
-from confsieve.sources.configs import preview
+from confsieve.session import run_folder
+from confsieve.sources.configs import load_dataset, preview
 
 COUNTS_SQL = """count(*) FILTER (WHERE status = 'pass') AS n_pass, count(*) FILTER (WHERE status = 'fail') AS n_fail, count(*) FILTER (WHERE status = 'needs_human_review') AS n_review, count(*) FILTER (WHERE status = 'not_applicable') AS n_not_applicable"""
 SEVERITY_SQL = ", ".join(f"count(*) FILTER (WHERE status = 'fail' AND severity = '{s}') AS fail_{s}" for s in fi.SEVERITIES)
@@ -164,25 +165,48 @@ def latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src08_dataset_preview", "SELECT count(*) AS records, 100 AS shown, (SELECT sum(l_orderkey) FROM (SELECT l_orderkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 100)) AS first_keys FROM lineitem")
 def preview_rows(spark: SparkSession, d: str) -> DataFrame:
-    from confsieve.sources.configs import load_dataset
-
     data = load_dataset(spark, f"{d}/lineitem.parquet")
     head = preview(data.orderBy("l_orderkey", "l_linenumber", "l_partkey"), 100).agg(F.count("*").cast("int").alias("shown"), F.sum("l_orderkey").alias("first_keys"))
     return head.withColumn("records", data.agg(F.count("*")).scalar())
 
 
-def _stat(c: str) -> str:
-    return f"SELECT '{c}' AS field, count({c}) AS numbers, min({c}::DOUBLE) AS min, max({c}::DOUBLE) AS max, {half_up(f'avg({c})', 4)} AS mean, {half_up(f'sum({c}::DECIMAL(38,4))', 2)} AS sum, NULL::BIGINT AS distinct_values, NULL::VARCHAR AS sample FROM lineitem"
-
-
-def _text_stat(c: str) -> str:
-    return f"SELECT '{c}', 0, NULL, NULL, NULL, NULL, count(DISTINCT {c}), (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM lineitem ORDER BY 1 LIMIT 10)) FROM lineitem"
-
-
-@query("agg24_field_statistics", " UNION ALL ".join([_stat("l_quantity"), _stat("l_linenumber"), _text_stat("l_returnflag"), _text_stat("l_linestatus")]))
+@query(
+    "src08_dataset_formats",
+    "SELECT kind, count(*) AS records, sum(s_suppkey) AS keys, round(sum(s_acctbal::DECIMAL(38,2))::DOUBLE, 2) AS balance, min(s_name) AS first_name FROM supplier, (VALUES ('csv'), ('json'), ('yaml'), ('parquet')) AS k(kind) GROUP BY kind UNION ALL SELECT 'txt', count(*), NULL, NULL, min(s_name) FROM supplier",
+)
+def formats(spark: SparkSession, d: str) -> DataFrame:
+    """One table written in every format and loaded by its ending; what comes back has the types it went with."""
+    supplier, root = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), run_folder(spark, "formats")
+    supplier.write.option("header", True).csv(f"{root}/s.csv")
+    supplier.write.json(f"{root}/s.jsonl")
+    supplier.write.parquet(f"{root}/s.parquet")
+    supplier.select(F.format_string("---\ns_suppkey: %d\ns_name: %s\ns_acctbal: %s", "s_suppkey", F.to_json(F.array("s_name")).substr(F.lit(2), F.length(F.to_json(F.array("s_name"))) - 2), F.col("s_acctbal").cast("decimal(18,2)").cast("string")).alias("value")).write.text(f"{root}/s.yaml")
+    supplier.select("s_name").write.text(f"{root}/s.txt")
+    found = None
+    for kind, name in (("csv", "s.csv"), ("json", "s.jsonl"), ("yaml", "s.yaml"), ("parquet", "s.parquet")):
+        rows = load_dataset(spark, f"{root}/{name}")
+        one = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("records"), F.sum("s_suppkey").alias("keys"), F.round(F.sum(F.col("s_acctbal").cast("decimal(38,2)")).cast("double"), 2).alias("balance"), F.min("s_name").alias("first_name"))
+        found = one if found is None else found.unionByName(one)
+    text_rows = load_dataset(spark, f"{root}/s.txt").agg(F.lit("txt").alias("kind"), F.count("*").alias("records"), F.lit(None).cast("bigint").alias("keys"), F.lit(None).cast("double").alias("balance"), F.min("value").alias("first_name"))
+    return found.unionByName(text_rows)
+
+
+STAT_FIELDS = {
+    "l_quantity": "double", "l_linenumber": "integer", "l_discount": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz", "is_large": "boolean", "flags": "struct",
+}
+
+
+def _stat(c: str, kind: str) -> str:
+    x = f"(SELECT CAST({c} AS VARCHAR) AS v, TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) AS x FROM l)" if kind in ("double", "integer") else f"(SELECT CAST({c} AS VARCHAR) AS v, NULL::DOUBLE AS x FROM l)"
+    return f"""SELECT '{c}' AS field, '{kind}' AS type, count(v) AS values, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_values, count(x) AS numbers, min(x) AS min, max(x) AS max,
+  {half_up("sum(x::DECIMAL(38,6))::DOUBLE / count(x)", 4)} AS mean, {half_up("sum(x::DECIMAL(38,6))::DOUBLE", 2)} AS sum, (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT v FROM {x} WHERE v IS NOT NULL ORDER BY v LIMIT 10)) AS sample FROM {x}"""
+
+
+@query("agg24_field_statistics", "WITH l AS (SELECT *, l_quantity > 25 AS is_large, '{\"f\":\"' || l_returnflag || '\",\"s\":\"' || l_linestatus || '\"}' AS flags FROM lineitem) " + " UNION ALL ".join(_stat(c, k) for c, k in STAT_FIELDS.items()))
 def statistics(spark: SparkSession, d: str) -> DataFrame:
-    s = field_statistics(table(spark, d, "lineitem"), ["l_quantity", "l_linenumber", "l_returnflag", "l_linestatus"])
-    return s.withColumn("sum", round_half_up(F.col("sum"), 2))
+    """Numbers, texts, times, booleans and nested fields."""
+    rows = table(spark, d, "lineitem").withColumn("is_large", F.col("l_quantity") > 25).withColumn("flags", F.struct(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s")))
+    return field_statistics(rows, list(STAT_FIELDS))
 
 
 @query("rpt04_summary_text", "SELECT '### Quantities' || chr(10) || '- **records**: ' || count(*) || chr(10) || '- **largest**: ' || CAST(max(CAST(l_quantity AS BIGINT)) AS VARCHAR) AS summary FROM lineitem")

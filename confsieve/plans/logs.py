@@ -10,7 +10,7 @@ from confsieve.functions.predicates import OPERATORS
 from confsieve.operators import assertions as a
 from confsieve.operators import folds, ledger
 from confsieve.operators import governance as gov
-from confsieve.operators.latest import delete_cascade, latest_per_key, upsert
+from confsieve.operators.latest import delete_cascade, latest_per_key
 from confsieve.plans.adapters import EVENTS_SQL, events, table
 from confsieve.plans.registry import half_up, query
 from confsieve.session import run_folder
@@ -26,9 +26,12 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk01_config_upsert", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
 def upserted(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", "event_type", "value", "event_id")
+    """Two writes, the later values first: the earlier ones must not win."""
+    e, root = table(spark, d, "events").select("user_id", "event_type", "value", "event_id"), run_folder(spark, "upserted")
     late = F.col("event_id") % 3 == 0
-    return upsert(e.where(~late), e.where(late), ["user_id", "event_type"], "event_id")
+    stored.upsert_buckets(e.where(late), root, 0, ["user_id", "event_type"], "event_id")
+    stored.upsert_buckets(e.where(~late), root, 1, ["user_id", "event_type"], "event_id")
+    return stored.read_buckets(spark, root, e.schema)
 
 
 @query("snk02_delete_cascade", "SELECT user_id, count(DISTINCT event_type) AS configs, count(*) AS verdicts FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 100) GROUP BY user_id")

@@ -12,6 +12,7 @@ from confsieve.plans.adapters import DOC_FIELD_TYPES, DOC_FINDINGS_SQL, DOC_GRAM
 from confsieve.plans.logs import CHAIN_SQL
 from confsieve.plans.registry import query
 from confsieve.session import run_folder
+from confsieve.sources.tables import read_buckets
 from confsieve.streaming import audit
 
 
@@ -32,16 +33,16 @@ def incremental(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("config_id"), F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".conf")).alias("filename"), F.col("text").alias("raw_text"), F.col("doc_id").alias("arrival")
     )
     root = run_folder(spark, "findings")
-    audit.ingest_configs(docs, _audit, root, run_folder(spark, "checkpoint")).awaitTermination()
-    return audit.current_findings(spark, root, ["filename", "rule_id"]).select("config_id", "rule_id", "status")
+    audit.ingest_configs(docs, _audit, root, run_folder(spark, "checkpoint"), ["filename", "rule_id"]).awaitTermination()
+    return read_buckets(spark, root, "config_id long, filename string, arrival long, rule_id string, severity string, status string").select("config_id", "rule_id", "status")
 
 
 @query("str02_verdict_stream", "SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    e = stream(spark, d, "events").select("user_id", "event_type", "value", "event_id")
+    e = stream(spark, d, "events").select("user_id", "event_type", "value", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     root = run_folder(spark, "verdicts")
-    audit.verdict_log(e, ["user_id", "event_type"], "event_id", root, run_folder(spark, "checkpoint")).awaitTermination()
-    return audit.current_verdicts(spark, root, ["user_id", "event_type"], "event_id")
+    audit.verdict_table(e, ["user_id", "event_type"], "event_id", "ts", root, run_folder(spark, "checkpoint")).awaitTermination()
+    return read_buckets(spark, root, e.schema).select("user_id", "event_type", "value", "event_id")
 
 
 @query("str03_ledger_stream", f"WITH {CHAIN_SQL} SELECT chain, segment, block_hash FROM blocks")

@@ -6,6 +6,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from confsieve.sources.documents import parse_documents, read_documents
 
 # File patterns in order of precedence, extensions paired with labels.
 CONFIG_PATTERNS = ["conf", "cfg", "txt", "rsc", "ini", "xml", "log"]
@@ -111,17 +114,40 @@ def distinct_by_digest(rows: DataFrame) -> DataFrame:
     return keyed.dropDuplicates(["_digest"]).drop("_digest")
 
 
-def load_rules(path: str) -> list:
-    """A rule catalogue from JSON or, where the parser is installed, YAML; nested evaluation and evidence blocks are flattened."""
-    with open(path, encoding="utf-8") as fh:
-        if path.endswith((".yaml", ".yml")):
-            import yaml
+#: A rule catalogue as files hold it: nested evaluation and evidence blocks, references, and a remediation per vendor.
+RULE_SCHEMA = StructType.fromDDL(
+    "id string, title string, framework string, baseline_field_path string, description string, severity string, evaluation struct<operator:string,expected:string>, "
+    "evidence struct<minimum_confidence:double,require_explicit_configuration:boolean>, known_insecure_defaults map<string,string>, remediation map<string,string>, references string"
+)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A rule catalogue (YAML or JSON, the rules under ``rules``) as rows; values whose type a rule chooses stay JSON texts."""
+    ending = "." + path.rsplit(".", 1)[-1].lower()
+    return parse_documents(spark.read.text(path, wholetext=True), RULE_SCHEMA, ending=ending, under="rules")
+
 
-            document = yaml.safe_load(fh)
-        else:
-            document = json.load(fh)
-    rules = document["rules"] if isinstance(document, dict) else document
-    return [_flat_rule(r) for r in rules]
+def load_rules(spark: SparkSession, path: str) -> list:
+    """A rule catalogue for :func:`operators.rules.rule_rows`: a bounded list, nested blocks flattened, ``references`` kept."""
+    return [_flat_rule(_parsed(r.asDict(True))) for r in read_rules(spark, path).orderBy("id").collect()]
+
+
+def _parsed(r: dict) -> dict:
+    """Values that the schema kept as JSON texts."""
+    def value(x):
+        try:
+            found = json.loads(x)
+        except (TypeError, ValueError):
+            return x
+        return x if isinstance(found, float) else found  # versions such as 1.2 are texts
+
+    evaluation = r["evaluation"] or {}
+    return r | {
+        "evaluation": evaluation | {"expected": value(evaluation.get("expected"))},
+        "known_insecure_defaults": {k: value(v) for k, v in (r["known_insecure_defaults"] or {}).items()},
+        "remediation": {k: value(v) for k, v in (r["remediation"] or {}).items()},
+        "references": value(r["references"]) or [],
+    }
 
 
 def _flat_rule(r: dict) -> dict:
@@ -141,16 +167,19 @@ def _flat_rule(r: dict) -> dict:
         "require_explicit": evidence.get("require_explicit_configuration", True),
         "known_insecure_defaults": r.get("known_insecure_defaults") or {},
         "remediation": {v: (x.get("command"), x.get("rationale")) for v, x in (r.get("remediation") or {}).items()},
+        "references": r.get("references") or [],
     }
 
 
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Any structured file by its extension: JSON, CSV with header, Parquet, or lines of text."""
+    """Any structured file or folder by its extension: JSON, YAML, CSV with header, Parquet, or lines of text."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind in ("yaml", "yml"):
+        return read_documents(spark, path)
     if kind in ("json", "jsonl"):
         return spark.read.option("multiLine", kind == "json").json(path)
     if kind == "csv":
-        return spark.read.option("header", True).csv(path)
+        return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     return spark.read.text(path)

@@ -1,4 +1,4 @@
-"""Stored tables: append, latest-wins replacement, learned records, frozen metrics."""
+"""Stored tables: append, latest-wins replacement by version or by bucket, learned records, frozen metrics."""
 
 from __future__ import annotations
 
@@ -30,6 +30,61 @@ def upsert_version(spark: SparkSession, root: str, version: int, incoming: DataF
     return write_version(upsert(stored, incoming, keys, order), root, version + 1)
 
 
+# ---- latest wins by bucket --------------------------------------------------------------------------------------------------------------
+# ``data/batch=N/bucket=B`` holds all rows of a bucket as of batch N, one row a key; ``index/batch=N`` names the buckets a batch wrote. A batch
+# rewrites only the buckets its keys fall in, into folders of its own: what readers see changes with the index, and a batch that is run again
+# after a failure overwrites its own folders and nothing else.
+
+BUCKETS = 64
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _folders(spark: SparkSession, root: str, before: int | None, only: list[int] | None = None) -> list[str]:
+    """The folder that holds each bucket now, or held it before a batch."""
+    if not _exists(spark, f"{root}/index"):
+        return []
+    index = spark.read.schema("bucket int, batch long").parquet(f"{root}/index")
+    index = index if before is None else index.where(F.col("batch") < before)
+    index = index if only is None else index.where(F.col("bucket").isin(only))
+    return [f"{root}/data/batch={r.batch}/bucket={r.bucket}" for r in index.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()]  # a row a bucket
+
+
+def upsert_buckets(incoming: DataFrame, root: str, batch: int, keys: list[str], order: str, buckets: int = BUCKETS) -> None:
+    """Last write per key wins; buckets without an incoming key keep their files. The number of buckets belongs to the table."""
+    spark, root = incoming.sparkSession, root.rstrip("/")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    incoming = latest_per_key(incoming, keys, [order])
+    touched = sorted(r.b for r in incoming.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
+    if not touched:
+        return
+    held = _folders(spark, root, batch, touched)
+    merged = upsert(spark.read.schema(incoming.schema).parquet(*held), incoming, keys, order) if held else incoming
+    merged.withColumn("bucket", bucket).repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/batch={batch}")
+    spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{root}/index/batch={batch}")
+
+
+def read_buckets(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The table as it is: one row a key, from one folder a bucket."""
+    folders = _folders(spark, root.rstrip("/"), None)
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def drop_superseded(spark: SparkSession, root: str) -> int:
+    """Removes the folders of buckets that a later batch has written anew; returns how many went. For times without readers."""
+    root, kept, gone = root.rstrip("/"), set(_folders(spark, root.rstrip("/"), None)), 0
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for r in spark.read.schema("bucket int, batch long").parquet(f"{root}/index").select("bucket", "batch").distinct().toLocalIterator():
+        path = f"{root}/data/batch={r.batch}/bucket={r.bucket}"
+        if path not in kept:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            gone += bool(p.getFileSystem(conf).delete(p, True))
+    return gone
+
+
 def read_latest(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
     """An append-only table as its latest row per key."""
     return latest_per_key(spark.read.parquet(path), keys, order)

@@ -7,14 +7,17 @@ folder and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from confsieve.operators.latest import latest_per_key
 from confsieve.operators.ledger import append_blocks, tips_of
+from confsieve.sources.tables import upsert_buckets
 
 
 def _start(stream: DataFrame, write: Callable, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
@@ -26,35 +29,101 @@ def _batch_path(root: str, batch: int) -> str:
     return f"{root.rstrip('/')}/batch={batch:09d}"
 
 
-def ingest_configs(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Audits every arriving configuration. ``audit`` is stateless (configuration rows to finding rows); findings are appended per batch."""
-    def write(batch: DataFrame, number: int) -> None:
-        audit(batch).write.mode("overwrite").parquet(_batch_path(root, number))
-
-    return _start(stream, write, checkpoint, available_now=available_now)
-
+def ingest_configs(stream: DataFrame, audit: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, keys: list[str], available_now: bool = True) -> StreamingQuery:
+    """Audits every arriving configuration and keeps one finding a key: a later arrival replaces it, in the buckets it falls in.
 
-def current_findings(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
-    """What holds now: of a file that came in several times, the findings of its last arrival."""
-    return latest_per_key(spark.read.parquet(root), keys, ["batch", "arrival"])
-
-
-def verdict_log(stream: DataFrame, keys: list[str], order: str, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """One verdict per key and batch; :func:`current_verdicts` reduces over batches."""
+    ``audit`` is stateless (configuration rows to finding rows with ``arrival``)."""
     def write(batch: DataFrame, number: int) -> None:
-        latest_per_key(batch, keys, [order]).write.mode("overwrite").parquet(_batch_path(root, number))
+        upsert_buckets(audit(batch), root, number, keys, "arrival")
 
     return _start(stream, write, checkpoint, available_now=available_now)
 
 
-def current_verdicts(spark: SparkSession, root: str, keys: list[str], order: str) -> DataFrame:
-    log = spark.read.parquet(root)
-    return latest_per_key(log, keys, [order]).drop("batch")
-
-
-def first_verdicts(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """The first verdict per key within a watermark, repeats dropped; state older than the delay is forgotten."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+class LatestVerdict(StatefulProcessor):
+    """One verdict per key in the state store: a later one replaces it, a repeated or older one changes nothing and is not handed on.
+
+    A key that hears nothing for ``keep_ms`` of event time is forgotten by a timer, and says so with a row of kind ``expired``. A row older than
+    the watermark by more than that is too late to open a key again."""
+
+    def __init__(self, value_schema: StructType, names: list[str], order: str, time: str, keep_ms: int):
+        self.value_schema, self.names, self.order, self.time, self.keep_ms = value_schema, names, order, time, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("verdict", self.value_schema)
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        best, changed, latest = held, False, None
+        at, of_time = self.names.index(self.order), self.names.index(self.time)
+        for frame in rows:
+            if not held and timers.getCurrentWatermarkInMs() > 0:
+                frame = frame[frame[self.time].map(_millis) + self.keep_ms > timers.getCurrentWatermarkInMs()]
+            if len(frame):
+                latest = max(latest or 0, int(frame[self.time].map(_millis).max()))
+                first = frame.loc[frame[self.order].idxmax()]
+                row = tuple(_plain(first[n]) for n in self.names)
+                if best is None or row[at] > best[at]:
+                    best, changed = row, True
+        if changed:
+            self.state.update(best)
+        if latest is not None:
+            due = max(latest, _millis(best[of_time])) + self.keep_ms
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        if changed:
+            yield pd.DataFrame([(*key, *best, "set")], columns=self._columns(key))
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            held = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame([(*key, *held, "expired")], columns=self._columns(key))
+
+    def _columns(self, key: tuple) -> list[str]:
+        return [*[f"k{i}" for i in range(len(key))], *self.names, "kind"]
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(t) -> int:
+    return int(pd.Timestamp(t).timestamp() * 1000)
+
+
+def _plain(x):
+    return x.to_pydatetime() if isinstance(x, pd.Timestamp) else x.item() if hasattr(x, "item") else x
+
+
+def verdict_changes(stream: DataFrame, keys: list[str], order: str, time: str, delay: str, keep_ms: int) -> DataFrame:
+    """The changes of the verdict per key, as they come: keys, the other columns, and ``kind`` (set or expired). Needs the RocksDB state store."""
+    rest = [f for f in stream.schema.fields if f.name not in keys]
+    own = [StructField(f"k{i}", stream.schema[k].dataType) for i, k in enumerate(keys)]
+    out = StructType([*own, *rest, StructField("kind", StringType())])
+    processor = LatestVerdict(StructType(rest), [f.name for f in rest], order, time, keep_ms)
+    changes = stream.withWatermark(time, delay).groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    return changes.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *[f.name for f in rest], "kind")
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def verdict_table(stream: DataFrame, keys: list[str], order: str, time: str, root: str, checkpoint: str, delay: str = "1 day", keep_ms: int = 10 * 365 * 86_400_000, available_now: bool = True) -> StreamingQuery:
+    """The latest verdict of every key as a table of buckets; batches write only the verdicts that changed."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        def write(batch: DataFrame, number: int) -> None:
+            upsert_buckets(batch.where("kind = 'set'").drop("kind"), root, number, keys, order)
+
+        return _start(verdict_changes(stream, keys, order, time, delay, keep_ms), write, checkpoint, available_now=available_now)
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE[0])
+        else:
+            spark.conf.set(STATE_STORE[0], before)
 
 
 def ledger_log(stream: DataFrame, chain: str, seq: str, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
