@@ -20,6 +20,7 @@ Defined cases: a text without words, or null, has 0 words, log probability 0 and
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -78,13 +79,10 @@ def placed(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, at, counts
 
 
-def ids_of(ids: Ids, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.array([len(w) for w in split], np.int64)
-    return np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int16, int(counts.sum())), counts
-
-
 def laid_out(ids: Ids, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return placed(*ids_of(ids, [words_of(t) for t in texts]))
+    split = [words_of(t) for t in texts]
+    counts = np.array([len(w) for w in split], np.int64)
+    return placed(np.fromiter(map(ids.__getitem__, chain.from_iterable(split)), np.int16, int(counts.sum())), counts)
 
 
 def texts_laid_out(frequent: list[bytes]):
@@ -294,19 +292,6 @@ def trained(docs: DataFrame, frequent: list[bytes], params: dict, rounds: int =
     return params
 
 
-class Logs(dict):
-    """Word to the log of its count, NaN where the tasks do not know it. Marks at the ends of a word do not count."""
-
-    def __init__(self, known: dict[bytes, float]):
-        self.known = known
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        self[word] = out = self.known.get(word.strip(MARKS) or word, np.nan)
-        return out
-
-
 def bucket_logs(counted: DataFrame, frequent: list[bytes]) -> np.ndarray:
     """For each bucket the log of the summed counts of its words and one for those unseen."""
     sent = counted.sparkSession.sparkContext.broadcast(frequent)
@@ -324,26 +309,51 @@ def bucket_logs(counted: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return np.log(out)
 
 
-class Shares:
-    """What a word says about its bucket: the log of its count less that of the bucket, for the words known to the tasks."""
+class Codes(dict):
+    """Word to code: below ``FREQUENT`` its id, from there on its place among the words without one, whose bucket and log count are kept in lists."""
+
+    def __init__(self, frequent: list[bytes], known: dict[bytes, float], rest: np.ndarray):
+        self.frequent, self.known, self.rest = {w: i for i, w in enumerate(frequent)}, known, rest
+        self._forget()
 
-    def __init__(self, known: dict[bytes, float], rest: np.ndarray):
-        self.logs, self.rest = Logs(known), rest
+    def _forget(self) -> None:
+        self.clear()
+        self.words: list[bytes] = []
+        self.buckets, self.logs = array("h"), array("d")
 
-    def of(self, split: list[list[bytes]], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-        """For each text the sum over its words without an id, unknown ones as if seen once, and the unknown (word, times)."""
-        said = list(chain.from_iterable(split))
-        tail = np.flatnonzero(ids >= FREQUENT)
-        logs = np.fromiter((self.logs[said[i]] for i in tail.tolist()), np.float64, len(tail))
-        document = np.repeat(np.arange(len(split)), counts)
-        sums = np.bincount(document[tail], np.nan_to_num(logs) - self.rest[ids[tail] - FREQUENT], len(split)).astype(np.float64)
-        unknown = tail[np.isnan(logs)]
-        rare: list[Counter] = [Counter() for _ in split]
-        for i, d in zip(unknown.tolist(), document[unknown].tolist()):
-            rare[d][said[i].strip(MARKS) or said[i]] += 1
-        offsets = pa.array(np.r_[0, np.cumsum([len(r) for r in rare])], pa.int32())
-        pairs = [pa.array([w for r in rare for w in r], pa.binary()), pa.array([n for r in rare for n in r.values()], pa.int64())]
-        return sums, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "times"]))
+    def __missing__(self, word: bytes) -> int:
+        bare = word.strip(MARKS) or word
+        code = self.frequent.get(bare)
+        if code is None:
+            code = FREQUENT + len(self.words)
+            self.words.append(bare)
+            self.buckets.append(FREQUENT + xxhash.xxh64_intdigest(bare) % (IDS - FREQUENT))
+            self.logs.append(self.known.get(bare, np.nan))
+        self[word] = code
+        return code
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """(ids, words of each text, shares, rare). ``shares``: for each text, what its words say about their buckets, the log of the count of a word
+        less that of the bucket, unknown words as if seen once; ``rare``: the unknown (word, times)."""
+        if len(self) > WORDS_KEPT:
+            self._forget()
+        split = [words_of(t) for t in texts]
+        counts = np.array([len(w) for w in split], np.int64)
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+        buckets, logs = np.array(self.buckets, np.int16), np.array(self.logs, np.float64)
+        tail = np.flatnonzero(codes >= FREQUENT)
+        place = codes[tail] - FREQUENT
+        ids = codes.astype(np.int16)
+        ids[tail] = buckets[place]
+        document = np.repeat(np.arange(len(texts)), counts)[tail]
+        said = logs[place]
+        shares = np.bincount(document, np.nan_to_num(said) - self.rest[ids[tail] - FREQUENT], len(texts)).astype(np.float64)
+        unknown = np.isnan(said)
+        each, times = np.unique(document[unknown] * (len(self.words) + 1) + place[unknown], return_counts=True)
+        owner, word = np.divmod(each, len(self.words) + 1)
+        offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32())
+        pairs = [pa.array([self.words[i] for i in word.tolist()], pa.binary()), pa.array(times.astype(np.int64))]
+        return ids, counts, shares, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(pairs, names=["word", "times"]))
 
 
 def _known(counted: DataFrame, frequent: list[bytes]) -> tuple[dict[bytes, float], np.ndarray]:
@@ -357,16 +367,14 @@ SCORES = [StructField("n_words", LongType()), StructField("log_prob", DoubleType
 
 
 def encoded(docs: DataFrame, frequent: list[bytes], counted: DataFrame) -> DataFrame:
-    """A written table of the columns of ``docs`` but the text (``doc``), row, ids (two bytes a word), and what :class:`Shares` says."""
+    """A written table of the columns of ``docs`` but the text (``doc``), row, ids (two bytes a word), ``shares`` and ``rare`` (see :class:`Codes`)."""
     sent = docs.sparkSession.sparkContext.broadcast((frequent, *_known(counted, frequent)))
     own: dict = {}
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         if not own:
-            own.update(ids=Ids(sent.value[0]), shares=Shares(*sent.value[1:]))
-        split = [words_of(t) for t in texts]
-        ids, counts = ids_of(own["ids"], split)
-        sums, rare = own["shares"].of(split, ids, counts)
+            own.update(codes=Codes(*sent.value))
+        ids, counts, sums, rare = own["codes"].encode(texts)
         ends = np.cumsum(counts)
         cut = pa.array([ids[a:b].tobytes() for a, b in zip(ends - counts, ends)], pa.binary())
         return with_columns(batch.drop_columns(["text"]), ids=cut, shares=pa.array(sums), rare=rare)
@@ -433,13 +441,11 @@ def score(docs: DataFrame, frequent: list[bytes], params: dict, counted: DataFra
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         if not own:
-            own.update(ids=Ids(sent.value[0]), params=shaped(sent.value[1]), shares=Shares(*sent.value[2:]))
-        split = [words_of(t) for t in texts]
-        ids, counts = ids_of(own["ids"], split)
+            own.update(codes=Codes(sent.value[0], *sent.value[2:]), params=shaped(sent.value[1]))
+        ids, counts, sums, rare = own["codes"].encode(texts)
         total, columns = _sums(log_probabilities(own["params"], *placed(ids, counts)[:2]), counts), {}
         if shared:
-            sums, columns["rare"] = own["shares"].of(split, ids, counts)
-            total = total + sums
+            total, columns["rare"] = total + sums, rare
         return with_columns(batch.drop_columns(["text"]), n_words=pa.array(counts), log_prob=pa.array(total), **columns)
 
     scored = map_texts(base, extended(base.drop("text"), *SCORES[:2], *([StructField("rare", RARE)] if shared else [])), run)
