@@ -114,6 +114,11 @@ def resolution_key(filename: Column, command: Column) -> Column:
     return F.concat(filename, F.lit("::"), F.lower(collapse_blanks(command)))
 
 
+def first_of_keys(ordered: str) -> Column:
+    """array<struct<entry, first>> of a column of entries in order of ``key``: ``first`` where the entry before has another key."""
+    return F.transform(ordered, lambda x, i: F.struct(x.alias("entry"), ((i == 0) | (F.get(F.col(ordered), i - 1)["key"] != x["key"])).alias("first")))
+
+
 def directive_tokens(text: Column) -> Column:
     """Distinct tokens of a directive, longer than two characters, edge punctuation and stop words removed."""
     parts = F.split(F.lower(flatten_markup(text)), r"[\s=]+", -1)

@@ -9,7 +9,7 @@ from confsieve.catalog.review import CONTROL_KEYWORDS
 from confsieve.catalog.rules import RULES
 from confsieve.functions.numbers import clamp, round_half_up
 from confsieve.functions.tables import computed, literal_map
-from confsieve.functions.text import any_of, flatten_markup, is_reviewable, resolution_key
+from confsieve.functions.text import any_of, first_of_keys, flatten_markup, is_reviewable, resolution_key
 from confsieve.operators.extract import Grammar, rule_number
 from confsieve.operators.latest import first_seen
 
@@ -96,6 +96,28 @@ def queue(unknown: DataFrame, gated: DataFrame) -> DataFrame:
     return first_seen(keyed, ["filename", "resolution_key"], ["_source", "line_no", "command"]).drop("_source")
 
 
+ENTRY_TYPE = "struct<key:string,source:int,line_no:int,command:string,rule_hint:string,field_hint:string>"
+
+
+def queue_in_row(rows: DataFrame, keys: list[str], g: Grammar = Grammar(), filename: str = "filename") -> DataFrame:
+    """The queue of every configuration, found inside its row: lines that no rule matched, and lines behind failing findings.
+
+    ``rows`` has ``lines`` (extract) and ``findings`` (rules.findings_in_row). Out come keys, line_no, command, rule_hint, field_hint,
+    resolution_key, and ``first``: the entry that stands for its key, unknown lines before gated findings. Nothing is shuffled."""
+    none = F.lit(None).cast("string")
+    unknown = F.filter("lines", lambda x: x["rule_no"].isNull() & x["raw"].rlike(any_of(g.security_keywords)))
+    gated = F.filter("findings", lambda f: (f["status"] == "fail") & f["src_raw"].isNotNull())
+    both = F.concat(
+        F.transform(unknown, lambda x: F.struct(F.lit(0).alias("source"), x["line_no"].alias("line_no"), x["raw"].alias("command"), none.alias("rule_hint"), none.alias("field_hint"))),
+        F.transform(gated, lambda f: F.struct(F.lit(1).alias("source"), f["src_line"].alias("line_no"), f["src_raw"].alias("command"), f["rule_id"].alias("rule_hint"), f["field_path"].alias("field_hint"))),
+    )
+    staged = computed(rows.select(*dict.fromkeys([*keys, filename]), both.alias("_both")), _kept=F.filter("_both", lambda x: is_reviewable(x["command"])))
+    keyed = F.transform("_kept", lambda x: F.struct(resolution_key(F.col(filename), x["command"]).alias("key"), *[x[c].alias(c) for c in ("source", "line_no", "command", "rule_hint", "field_hint")]))
+    ordered = computed(staged, _ordered=F.array_sort(keyed.cast(f"array<{ENTRY_TYPE}>")))
+    marked = ordered.select(*dict.fromkeys([*keys, filename]), F.explode(first_of_keys("_ordered")).alias("e"))
+    return marked.select(*dict.fromkeys([*keys, filename]), "e.entry.line_no", "e.entry.command", "e.entry.rule_hint", "e.entry.field_hint", F.col("e.entry.key").alias("resolution_key"), "e.first")
+
+
 def with_verdicts(commands: DataFrame, verdicts: DataFrame, include_resolved: bool = True) -> DataFrame:
     """Adds the stored verdict; ``verdicts`` has one row per resolution_key."""
     joined = commands.join(verdicts.select("resolution_key", "verdict", "reviewer"), "resolution_key", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from confsieve.catalog.fields import FIELD_TYPES
 from confsieve.catalog.rules import RULES
 from confsieve.functions.predicates import list_predicate, scalar_predicate
-from confsieve.functions.tables import literal_rows
+from confsieve.functions.tables import computed, literal_rows
 from confsieve.operators.extract import FACT_TYPE
 
 PASS, FAIL, REVIEW, NOT_APPLICABLE = "pass", "fail", "needs_human_review", "not_applicable"
@@ -105,6 +105,34 @@ def evaluate(devices: DataFrame, keys: list[str], rules: list = RULES, field_typ
     )
 
 
+FINDING_TYPE = "struct<rule_id:string,severity:string,field_path:string,status:string,src_line:int,src_raw:string,confidence:double>"
+
+
+def findings_in_row(devices: DataFrame, rules: list = RULES, field_types: dict = FIELD_TYPES, vendor: str = "vendor") -> DataFrame:
+    """As :func:`evaluate`, with the findings of a device as an array in its row."""
+    table = literal_rows(rule_rows(rules, field_types), RULE_TYPE)
+    paired = F.transform(
+        table,
+        lambda r: F.struct(
+            r.alias("rule"),
+            F.try_element_at(F.filter("facts", lambda f: f["field_path"] == r["field_path"]), F.lit(-1)).alias("ev"),
+            F.filter("acl_items", lambda f: f["field_path"] == r["field_path"]).alias("items"),
+        ),
+    )
+
+    def decided(p: Column) -> Column:
+        rule, ev, items = p["rule"], p["ev"], p["items"]
+        status = F.when(rule["is_list"], _list_status(items, rule)).otherwise(_scalar_status(ev, rule, F.col(vendor)))
+        shown = F.when(rule["is_list"], F.try_element_at(items, F.lit(1))).otherwise(ev)
+        return F.struct(
+            rule["rule_id"].alias("rule_id"), rule["severity"].alias("severity"), rule["field_path"].alias("field_path"), status.alias("status"),
+            shown["src_line"].alias("src_line"), shown["src_raw"].alias("src_raw"), F.coalesce(shown["confidence"], F.lit(0.0)).alias("confidence"),
+        )
+
+    staged = computed(devices, _paired=paired)
+    return computed(staged, findings=F.transform("_paired", decided).cast(f"array<{FINDING_TYPE}>")).drop("_paired")
+
+
 def pack_evidence(evidence: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Long evidence to one row per device with ``facts`` and ``acl_items``.
 

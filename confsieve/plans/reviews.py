@@ -10,12 +10,15 @@ from confsieve.functions import text as t
 from confsieve.functions.tables import computed
 from confsieve.operators import cluster, folds, review, similarity
 from confsieve.operators import extract as x
-from confsieve.operators.latest import first_seen, latest_per_key
+from confsieve.operators import rules as ru
+from confsieve.operators.latest import latest_per_key
 from confsieve.plans.adapters import (
-    BLANKS_SQL, DOC_FACTS_SQL, DOC_FINDINGS_SQL, DOC_GRAMMAR, DOC_RULES, LINES_SQL, UNKNOWN_SQL, configs, table,
+    BLANKS_SQL, DOC_FACTS_SQL, DOC_FIELD_TYPES, DOC_FINDINGS_SQL, DOC_GRAMMAR, DOC_RULES, LINES_SQL, UNKNOWN_SQL, configs, rule_number_sql, table,
 )
-from confsieve.plans.audits import doc_findings, matched
+from confsieve.plans.audits import extracted, matched
 from confsieve.plans.registry import half_up, query, text
+from confsieve.plans.texts import CONFIDENCE_SQL
+from confsieve.session import cut_lineage
 
 #: No text has so many lines: Spark's strings end at 2**31 bytes. No conversation may have more turns than TURNS_APART; it is checked.
 LINES_APART, TURNS_APART = 1 << 32, 1 << 20
@@ -34,9 +37,11 @@ UNKNOWN_SEQ_SQL = f"{DOC_FACTS_SQL}, {UNKNOWN_SQL}, unk AS (SELECT *, config_id
 
 @query("win06_first_seen_directives", f"WITH {LINES_SQL}, k AS (SELECT config_id, line_no, {KEY_SQL.format(c='raw')} AS key FROM lines) SELECT config_id, md5(key) AS key_md5, min(line_no) AS line_no FROM k GROUP BY config_id, key")
 def first_directives(spark: SparkSession, d: str) -> DataFrame:
-    lines = configs(spark, d).select("config_id", F.explode_outer(t.numbered_lines(F.col("raw_text"))).alias("l")).where("l IS NOT NULL")
-    keyed = lines.select("config_id", F.col("l.line_no").alias("line_no"), F.lower(t.collapse_blanks(F.col("l.raw"))).alias("key"))
-    return first_seen(keyed, ["config_id", "key"], ["line_no"]).select("config_id", F.md5("key").alias("key_md5"), "line_no")
+    """Found inside the row that holds the text: its lines in order of their keys."""
+    lines = F.transform(t.numbered_lines(F.col("raw_text")), lambda x: F.struct(F.lower(t.collapse_blanks(x["raw"])).alias("key"), x["line_no"].alias("line_no")))
+    ordered = computed(configs(spark, d).select("config_id", lines.alias("_lines")), _ordered=F.array_sort("_lines"))
+    found = ordered.select("config_id", F.explode(t.first_of_keys("_ordered")).alias("e")).where("e.first")
+    return found.select("config_id", F.md5("e.entry.key").alias("key_md5"), "e.entry.line_no")
 
 
 # ---- control mapping and trust ----------------------------------------------------------------------------------------------------------------
@@ -70,20 +75,22 @@ def control_keywords(spark: SparkSession, d: str) -> DataFrame:
     return review.with_control(lines.select(F.col("l.raw").alias("raw")), "raw", none, none).groupBy("control").agg(F.count("*").alias("lines"))
 
 
-WEIGHTS_SQL = "weights AS (SELECT token, weight FROM (SELECT unnest(['menu', 'free', 'the', 'de', 'of', 'la']) AS token, unnest([0.9, 0.8, 0.6, 0.4, 0.3, 0.2]::DOUBLE[]) AS weight))"
+#: What the turns of the conversations taught: see win08_directive_weights.
+WEIGHTS_SQL = f"""taught AS (SELECT conv_id * {TURNS_APART} + turn AS seq, unnest(list_distinct(list_filter(regexp_split_to_array(lower(replace(text, '"', '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))) AS token, CASE WHEN role = 'assistant' THEN 10000::BIGINT ELSE 2000::BIGINT END AS target FROM conversations),
+weights AS (SELECT token, list_reduce(list_prepend(5000::BIGINT, list(target ORDER BY seq)), lambda w, t: (w * 92 + t * 8 + 50) // 100) / 10000.0::DOUBLE AS weight FROM taught GROUP BY token)"""
 TOKENS_SQL = "tok AS (SELECT seq, trim(lower(unnest(list_filter(regexp_split_to_array(raw, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))), '\"''') AS token FROM unk)"
 LEARNED_SQL = f"{WEIGHTS_SQL}, {TOKENS_SQL}, learned AS (SELECT u.seq, count(k.token) AS tokens, count(w.weight) AS known_tokens, coalesce(avg(w.weight), 0::DOUBLE) AS learned FROM unk u LEFT JOIN tok k USING (seq) LEFT JOIN weights w USING (token) GROUP BY u.seq)"
 
 
-def weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("menu", 0.9), ("free", 0.8), ("the", 0.6), ("de", 0.4), ("of", 0.3), ("la", 0.2)], "token string, weight double")
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    return directive_weights(spark, d).select("token", "weight")
 
 
 @query("knw09_token_weights", f"WITH {UNKNOWN_SEQ_SQL}, {LEARNED_SQL} SELECT seq, tokens, known_tokens, {half_up('learned', 6)} AS learned FROM learned")
 def learned(spark: SparkSession, d: str) -> DataFrame:
     from confsieve.functions.numbers import round_half_up
 
-    out = review.learned_weights(unknown(spark, d), "seq", "raw", weights(spark))
+    out = review.learned_weights(unknown(spark, d), "seq", "raw", weights(spark, d))
     return out.withColumn("learned", round_half_up(F.col("learned"), 6))
 
 
@@ -99,23 +106,44 @@ def nearest_example(spark: SparkSession, d: str) -> DataFrame:
     return similarity.token_overlap(unknown(spark, d), table(spark, d, "benchmark"), "seq", "raw", "item_id", "text")
 
 
-TRUST_SQL = half_up("least(greatest(0.30::DOUBLE * CASE WHEN control <> 'UNMAPPED' THEN 1.0::DOUBLE ELSE 0::DOUBLE END + 0.25::DOUBLE * CASE WHEN line_no % 4 = 0 THEN 1.0::DOUBLE ELSE 0::DOUBLE END + 0.20::DOUBLE * learned + 0.15::DOUBLE * similarity + 0.10::DOUBLE * 0.5::DOUBLE, 0::DOUBLE), 1::DOUBLE)", 3)
+def trust_sql(line: str, learned: str) -> str:
+    return half_up(f"least(greatest(0.30::DOUBLE * CASE WHEN control <> 'UNMAPPED' THEN 1.0::DOUBLE ELSE 0::DOUBLE END + 0.25::DOUBLE * CASE WHEN known THEN 1.0::DOUBLE ELSE 0::DOUBLE END + 0.20::DOUBLE * {learned} + 0.15::DOUBLE * similarity + 0.10::DOUBLE * vendor_confidence, 0::DOUBLE), 1::DOUBLE)", 3)
+
+
+NEUTRAL = x.Grammar(vendor_rules=[], fallback_rules=DOC_GRAMMAR.fallback_rules, keyword_rules=DOC_GRAMMAR.keyword_rules)
+GRID = "round({0} * 1048576) / 1048576.0::DOUBLE"
+BAND_SQL = "CASE WHEN trust_score >= 0.70::DOUBLE THEN 'high' WHEN trust_score >= 0.45::DOUBLE THEN 'medium' ELSE 'low' END"
+VENDOR_CONFIDENCE_SQL = f"CASE WHEN vendor = 'unknown' THEN 0::DOUBLE ELSE {CONFIDENCE_SQL} END"
+
+
+def known_sql(raw: str) -> str:
+    return f"({rule_number_sql(raw, 'NULL', NEUTRAL)} IS NOT NULL OR {rule_number_sql(FLAT_RAW.replace('raw', raw), 'NULL', NEUTRAL)} IS NOT NULL)"
+
+
+def _on_grid(c: str) -> F.Column:
+    """Averages are put on a binary grid before they are added up, so that the order of summation cannot show."""
+    return F.round(F.col(c) * 1048576) / 1048576.0
+
+
+def trusted(rows: DataFrame, key: str, text_of: str, weighed: DataFrame, examples: DataFrame) -> DataFrame:
+    """Adds control, known, learned, similarity, trust_score, trust_band and the factors to directives with vendor and vendor_confidence."""
+    ready = computed(rows, known=review.known_pattern(F.col(text_of), F.lit(None).cast("string"), DOC_GRAMMAR).isNotNull())
+    l = review.learned_weights(ready, key, text_of, weighed).select(key, "learned")
+    j = similarity.token_overlap(ready, examples, key, text_of, "item_id", "text")
+    parts = F.col("control") != review.UNMAPPED, F.col("known"), _on_grid("learned"), F.col("similarity"), F.col("vendor_confidence")
+    scored = ready.join(l, key).join(j, key).withColumn("trust_score", review.trust(*parts)).withColumn("factors", review.trust_factors(*parts))
+    return scored.withColumn("trust_band", review.trust_band(F.col("trust_score")))
 
 
 @query(
     "knw05_trust_score",
-    f"""WITH {UNKNOWN_SEQ_SQL}, {LEARNED_SQL}, {JACCARD_SQL}, c AS (SELECT *, {CONTROL_SQL} AS control FROM unk), s AS (SELECT c.seq, {TRUST_SQL.replace('learned', 'round(learned * 1048576) / 1048576.0::DOUBLE')} AS trust_score FROM c JOIN learned USING (seq) JOIN jac USING (seq))
-SELECT seq, trust_score, CASE WHEN trust_score >= 0.70::DOUBLE THEN 'high' WHEN trust_score >= 0.45::DOUBLE THEN 'medium' ELSE 'low' END AS trust_band FROM s""",
+    f"""WITH {UNKNOWN_SEQ_SQL}, {LEARNED_SQL}, {JACCARD_SQL}, c AS (SELECT *, {CONTROL_SQL} AS control, {known_sql('raw')} AS known FROM unk),
+v AS (SELECT config_id, {VENDOR_CONFIDENCE_SQL} AS vendor_confidence FROM decided), s AS (SELECT c.seq, known, {trust_sql('line_no', GRID.format('learned'))} AS trust_score FROM c JOIN v USING (config_id) JOIN learned USING (seq) JOIN jac USING (seq))
+SELECT seq, known, trust_score, {BAND_SQL} AS trust_band FROM s""",
 )
 def trust(spark: SparkSession, d: str) -> DataFrame:
-    u = mapped(unknown(spark, d))
-    l = review.learned_weights(u, "seq", "raw", weights(spark))
-    j = similarity.token_overlap(u, table(spark, d, "benchmark"), "seq", "raw", "item_id", "text")
-    # Averages are put on a binary grid before they are added up, so that the order of summation cannot show.
-    mean = F.round(F.col("learned") * 1048576) / 1048576.0
-    joined = u.select("seq", "line_no", "control").join(l, "seq").join(j, "seq")
-    score = review.trust(F.col("control") != review.UNMAPPED, F.col("line_no") % 4 == 0, mean, F.col("similarity"), F.lit(0.5))
-    return joined.select("seq", score.alias("trust_score")).withColumn("trust_band", review.trust_band(F.col("trust_score")))
+    u = cut_lineage(mapped(unknown(spark, d)).select("seq", "raw", "control", "vendor_confidence"), "mapped")
+    return trusted(u, "seq", "raw", weights(spark, d), table(spark, d, "benchmark")).select("seq", "known", "trust_score", "trust_band")
 
 
 # ---- the queue ----------------------------------------------------------------------------------------------------------------------------------
@@ -129,24 +157,47 @@ verdicts AS (SELECT resolution_key, arg_max(CASE WHEN line_no % 3 = 0 THEN 'PASS
 q2 AS (SELECT queue.*, verdict, verdict IS NOT NULL AS resolved FROM queue LEFT JOIN verdicts USING (resolution_key))"""
 
 
+def queue_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry of the queue of every document, from one pass over the texts; ``first`` marks those that stand for their key."""
+    rows = ru.findings_in_row(extracted(spark, d), DOC_RULES, DOC_FIELD_TYPES)
+    return cut_lineage(review.queue_in_row(rows, ["config_id", "filename", "vendor", "vendor_confidence"], DOC_GRAMMAR), "queue")
+
+
 def queued(spark: SparkSession, d: str) -> DataFrame:
-    from confsieve.session import cut_lineage
+    rows = queue_rows(spark, d)
+    told = rows.where("line_no % 2 = 0").select("resolution_key", "line_no", F.when(F.col("line_no") % 3 == 0, "PASS").otherwise("FAIL").alias("verdict"), F.lit("auditor").alias("reviewer"))
+    return review.with_verdicts(rows.where("first").drop("first"), latest_per_key(told, ["resolution_key"], ["line_no"]))
 
-    # Both sources are read twice below; as lines they are small next to the texts.
-    u = cut_lineage(unknown(spark, d).select("filename", "line_no", F.col("raw").alias("command")), "unknown")
-    gated = doc_findings(spark, d).where("status = 'fail' AND src_raw IS NOT NULL").select(
-        "filename", F.col("src_line").alias("line_no"), F.col("src_raw").alias("command"), F.col("rule_id").alias("rule_hint"), F.col("field_path").alias("field_hint")
-    )
-    gated = cut_lineage(gated, "gated")
-    both = u.select("filename", "line_no", "command").unionByName(gated.select("filename", "line_no", "command")).where(t.is_reviewable(F.col("command")))
-    keyed = both.withColumn("resolution_key", t.resolution_key(F.col("filename"), F.col("command"))).where("line_no % 2 = 0")
-    verdicts = latest_per_key(keyed.select("resolution_key", "line_no", F.when(F.col("line_no") % 3 == 0, "PASS").otherwise("FAIL").alias("verdict"), F.lit("auditor").alias("reviewer")), ["resolution_key"], ["line_no"])
-    return review.with_verdicts(review.queue(u, gated), verdicts)
+
+#: Fix texts by control and vendor, of this catalogue of rules.
+FIXES = {"DOC-SEC-01|en": "remove the token", "DOC-PII-01|en": "mask the address", "DOC-PII-01|fr": "masquer l'adresse", "DOC-ACL-01|en": "drop the menu"}
+_HINTED = "CASE " + " ".join(f"WHEN rule_hint = {text(r['id'])} THEN {text(r['id'])}" for r in DOC_RULES) + " " + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower({FLAT_RAW.replace('raw', 'command')} || ' '), {text(w)})" for w in words) + f" THEN '{r}'" for r, words in WORDS
+) + " ELSE 'UNMAPPED' END"
+_SEVERITY = "CASE control " + " ".join(f"WHEN {text(r['id'])} THEN {text(r['severity'])}" for r in DOC_RULES) + " END"
+_TITLE = "CASE control " + " ".join(f"WHEN {text(r['id'])} THEN {text(r['title'])}" for r in DOC_RULES) + " END"
+_FIX = "CASE control || '|' || vendor " + " ".join(f"WHEN {text(k)} THEN {text(v)}" for k, v in FIXES.items()) + " END"
 
 
-@query("knw06_review_queue", f"WITH {QUEUE_SQL} SELECT filename, line_no, md5(resolution_key) AS key_md5, verdict, resolved FROM q2")
+@query(
+    "knw06_review_queue",
+    f"""WITH {QUEUE_SQL}, unk AS (SELECT resolution_key AS seq, command AS raw FROM q2), {LEARNED_SQL}, {JACCARD_SQL},
+full_rows AS (SELECT q2.*, d.vendor, {VENDOR_CONFIDENCE_SQL} AS vendor_confidence, {_HINTED} AS control, {known_sql('command')} AS known FROM q2 JOIN doc USING (filename) JOIN decided d ON d.config_id = doc.config_id),
+s AS (SELECT f.*, {trust_sql('line_no', GRID.format('learned'))} AS trust_score FROM full_rows f JOIN learned l ON l.seq = f.resolution_key JOIN jac ON jac.seq = f.resolution_key)
+SELECT filename, line_no, md5(resolution_key) AS key_md5, verdict, resolved, control, {_TITLE} AS control_title, {_SEVERITY} AS severity, {_FIX} AS remediation, known, trust_score, {BAND_SQL} AS trust_band FROM s""",
+)
 def queue(spark: SparkSession, d: str) -> DataFrame:
-    return queued(spark, d).select("filename", "line_no", F.md5("resolution_key").alias("key_md5"), "verdict", "resolved")
+    """The whole queue: what a directive is about, what mends it, how far it is trusted, and what was decided before."""
+    from confsieve.functions.tables import literal_map
+
+    rows = review.with_control(queued(spark, d), "command", F.lit(None).cast("string"), F.col("rule_hint"), DOC_RULES, WORDS)
+    rows = cut_lineage(rows.withColumn("entry", F.monotonically_increasing_id()), "queue-controls")
+    out = trusted(rows, "entry", "command", weights(spark, d), table(spark, d, "benchmark"))
+    control = F.col("control")
+    return out.select(
+        "filename", "line_no", F.md5("resolution_key").alias("key_md5"), "verdict", "resolved", "control", review.rule_attribute(control, "title", DOC_RULES).alias("control_title"),
+        review.rule_attribute(control, "severity", DOC_RULES).alias("severity"), F.try_element_at(literal_map(FIXES), F.concat_ws("|", control, "vendor")).alias("remediation"), "known", "trust_score", "trust_band",
+    )
 
 
 @query("jon05_pending_only", f"WITH {QUEUE_SQL} SELECT filename, line_no FROM q2 WHERE NOT resolved")
