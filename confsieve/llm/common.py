@@ -31,6 +31,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, as given or with underscores added, that ``df`` does not hold yet."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shielded(df: DataFrame, names: Iterable[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn(df)`` for a ``fn`` that gives its results these names: columns of the input that have them come back as they were."""
+    taken = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    away = dict(zip(taken, unused(df, *[f"own_{c}" for c in taken])))
+    out = fn(df.withColumnsRenamed(away))
+    back = {v: k for k, v in away.items()}
+    return out.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in df.columns]) if back else out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality in which null equals null."""
     return a.eqNullSafe(b)

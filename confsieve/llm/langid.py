@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
@@ -28,8 +28,9 @@ from confsieve.llm.common import extended, map_texts, pick, slices, with_columns
 from confsieve.llm.subwords import WordTable, bounded_sample, held_out, ngrams
 from confsieve.session import cut_lineage
 
-#: Documents of a language in the sample; the longest n-grams; sightings from which a word or an n-gram is known; words, and n-grams of each length, kept.
-SAMPLE, LONGEST, WORD_MIN, GRAM_MIN, KEPT = 2000, 5, 2, 3, 120_000
+#: Documents of a language in the sample; the longest n-grams; sightings from which a word or an n-gram is known; words, and n-grams of each
+#: length, kept of each language: a language with much text takes no room from others, and the driver's model is bounded by the languages.
+SAMPLE, LONGEST, WORD_MIN, GRAM_MIN, KEPT = 2000, 5, 2, 3, 30_000
 UNKNOWN = "und"
 
 
@@ -136,8 +137,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     grams = cut_lineage(count_grams(by_word, columns), "lang-grams")
 
     def most(table: DataFrame, key: str, at_least: int):
-        """The most frequent rows, bounded: their keys and counts."""
-        got = table.filter(total >= at_least).orderBy(total.desc(), key).limit(KEPT).select(key, *columns).toArrow()
+        """The most frequent rows of each language, a bounded number: their keys and counts."""
+        frequent = table.filter(total >= at_least)
+        each = frequent.select(key, F.posexplode(F.array(*columns)).alias("lang", "n")).filter("n > 0")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))
+        best = each.withColumn("rank", rank).filter(F.col("rank") <= KEPT).select(key).distinct()
+        got = frequent.join(best, key, "left_semi").orderBy(key).select(key, *columns).toArrow()
         counts = [got.column(c).to_numpy() for c in columns]
         return got.column(key), np.stack(counts, axis=1).astype(np.float64) if len(got) else np.zeros((0, len(columns)))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from confsieve.llm.common import SPACE, extended, map_texts, pick, same, slices, with_columns, without
+from confsieve.llm.common import SPACE, extended, map_texts, pick, same, slices, unused, with_columns, without
 from confsieve.session import cut_lineage
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -144,21 +144,22 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     """``docs`` with the lines left in ``text``, and ``n_lines`` (before) and ``n_dropped``."""
     found = cut_lineage(suspects(docs, min_chars, max_filter_bytes), "line-suspects")
     shared = cut_lineage(shared_keys(found, min_docs), "line-shared")
-    drops = found.join(shared, "key").filter(~same(F.col("doc"), F.col("keeper"))).groupBy("doc").agg(F.collect_set("key").alias("__drop"))
     docs = without(docs, "n_lines", "n_dropped")
-    joined = docs.join(drops.withColumnRenamed("doc", "__doc"), same(F.col("doc_id"), F.col("__doc")), "left").drop("__doc")
+    gone_name, doc_name = unused(docs, "gone", "doc")
+    drops = found.join(shared, "key").filter(~same(F.col("doc"), F.col("keeper"))).groupBy("doc").agg(F.collect_set("key").alias(gone_name)).withColumnRenamed("doc", doc_name)
+    joined = docs.join(drops, same(docs["doc_id"], drops[doc_name]), "left").drop(doc_name)
     added = [StructField("n_lines", LongType()), StructField("n_dropped", LongType())]
 
     def rewrite(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         out, n_lines, n_dropped = [], [], []
-        for text, drop in zip(texts, batch.column(batch.schema.get_field_index("__drop")).to_pylist()):
+        for text, drop in zip(texts, batch.column(batch.schema.get_field_index(gone_name)).to_pylist()):
             lines = (text or b"").split(b"\n")
             gone = {k.encode() for k in drop or ()}
             kept = [x for x in lines if line_key(x) not in gone] if gone else lines
             out.append(b"\n".join(kept))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(kept))
-        batch = batch.drop_columns(["__drop"])
+        batch = batch.drop_columns([gone_name])
         return with_columns(batch, text=pa.array(out, pa.binary()).cast(pa.string()), n_lines=pa.array(n_lines, pa.int64()), n_dropped=pa.array(n_dropped, pa.int64()))
 
     return map_texts(joined, extended(docs, *added), rewrite)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confsieve.llm.common import pick, same, without
+from confsieve.llm.common import pick, same, unused, without
 from confsieve.session import cut_lineage
 
 WEIGHTS, MAX_COPIES = (5, 2, 1), 3
@@ -144,11 +144,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """``docs`` as the mix has it: a row as often as it has copies. Rows that share an id and a size share their copies evenly."""
+    size_, src_, rank_, copies_, doc_, n_, from_, times_, copy_ = unused(docs, "size", "src", "rank", "copies", "doc", "n", "from", "times", "copy")
     size = word_count(F.col("text"))
-    given = mix(docs, weights, max_copies).groupBy("doc_id", "src", "size").agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    given = mix(docs, weights, max_copies).groupBy("doc_id", "src", "size").agg(F.array_sort(F.collect_list("copies")).alias(copies_))
     own = Window.partitionBy("doc_id", _ordered(F.col("source")), size).orderBy(F.xxhash64("text"))
-    rows = docs.withColumns({"__size": size, "__src": _ordered(F.col("source")), "__rank": F.row_number().over(own)})
-    joined = rows.join(given.withColumnsRenamed({"doc_id": "__doc", "size": "__n", "src": "__from"}), same(F.col("doc_id"), F.col("__doc")) & (F.col("__size") == F.col("__n")) & (F.col("__src") == F.col("__from")))
-    times = F.element_at("__copies", F.col("__rank"))
-    repeated = joined.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return without(repeated, "__size", "__src", "__rank", "__doc", "__n", "__from", "__copies", "__times", "__copy")
+    rows = docs.withColumns({size_: size, src_: _ordered(F.col("source")), rank_: F.row_number().over(own)})
+    given = given.select(F.col("doc_id").alias(doc_), F.col("size").alias(n_), F.col("src").alias(from_), copies_)
+    joined = rows.join(given, same(F.col("doc_id"), F.col(doc_)) & (F.col(size_) == F.col(n_)) & (F.col(src_) == F.col(from_)))
+    repeated = joined.withColumn(times_, F.element_at(copies_, F.col(rank_))).filter(F.col(times_) > 0).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(times_))))
+    return without(repeated, size_, src_, rank_, doc_, n_, from_, copies_, times_, copy_)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from confsieve.llm.common import extended, map_texts, pick, with_columns, without
+from confsieve.llm.common import map_texts, pick, unused, without
 from confsieve.llm.components import components
 from confsieve.session import cut_lineage
 
@@ -57,13 +57,13 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the bits of the fingerprint."""
-    narrow = pick(docs, "doc_id", "text")
-    schema = StructType([StructField("doc_id", narrow.schema["doc_id"].dataType), StructField("fp", LongType())])
+    """(doc_id, text_hash, fp): fp as a signed long with the bits of the fingerprint."""
+    narrow = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    schema = StructType([StructField("doc_id", narrow.schema["doc_id"].dataType), StructField("text_hash", LongType()), StructField("fp", LongType())])
 
     def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         values = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values)], names=["doc_id", "text_hash", "fp"])
 
     return map_texts(narrow, schema, run)
 
@@ -285,16 +285,24 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id, of its rows the smallest fingerprint, of those the smallest hash of the text.
-    Rows that share an id but hold different texts are told apart by fingerprint. Documents without an id cannot be named by a group and all stay."""
-    grouped = grouped_prints(cut_lineage(fingerprints(docs), "simhash"))
-    first = grouped.filter("first_id is not null").groupBy("root").agg(F.min(F.struct("first_id", "fp")).alias("k"))
-    keepers = first.select(F.col("k.first_id").alias("__doc"), F.col("k.fp").alias("__keep"))
+    """``docs`` with one row of each group: the smallest id, of its rows the smallest fingerprint, of those the smallest hash of the text, and
+    of equal rows any one. Rows that share an id but hold different texts are told apart. Documents without an id cannot be named by a group
+    and all stay.
 
-    def run(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        return with_columns(batch, __fp=pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
-
-    printed = map_texts(docs.filter(F.col("doc_id").isNotNull()), extended(docs, StructField("__fp", LongType())), run)
-    rank = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(F.xxhash64("text")))
-    kept = printed.join(keepers, (printed["doc_id"] == keepers["__doc"]) & (printed["__fp"] == keepers["__keep"]), "left_semi").withColumn("__rank", rank).filter("__rank = 1")
-    return without(kept, "__rank", "__fp").unionByName(docs.filter(F.col("doc_id").isNull()))
+    Fingerprints are taken once, into a narrow table in which the rows to keep are found; the texts meet those rows in one semi join."""
+    prints = cut_lineage(fingerprints(docs), "simhash")
+    grouped = grouped_prints(prints)
+    named = prints.filter("doc_id is not null").join(grouped.select("fp", "root"), "fp")
+    doc, text, times = unused(docs, "keep_doc", "keep_text", "keep_rows")
+    rows = named.groupBy("root", "doc_id", "fp", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "text_hash", "n")).alias("k"))
+    keepers = cut_lineage(first.select(F.col("k.doc_id").alias(doc), F.col("k.text_hash").alias(text), F.col("k.n").alias(times)), "simhash-keepers")
+    same_row = (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    kept = docs.join(keepers.filter(F.col(times) == 1), same_row, "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
+    again = keepers.filter(F.col(times) > 1)
+    if again.isEmpty():
+        return kept
+    # Rows that are there several times, same id and same text, have to be told apart.
+    (rank,) = unused(docs, "keep_rank")
+    order = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    return kept.unionByName(without(docs.join(again, same_row, "left_semi").withColumn(rank, order).filter(F.col(rank) == 1), rank))

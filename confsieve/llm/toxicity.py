@@ -130,7 +130,7 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
     taught = np.flatnonzero(~kept)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for some in np.array_split(rng.permutation(taught), GROUPS):
+        for some in np.array_split(rng.permutation(taught), min(GROUPS, len(taught))):
             own, before, mean, start, end = judged(some)
             n = end - start
             at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -154,7 +154,7 @@ def train(texts: list[bytes | None], toxic: list[int], share: dict[int, float],
             heads -= 0.1 * rate * change / np.sqrt(heads_sq)
             bias_sq += error.sum(axis=0) ** 2
             bias -= 0.1 * rate * error.sum(axis=0) / np.sqrt(bias_sq)
-    worst = np.concatenate([judged(some)[2] for some in np.array_split(np.arange(len(texts)), GROUPS)]) + bias[1] - bias[0]
+    worst = np.concatenate([judged(some)[2] for some in np.array_split(np.arange(len(texts)), min(GROUPS, len(texts)))]) + bias[1] - bias[0]
     spoken = np.array([len(n) > 0 for n in numbers]) & (kept if kept.any() else True)
     scale, shift = logistic(worst[spoken], y[spoken]) if spoken.any() else (0.0, 0.0)
     shift -= np.log(share.get(1, 1.0) / share.get(0, 1.0))

@@ -3,7 +3,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SCHEMA = StructType([StructField(n, t) for n, t in [("doc_id", LongType()), ("text", StringType()), ("lang", StringType()), ("source", StringType()), ("n_chars", LongType())]])
 #: Names the operators give to their results or use inside, here as columns of the input.
-CLASHING = ["n_lines", "n_dropped", "score", "predicted", "held_out", "lang_pred", "ids", "decoded", "n_tokens", "size", "target", "copies", "rate", "fp", "component_id", "key", "bit", "fingerprint", "log_prob", "words"]
+CLASHING = ["n_lines", "n_dropped", "score", "predicted", "held_out", "lang_pred", "ids", "decoded", "n_tokens", "size", "target", "copies", "rate", "fp", "component_id", "key", "bit", "fingerprint", "log_prob", "words", "gone", "doc", "src", "rank", "n", "from", "times", "copy", "keep_doc", "keep_text", "keep_rows", "keep_rank", "row", "lines", "rare", "shares", "host", "hash", "bundle", "own_score", "text_hash", "__drop", "__doc", "__fp", "__rank", "__copies", "__n", "__size", "__src", "__times", "__rare"]
 LONG = "A long line that five documents share, word for word."
 
 

@@ -222,3 +222,17 @@ def test_lm_from_written_ids_equals_lm_from_texts(spark, clashing, empty):
     assert lm_score.pseudo_likelihood(clashing).count() == clashing.count()
     assert lm_score.pseudo_likelihood(empty).count() == 0
     assert lm_score.score(empty, *lm_score.fit(empty), lm_score.word_counts(empty)).count() == 0
+
+
+def test_large_language_takes_no_room_from_small_ones(spark, monkeypatch):
+    """One language with ten times the words of twenty others: each keeps its own most frequent words."""
+    monkeypatch.setattr(langid, "KEPT", 30)
+    rows, rnd = [], np.random.default_rng(5)
+    for k in range(21):
+        letters = [chr(0x4E00 + 40 * k + i) for i in range(30)]
+        for i in range(200 if k == 0 else 12):
+            words = ["".join(rnd.choice(letters, 4)) if k == 0 else "".join(letters[j : j + 4]) for j in rnd.integers(0, 26, 30)]
+            rows.append((1000 * k + i, " ".join(words), f"l{k}", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.predict(docs.drop("lang"), langid.fit(docs)).select("doc_id", "lang_pred").collect()
+    assert all(r.lang_pred == f"l{r.doc_id // 1000}" for r in got)

@@ -81,3 +81,32 @@ def test_stages_take_edges(spark, edge, empty):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(rows(corpus_pipeline.run(spark, FOLDER))) == sorted(rows(stages[-1]))
+
+
+def test_stages_keep_columns_with_clashing_names(spark, stages, tmp_path):
+    """Columns named like results or helpers come through every stage but the last as they were."""
+    from conftest import CLASHING
+    from pyspark.sql import functions as F
+
+    docs = stages[0].limit(60).withColumns({name: F.concat(F.lit("mine "), F.col("doc_id")) for name in CLASHING})
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, FOLDER).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            assert out.filter(" OR ".join(f"`{c}` <> concat('mine ', doc_id)" for c in CLASHING)).isEmpty()
+        docs = out
+    assert docs.count() > 20
+
+
+def test_stages_on_edge_rows(spark, edge, empty, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows; and a table without rows."""
+    spark.createDataFrame([*[(i, 1, 0) for i in range(1, 18) if i != 10], (10, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, start in enumerate((edge, empty)):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{k}-{name}")
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert docs.count() > 0 if k == 0 else docs.count() == 0
