@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confsieve.llm import byte_bpe, line_dedup, mixing, simhash, toxicity
-from confsieve.llm.common import read, without
+from confsieve.llm.common import read, shielded, without
 from confsieve.session import run_folder
 
 ORACLE_SQL = None
@@ -19,13 +19,13 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. It learns from the labels that are not held out."""
-    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-    return scored.filter("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return shielded(docs, ["held_out", "score", "predicted"], lambda own: toxicity.score(own, model).filter("predicted = 0"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share with four others or more; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_shared_lines(docs)
+    kept = shielded(docs, ["n_lines", "n_dropped"], line_dedup.drop_shared_lines)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
