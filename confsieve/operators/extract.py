@@ -218,13 +218,17 @@ def extract(configs: DataFrame, g: Grammar = Grammar(), text: str = "raw_text",
     return emit_facts(match_lines(configs, g, text, vendor), g)
 
 
+def _unknown(g: Grammar) -> Column:
+    return F.filter("lines", lambda x: x["rule_no"].isNull() & x["raw"].rlike(any_of(g.security_keywords)))
+
+
+def unknown_count(g: Grammar = Grammar()) -> Column:
+    return F.size(_unknown(g))
+
+
 def unknown_lines(matched: DataFrame, keys: list[str], g: Grammar = Grammar()) -> DataFrame:
     """Security-relevant lines no rule matched, one row each."""
-    found = F.filter(
-        "lines",
-        lambda x: x["rule_no"].isNull() & x["raw"].rlike(any_of(g.security_keywords)),
-    )
-    return matched.select(*keys, F.explode_outer(found).alias("u")).where(F.col("u").isNotNull()).select(*keys, F.col("u.line_no").alias("line_no"), F.col("u.raw").alias("raw"))
+    return matched.select(*keys, F.explode_outer(_unknown(g)).alias("u")).where(F.col("u").isNotNull()).select(*keys, F.col("u.line_no").alias("line_no"), F.col("u.raw").alias("raw"))
 
 
 def long_facts(extracted: DataFrame, keys: list[str]) -> DataFrame:

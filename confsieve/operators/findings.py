@@ -34,12 +34,14 @@ def compliance_rate(findings: DataFrame, by: list[str] | None = None) -> DataFra
     )
 
 
-def mission_counters(findings: DataFrame, device: str, unknowns: DataFrame) -> DataFrame:
-    """One row: devices, unknown lines, failures by severity, and the status line."""
-    # Distinct devices over partial rows per device, so the count is not funnelled through one task.
-    per_device = findings.groupBy(device).agg(*severity_counts())
-    totals = per_device.agg(F.count("*").alias("devices"), *[F.coalesce(F.sum(f"fail_{v}"), F.lit(0)).alias(v) for v in SEVERITIES])
-    one = totals.withColumn("unknown_patterns", unknowns.agg(F.count("*")).scalar())
+def mission_counters(rows: DataFrame, unknown: Column) -> DataFrame:
+    """One row: devices, unknown lines, failures by severity, and the status line. ``rows`` has one row a device with ``findings``
+    (rules.findings_in_row); ``unknown`` is its number of unknown lines. Texts are read once, and one row a task is shuffled."""
+    def failed(severity: str) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter("findings", lambda f: (f["status"] == FAIL) & (f["severity"] == severity)))), F.lit(0)).alias(severity)
+
+    one = rows.agg(F.count("*").alias("devices"), *[failed(v) for v in SEVERITIES], F.coalesce(F.sum(unknown), F.lit(0)).alias("unknown_patterns"))
+    # Fixed value: the status line.
     line = F.format_string(
         "Processed %d/%d devices | Unknown patterns: %d | Critical: %d  High: %d  Medium: %d  Low: %d",
         "devices", "devices", "unknown_patterns", "critical", "high", "medium", "low",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confsieve.operators.rules import FAIL
@@ -45,6 +45,47 @@ def fleet_report(goal: str, status_line: DataFrame, devices: DataFrame, reviews:
     return head.unionByName(d).unionByName(r)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """The report as text files whose names and lines are in its order; it is sorted by ranges and never one string."""
+    report.repartitionByRange("part", "position").sortWithinPartitions("part", "position").select("section").write.text(path)
+
+
+def report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, at, line): the lines of a written report with their place. A long file may be read in several ranges (``start``)."""
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def parse_report(lines: DataFrame) -> DataFrame:
+    """A written report back to rows (kind, name, detail): goal, status, device, finding and review.
+
+    A line belongs to the last head above it. Heads are filled forward inside each range that was read; the last head of each range, one row
+    a range, is carried over to the ranges after it."""
+    x = F.col("line")
+    vendor = r"^Vendor `([^`]+)` — pattern seen on (\d+) device\(s\) — status: (\w+)$"
+    head = F.when(x.rlike(DEVICE_HEAD), F.regexp_extract(x, DEVICE_HEAD, 1)).when(x.rlike(vendor), x)
+    marked = lines.withColumn("own", head)
+    ranges = marked.groupBy("file", "start").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("at"))).alias("last"))
+    carried = ranges.withColumn("carried", F.last("last", True).over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = Window.partitionBy("file", "start").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    filled = marked.withColumn("above", F.last("own", True).over(inside)).join(carried.drop("last"), ["file", "start"]).withColumn("above", F.coalesce("above", "carried"))
+    item = F.concat_ws("|", F.regexp_extract(x, FINDING_ITEM, 1), F.upper(F.regexp_extract(x, FINDING_ITEM, 2)), F.regexp_extract(x, FINDING_ITEM, 3))
+    raw, above = r"^   Raw: `([^`]*)`$", F.col("above")
+
+    def made(kind: str, name: Column, detail: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+
+    goal, summary, none = r"^\*\*Goal:\*\* (.*)$", r"^\*\*Summary:\*\* (.*)$", F.lit("")
+    seen = F.concat_ws("|", F.regexp_extract(above, vendor, 2), F.upper(F.regexp_extract(above, vendor, 3)), F.regexp_extract(x, raw, 1))
+    what = (
+        F.when(x.rlike(goal), made("goal", none, F.regexp_extract(x, goal, 1)))
+        .when(x.rlike(summary), made("status", none, F.regexp_extract(x, summary, 1)))
+        .when(x.rlike(DEVICE_HEAD), made("device", above, F.concat_ws("/", F.regexp_extract(x, DEVICE_HEAD, 2), F.regexp_extract(x, DEVICE_HEAD, 3))))
+        .when(x.rlike("^  " + FINDING_ITEM), made("finding", above, item))
+        .when(x.rlike(raw), made("review", F.regexp_extract(above, vendor, 1), seen))
+    )
+    return filled.select(what.alias("w")).where(F.col("w").isNotNull()).select("w.*")
+
+
 def parse_sections(sections: DataFrame) -> DataFrame:
     """Device sections back to rows: (device, failing, evaluated, rule_id, severity, field_path); devices without failures give one row."""
     s = F.col("section")

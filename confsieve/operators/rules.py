@@ -178,17 +178,16 @@ def status_flips(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 
 
 def re_audit(devices: DataFrame, keys: list[str], previous: list, active: list, field_types: dict = FIELD_TYPES) -> DataFrame:
-    """Both versions of a rule set over the same evidence in one pass over the devices."""
-    tagged = [{**r, "id": f"before:{r['id']}"} for r in previous] + [{**r, "id": f"after:{r['id']}"} for r in active]
-    both = evaluate(devices, keys, tagged, field_types)
-    side = F.substring_index("rule_id", ":", 1)
-    split = both.select(*keys, F.expr("substring(rule_id, instr(rule_id, ':') + 1)").alias("rule_id"), side.alias("side"), "status")
-    return (
-        split.groupBy(*keys, "rule_id")
-        .agg(F.max(F.when(F.col("side") == "before", F.col("status"))).alias("before_status"), F.max(F.when(F.col("side") == "after", F.col("status"))).alias("after_status"))
-        .where(F.col("before_status").isNotNull() & F.col("after_status").isNotNull())
-        .withColumn("changed", F.col("before_status") != F.col("after_status"))
-    )
+    """Both versions of a rule set over the same evidence, met inside the row of a device: no shuffle. Rules of one version only drop out."""
+    before = findings_in_row(devices, previous, field_types).withColumnRenamed("findings", "_before")
+    both = findings_in_row(before, active, field_types)
+
+    def paired(a: Column) -> Column:
+        old = F.try_element_at(F.filter("_before", lambda b: b["rule_id"] == a["rule_id"]), F.lit(1))
+        return F.struct(a["rule_id"].alias("rule_id"), old["status"].alias("before_status"), a["status"].alias("after_status"))
+
+    rows = both.select(*keys, F.inline(F.transform("findings", paired))).where(F.col("before_status").isNotNull())
+    return rows.withColumn("changed", F.col("before_status") != F.col("after_status"))
 
 
 def override_evidence(evidence: DataFrame, confirmed: DataFrame, keys: list[str]) -> DataFrame:

@@ -135,7 +135,8 @@ def device_counts(spark: SparkSession, d: str) -> DataFrame:
 SELECT *, 'Processed ' || devices || '/' || devices || ' devices | Unknown patterns: ' || unknown_patterns || ' | Critical: ' || critical || '  High: ' || high || '  Medium: ' || medium || '  Low: ' || low AS status_line FROM c""",
 )
 def counters(spark: SparkSession, d: str) -> DataFrame:
-    return fi.mission_counters(doc_findings(spark, d), "config_id", x.unknown_lines(matched(spark, d), ["config_id"], DOC_GRAMMAR))
+    rows = ru.findings_in_row(extracted(spark, d), DOC_RULES, DOC_FIELD_TYPES)
+    return fi.mission_counters(rows, x.unknown_count(DOC_GRAMMAR))
 
 
 @query(

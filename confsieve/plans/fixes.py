@@ -14,6 +14,7 @@ from confsieve.operators import rules as ru
 from confsieve.plans.adapters import DOC_BASE_SQL, DOC_SIGNATURES, DOC_SQL, FIELD_OF, ORDERS_SQL, configs, findings, table
 from confsieve.plans.evidences import REMEDIES_SQL
 from confsieve.plans.registry import half_up, query, text
+from confsieve.session import cut_lineage, run_folder
 
 FIELD_SQL = "CASE rule_id " + " ".join(f"WHEN {text(k)} THEN {text(FIELD_OF[k])}" for k in ("CIS-MGMT-01", "CIS-MGMT-02", "CIS-AUTH-01", "CIS-LOG-01", "CIS-CRYPTO-01", "CIS-AUTH-02")) + " END"
 
@@ -284,6 +285,30 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return rep.parse_sections(sections(spark, d))
 
 
+REVIEW_GROUPS_SQL = "groups AS (SELECT c_nationkey || '-' || c_mktsegment AS group_id, 'nation ' || c_nationkey AS vendor, count(*) AS devices, CASE WHEN avg(c_acctbal) > 4500 THEN 'pending' ELSE 'resolved' END AS status, 'segment ' || c_mktsegment AS raw FROM customer GROUP BY c_nationkey, c_mktsegment)"
+
+
+@query(
+    "rpt02_whole_report",
+    f"""WITH {SECTION_SQL}, {REVIEW_GROUPS_SQL}
+SELECT 'goal' AS kind, '' AS name, 'audit all devices' AS detail UNION ALL SELECT 'status', '', 'devices: ' || count(*) || ', failing: ' || sum(failing) FROM sections
+UNION ALL SELECT 'device', CAST(device_id AS VARCHAR), failing || '/' || evaluated FROM sections UNION ALL SELECT 'finding', CAST(device_id AS VARCHAR), rule_id || '|' || upper(severity) || '|' || field_path FROM items WHERE status = 'fail'
+UNION ALL SELECT 'review', vendor, devices || '|' || upper(status) || '|' || raw FROM groups""",
+)
+def whole_report(spark: SparkSession, d: str) -> DataFrame:
+    """The fleet report written as text and parsed back: goal, status line, devices with their findings, review groups."""
+    s = cut_lineage(sections(spark, d), "sections")
+    c = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("devices"), F.avg("c_acctbal").alias("mean"))
+    groups = c.select(
+        F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("group_id"), F.concat(F.lit("nation "), "c_nationkey").alias("vendor"), "devices",
+        F.when(F.col("mean") > 4500, "pending").otherwise("resolved").alias("status"), F.concat(F.lit("segment "), "c_mktsegment").alias("raw"),
+    )
+    status = s.agg(F.concat(F.lit("devices: "), F.count("*"), F.lit(", failing: "), F.sum("failing")).alias("status_line"))
+    path = run_folder(spark, "report")
+    rep.write_report(rep.fleet_report("audit all devices", status, s, rep.review_sections(groups), "device_id", "group_id"), path)
+    return rep.parse_report(rep.report_lines(spark, path))
+
+
 @query("rpt03_remediation_sections", f"""WITH {SIDES_SQL}, t2 AS (SELECT device_id, concat_ws(chr(10), '## Remediation & Verification', '**Configuration:** ' || device_id || '.conf', '**Session ID:** ' || device_id, '#### Validation Gates',
   '- **Syntax Validation:** ' || CASE WHEN syntax_valid THEN 'PASS' ELSE 'FAIL' END, '- **Target Resolution:** ' || CASE WHEN unresolved = 0 THEN 'PASS' ELSE 'FAIL' END, '- **Regression Audit:** ' || CASE WHEN regressions = 0 THEN 'PASS' ELSE 'FAIL' END, '- **Security Invariants:** ' || CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END,
   '   - Before: ' || before_pass || ' PASS | ' || before_fail || ' FAIL', '   - After: ' || after_pass || ' PASS | ' || after_fail || ' FAIL', '#### Summary' || chr(10) || summary, '**Decision:** ' || decision || ' — ' || rationale,

@@ -13,7 +13,7 @@ from confsieve.operators import governance as gov
 from confsieve.operators.latest import delete_cascade, latest_per_key
 from confsieve.plans.adapters import EVENTS_SQL, events, table
 from confsieve.plans.registry import half_up, query
-from confsieve.session import run_folder
+from confsieve.session import cut_lineage, run_folder
 from confsieve.sources import tables as stored
 
 # ---- stored tables ----------------------------------------------------------------------------------------------------------------
@@ -374,12 +374,12 @@ SELECT chain, count(*) AS blocks, count(fault) AS faults, min(CASE WHEN fault IS
 )
 def verified(spark: SparkSession, d: str) -> DataFrame:
     """The stored chain with some payloads changed afterwards: each change shows in its own block and in the anchor of every later segment."""
-    return ledger.first_fault(ledger.verify_blocks(_tampered(blocks(spark, d))))
+    return ledger.first_fault(ledger.verify_blocks(_tampered(cut_lineage(blocks(spark, d), "chain"))))
 
 
 @query("led03_chain_status", f"WITH {CHAIN_SQL} SELECT count(*) AS blocks, 0::BIGINT AS faults, count(DISTINCT chain) AS chains FROM blocks")
 def chain_status(spark: SparkSession, d: str) -> DataFrame:
-    per_chain = ledger.first_fault(ledger.verify_blocks(blocks(spark, d)))
+    per_chain = ledger.first_fault(ledger.verify_blocks(cut_lineage(blocks(spark, d), "chain")))
     return per_chain.agg(F.sum("blocks").alias("blocks"), F.sum("faults").alias("faults"), F.count("*").alias("chains"))
 
 
