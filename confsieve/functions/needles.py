@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import re
-from re import _constants as kinds
-from re import _parser as parser
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+try:  # not a public module: without it every pattern is simply tried
+    from re import _constants as kinds
+    from re import _parser as parser
+except ImportError:
+    kinds = parser = None
 
 
 def needles(pattern: str, least: int = 3) -> list[str]:
@@ -12,6 +19,8 @@ def needles(pattern: str, least: int = 3) -> list[str]:
 
     Of all plain runs and choices in the pattern the one whose shortest word is longest is taken.
     """
+    if parser is None:
+        return []
     try:
         found = _best(parser.parse(pattern))
     except (re.error, OverflowError):  # another dialect; the pattern is then always tried
@@ -43,3 +52,14 @@ def _choices(sequence) -> list[list[str]]:
             if all(ways):
                 out.append([w for way in ways for w in way])
     return [words for words in [*out, [run]] if all(words)]
+
+
+def matches(text: Column, low: Column | None, pattern: str) -> Column:
+    """``text.rlike(pattern)``, tried only where ``low``, the text in lower case, holds a word that the pattern cannot match without."""
+    words = needles(pattern) if low is not None else []
+    if not words:
+        return text.rlike(pattern)
+    held = F.contains(low, F.lit(words[0]))
+    for word in words[1:]:
+        held = held | F.contains(low, F.lit(word))
+    return held & text.rlike(pattern)

@@ -111,18 +111,20 @@ def hostnames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fpr06_capabilities", f"WITH {DOC_SQL} SELECT config_id, array_to_string({CAPS_SQL}, ',') AS capabilities FROM doc")
 def caps(spark: SparkSession, d: str) -> DataFrame:
-    return configs(spark, d).select("config_id", F.array_join(pr.capabilities(F.col("raw_text"), DOC_DEVICES), ",").alias("capabilities"))
+    ready = computed(configs(spark, d), low=F.lower("raw_text"))
+    return ready.select("config_id", F.array_join(pr.capabilities(F.col("raw_text"), DOC_DEVICES, F.col("low")), ",").alias("capabilities"))
 
 
 @query("fpr07_model_match", f"WITH {DOC_SQL}, h AS (SELECT *, {HOST_SQL} AS hostname FROM doc) SELECT config_id, CAST({MODEL_SQL} AS INTEGER) AS model_no FROM h")
 def models(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw_text")
-    return configs(spark, d).withColumn("h", pr.hostname(raw, DOC_DEVICES)).select("config_id", pr.model_number(raw, F.col("h"), DOC_DEVICES).alias("model_no"))
+    ready = computed(configs(spark, d), h=pr.hostname(raw, DOC_DEVICES), low=F.lower(raw))
+    return ready.select("config_id", pr.model_number(raw, F.col("h"), DOC_DEVICES, F.col("low")).alias("model_no"))
 
 
 @query("fpr08_plausible_models", f"WITH {PROFILE_SQL} SELECT config_id, m IS NOT NULL AND model_no IS NULL AS implausible, model FROM profiles")
 def plausible(spark: SparkSession, d: str) -> DataFrame:
-    p = profiles(spark, d).withColumn("n", pr.model_number(F.col("raw_text"), F.col("hostname"), DOC_DEVICES))
+    p = profiles(spark, d).withColumn("n", pr.model_number(F.col("raw_text"), F.col("hostname"), DOC_DEVICES, F.lower("raw_text")))
     return p.select("config_id", (F.col("n").isNotNull() & F.col("model").isNull()).alias("implausible"), "model")
 
 

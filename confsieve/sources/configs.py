@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from confsieve.sources.documents import parse_documents, read_documents
 
@@ -114,40 +114,22 @@ def distinct_by_digest(rows: DataFrame) -> DataFrame:
     return keyed.dropDuplicates(["_digest"]).drop("_digest")
 
 
-#: A rule catalogue as files hold it: nested evaluation and evidence blocks, references, and a remediation per vendor.
-RULE_SCHEMA = StructType.fromDDL(
-    "id string, title string, framework string, baseline_field_path string, description string, severity string, evaluation struct<operator:string,expected:string>, "
-    "evidence struct<minimum_confidence:double,require_explicit_configuration:boolean>, known_insecure_defaults map<string,string>, remediation map<string,string>, references string"
-)
+#: A rule catalogue as files hold it. Its blocks (evaluation, evidence, defaults, remediation per vendor, references) stay JSON texts: the types of
+#: their values are the rule's choice.
+RULE_BLOCKS = ["evaluation", "evidence", "known_insecure_defaults", "remediation", "references"]
+RULE_SCHEMA = StructType([StructField(c, StringType()) for c in ["id", "title", "framework", "baseline_field_path", "description", "severity", *RULE_BLOCKS]])
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A rule catalogue (YAML or JSON, the rules under ``rules``) as rows; values whose type a rule chooses stay JSON texts."""
+    """A rule catalogue (YAML or JSON, the rules under ``rules``) as rows."""
     ending = "." + path.rsplit(".", 1)[-1].lower()
     return parse_documents(spark.read.text(path, wholetext=True), RULE_SCHEMA, ending=ending, under="rules")
 
 
 def load_rules(spark: SparkSession, path: str) -> list:
     """A rule catalogue for :func:`operators.rules.rule_rows`: a bounded list, nested blocks flattened, ``references`` kept."""
-    return [_flat_rule(_parsed(r.asDict(True))) for r in read_rules(spark, path).orderBy("id").collect()]
-
-
-def _parsed(r: dict) -> dict:
-    """Values that the schema kept as JSON texts."""
-    def value(x):
-        try:
-            found = json.loads(x)
-        except (TypeError, ValueError):
-            return x
-        return x if isinstance(found, float) else found  # versions such as 1.2 are texts
-
-    evaluation = r["evaluation"] or {}
-    return r | {
-        "evaluation": evaluation | {"expected": value(evaluation.get("expected"))},
-        "known_insecure_defaults": {k: value(v) for k, v in (r["known_insecure_defaults"] or {}).items()},
-        "remediation": {k: value(v) for k, v in (r["remediation"] or {}).items()},
-        "references": value(r["references"]) or [],
-    }
+    rows = [r.asDict() for r in read_rules(spark, path).orderBy("id").collect()]
+    return [_flat_rule(r | {b: json.loads(r[b]) if r[b] else {} for b in RULE_BLOCKS}) for r in rows]
 
 
 def _flat_rule(r: dict) -> dict:

@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, LongType, MapType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, LongType, MapType, NullType, StringType, StructField, StructType, TimestampType
 
 ENDINGS = (".yaml", ".yml", ".json", ".jsonl")
 ERROR = "_error"
@@ -43,9 +43,9 @@ def records_of(text: str, ending: str, under: str = "records") -> Iterator[dict]
                 yield record
 
 
-def type_of(value: object) -> DataType | None:
+def type_of(value: object) -> DataType:
     if value is None:
-        return None
+        return NullType()
     if isinstance(value, bool):
         return BooleanType()
     if isinstance(value, int):
@@ -57,25 +57,43 @@ def type_of(value: object) -> DataType | None:
     if isinstance(value, date):
         return DateType()
     if isinstance(value, list):
-        inner = None
+        inner: DataType = NullType()
         for item in value:
             inner = merged(inner, type_of(item))
-        return ArrayType(inner or StringType())
+        return ArrayType(inner)
     if isinstance(value, dict):
-        return StructType([StructField(str(k), type_of(v) or StringType()) for k, v in value.items()])
+        return StructType([StructField(str(k), type_of(v)) for k, v in value.items()])
     return StringType()
 
 
-def merged(a: DataType | None, b: DataType | None) -> DataType | None:
+def settled(t: DataType) -> DataType:
+    """What was null wherever it was seen is text."""
+    if isinstance(t, StructType):
+        return StructType([StructField(f.name, settled(f.dataType)) for f in t.fields])
+    if isinstance(t, ArrayType):
+        return ArrayType(settled(t.elementType))
+    return StringType() if isinstance(t, NullType) else t
+
+
+def schema_of(records: Iterator[dict]) -> StructType:
+    found: DataType = NullType()
+    for record in records:
+        found = merged(found, type_of(record))
+    return settled(found) if isinstance(found, StructType) else StructType([StructField(ERROR, StringType())])
+
+
+def merged(a: DataType, b: DataType) -> DataType:
     """The type both fit in: numbers widen, structs join their fields, anything else becomes text."""
-    if a is None or b is None or a == b:
-        return a or b
+    if isinstance(a, NullType) or a == b:
+        return b
+    if isinstance(b, NullType):
+        return a
     if {type(a), type(b)} == {LongType, DoubleType}:
         return DoubleType()
     if isinstance(a, StructType) and isinstance(b, StructType):
         fields = {f.name: f.dataType for f in a.fields}
         for f in b.fields:
-            fields[f.name] = merged(fields.get(f.name), f.dataType)
+            fields[f.name] = merged(fields.get(f.name, NullType()), f.dataType)
         return StructType([StructField(n, t) for n, t in fields.items()])
     if isinstance(a, ArrayType) and isinstance(b, ArrayType):
         return ArrayType(merged(a.elementType, b.elementType))
@@ -139,11 +157,8 @@ class Documents(DataSource):
         return [str(p) for p in found if p.suffix.lower() in ENDINGS and not p.name.startswith((".", "_"))]
 
     def schema(self) -> StructType:
-        found: DataType | None = None
-        for path in self._paths()[: int(self.options.get("infer_files", "8"))]:
-            for record in records_of(Path(path).read_text(encoding="utf-8"), Path(path).suffix.lower(), self.options.get("under", "records")):
-                found = merged(found, type_of(record))
-        return found if isinstance(found, StructType) else StructType([StructField(ERROR, StringType())])
+        paths, under = self._paths()[: int(self.options.get("infer_files", "8"))], self.options.get("under", "records")
+        return schema_of(r for p in paths for r in records_of(Path(p).read_text(encoding="utf-8"), Path(p).suffix.lower(), under))
 
     def reader(self, schema: StructType) -> DocumentReader:
         return DocumentReader(self._paths(), schema, self.options.get("under", "records"))
@@ -172,11 +187,9 @@ def parse_documents(texts: DataFrame, schema: StructType, text: str = "value", e
 
 def read_documents(spark: SparkSession, path: str, ending: str = ".yaml", under: str = "records", infer_files: int = 8) -> DataFrame:
     """Documents of a file or folder in any store; the schema comes from the first ``infer_files`` files."""
-    texts, found = spark.read.text(path, wholetext=True), None
-    for row in texts.limit(infer_files).collect():
-        for record in records_of(row.value, ending, under):
-            found = merged(found, type_of(record))
-    return parse_documents(texts, found if isinstance(found, StructType) else StructType([StructField(ERROR, StringType())]), ending=ending, under=under)
+    texts = spark.read.text(path, wholetext=True)
+    schema = schema_of(r for row in texts.limit(infer_files).collect() for r in records_of(row.value, ending, under))
+    return parse_documents(texts, schema, ending=ending, under=under)
 
 
 def fitted_dict(value: object, wanted: DataType) -> object:

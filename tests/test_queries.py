@@ -1,16 +1,13 @@
-"""A cross-section of the registered queries against their SQL on the smallest tables; ``tests/compare.py`` runs all of them."""
+"""Every registered query of the library against its SQL on the smallest tables; ``tests/compare.py`` runs them on larger ones."""
 
 import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from confsieve.plans import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = [
-    "fleet_scorecard", "prj01_line_explosion", "prj05_reviewable_directives", "fpr03_certainty_status", "fpr12_profiles", "ext02_emitted_values", "evl01_scalar_decisions",
-    "evl02_list_decisions", "agg02_compliance_rate", "evl05_status_flips", "win04_chain_verification", "win08_token_weights", "win03_previous_versions", "gov02_proposals",
-    "agg16_regression_gate", "knw06_review_queue", "jon10_nearest_entry", "rem10_promotion_decision", "rpt02_parsed_report", "src03_decoded_text", "dq01_label_validation", "str03_ledger_stream",
-]
+QUERIES, ORACLES = all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +15,9 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], FOLDER) == ""
+    assert compare(spark, con, QUERIES[name], ORACLES[name], FOLDER) == ""
 
 
 def test_entry_has_rows(spark):
@@ -28,4 +25,4 @@ def test_entry_has_rows(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) == set(ORACLES)

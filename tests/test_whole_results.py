@@ -1,27 +1,10 @@
-"""Queries whose registered SQL states less than the whole: here they meet SQL or plain Python that states all of it."""
+"""Operators and queries against plain Python on small fixtures."""
 
 import hashlib
 import re
 
-import pytest
-from compare import compare, connect
-
 import __spark_entry__ as entry
 from confsieve.operators import similarity
-from confsieve.plans import evidences, reviews
-from confsieve.plans.registry import half_up
-
-FOLDER = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="module")
-def con():
-    return connect(FOLDER)
-
-
-def test_similar_lines_are_all_pairs(spark, con):
-    sql = f"WITH {reviews.CLUSTER_SQL} SELECT i, j, {half_up('similarity', 6)} AS similarity FROM near"
-    assert compare(spark, con, entry.queries()["jon09_similar_lines"], sql, FOLDER) == ""
 
 
 def test_similar_pairs_in_blocks(spark):
@@ -39,13 +22,6 @@ def test_similar_pairs_in_blocks(spark):
     assert all(i < j and (i % 7 == 0) == (j % 7 == 0) for i, j in whole)
 
 
-def test_confirmed_mappings_rerun_all_rules(spark, con):
-    sql = f"""{evidences.ALL_STATUS}, {evidences.CONFIRMED_SQL}
-    SELECT f.device_id, f.rule_id, CASE WHEN c.device_id IS NOT NULL AND f.rule_id = 'CIS-MGMT-01' THEN 'pass' ELSE f.status END AS status, c.device_id IS NOT NULL AS human
-    FROM findings f LEFT JOIN confirmed c ON c.device_id = f.device_id AND c.field_path = f.field_path"""
-    assert compare(spark, con, entry.queries()["knw08_confirmed_mappings"], sql, FOLDER) == ""
-
-
 def test_markup_keeps_pieces_with_unequal_tags(spark, tmp_path):
     lines = ["<a>one</b>", "<a>one</a>", "<a>x</b> <c> two </c>", "<c>y</c><a>x</b>", "plain  text", "<a>one</a> <a>x</b>"]
     spark.createDataFrame([(7, "\n".join(lines))], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
