@@ -139,6 +139,13 @@ def manifest_errors(found: DataFrame, declared: DataFrame, key: str) -> DataFram
     return j.where(~F.col("found").eqNullSafe(F.col("declared"))).select(key, F.coalesce("declared", zero).alias("declared"), F.coalesce("found", zero).alias("found"), kind.alias("error"))
 
 
+def first_errors(errors: DataFrame, order: list[str], message: str, n: int = 20) -> DataFrame:
+    """The first ``n`` errors, a top-k, and one row more that says how many are not shown."""
+    more = errors.agg((F.count("*") - n).alias("_more")).where("_more > 0")
+    rest = more.select(*[(F.concat(F.lit("and "), "_more", F.lit(" more")) if c == message else F.lit(None)).cast(errors.schema[c].dataType).alias(c) for c in errors.columns])
+    return errors.orderBy(*order).limit(n).unionByName(rest)
+
+
 def coverage(records: DataFrame, topic: str, vendor: str, vendors: list[str]) -> DataFrame:
     """Topic by vendor matrix of record counts; the vendor list is given, so no extra pass finds it."""
     return records.groupBy(topic).pivot(vendor, vendors).agg(F.count(F.lit(1))).fillna(0, subset=vendors)

@@ -177,13 +177,11 @@ def reconciled(spark: SparkSession, d: str) -> DataFrame:
 # ---- validation ---------------------------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "dq01_label_validation",
-    """WITH r AS (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 10 = 1 THEN 'missing vendor' END, CASE WHEN doc_id % 12 = 5 THEN 'missing sample_id' END, CASE WHEN doc_id % 12 = 5 OR doc_id % 7 = 3 THEN 'sample_id does not match pattern' END, CASE WHEN doc_id % 8 = 2 THEN 'invalid security_state' END,
-  CASE WHEN lang IN ('es', 'fr') THEN 'invalid category' END, CASE WHEN doc_id % 9 = 4 THEN 'network_role cannot be empty' END, CASE WHEN doc_id % 13 = 6 THEN 'contains_secrets must be false' END, CASE WHEN doc_id % 14 = 6 THEN 'anonymized must be true' END], lambda x: x IS NOT NULL)) AS error FROM documents)
-SELECT error, count(*) AS records, min(doc_id) AS first_doc FROM r GROUP BY error""",
-)
-def validated(spark: SparkSession, d: str) -> DataFrame:
+LABEL_ERRORS_SQL = """r AS (SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 10 = 1 THEN 'missing vendor' END, CASE WHEN doc_id % 12 = 5 THEN 'missing sample_id' END, CASE WHEN doc_id % 12 = 5 OR doc_id % 7 = 3 THEN 'sample_id does not match pattern' END, CASE WHEN doc_id % 8 = 2 THEN 'invalid security_state' END,
+  CASE WHEN lang IN ('es', 'fr') THEN 'invalid category' END, CASE WHEN doc_id % 9 = 4 THEN 'network_role cannot be empty' END, CASE WHEN doc_id % 13 = 6 THEN 'contains_secrets must be false' END, CASE WHEN doc_id % 14 = 6 THEN 'anonymized must be true' END], lambda x: x IS NOT NULL)) AS error FROM documents)"""
+
+
+def label_errors(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")
     docs = table(spark, d, "documents")
     sample = F.when(n % 12 == 5, None).when(n % 7 == 3, "bad id").otherwise(F.concat(F.lit("FW-A-S-"), F.lpad((n % 1000).cast("string"), 3, "0")))
@@ -197,10 +195,24 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
         "anonymized": n % 14 != 6,
     }
     labels = docs.select("doc_id", *[given.get(k, F.lit("x")).alias(k) for k in co.REQUIRED_KEYS])
-    errors = labels.select("doc_id", F.explode_outer(co.label_errors()).alias("error")).where("error IS NOT NULL")
+    return labels.select("doc_id", F.explode_outer(co.label_errors()).alias("error")).where("error IS NOT NULL")
+
+
+@query("dq01_label_validation", f"WITH {LABEL_ERRORS_SQL} SELECT error, count(*) AS records, min(doc_id) AS first_doc FROM r GROUP BY error")
+def validated(spark: SparkSession, d: str) -> DataFrame:
+    errors = label_errors(spark, d)
     return errors.groupBy("error").agg(F.count("*").alias("records"), F.min("doc_id").alias("first_doc"))
 
 
+@query(
+    "srt05_first_errors",
+    f"WITH {LABEL_ERRORS_SQL}, told AS (SELECT doc_id, error, row_number() OVER (ORDER BY doc_id, error) AS k FROM r) SELECT doc_id, error FROM told WHERE k <= 20 UNION ALL SELECT NULL, 'and ' || (count(*) - 20) || ' more' FROM told HAVING count(*) > 20",
+)
+def first_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What a person is shown: the first twenty errors, and how many more there are."""
+    return co.first_errors(label_errors(spark, d), ["doc_id", "error"], "error")
+
+
 SAFE_SQL = " OR ".join(f"starts_with(a, '{p}')" for p in co.SAFE_PREFIXES)
 
 
