@@ -21,8 +21,8 @@ from confsieve.plans.texts import CONFIDENCE_SQL
 from confsieve.session import cut_lineage, run_folder
 from confsieve.sources import tables as stored
 
-#: No text has so many lines: Spark's strings end at 2**31 bytes. No conversation may have more turns than TURNS_APART; it is checked.
-LINES_APART, TURNS_APART = 1 << 32, 1 << 20
+#: No text may have more lines, no conversation more turns than this; both are checked. Ids of texts go up to 2**39.
+LINES_APART, TURNS_APART = 1 << 24, 1 << 20
 
 KEY_SQL = "lower(trim(regexp_replace({c}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' '))"
 
@@ -30,7 +30,8 @@ KEY_SQL = "lower(trim(regexp_replace({c}, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), '
 def unknown(spark: SparkSession, d: str) -> DataFrame:
     """Unknown lines with a distinct arrival number: configuration first, then line."""
     u = x.unknown_lines(matched(spark, d), ["config_id", "filename", "vendor", "vendor_confidence"], DOC_GRAMMAR)
-    return u.withColumn("seq", F.col("config_id") * LINES_APART + F.col("line_no"))
+    line = F.when(F.col("line_no") < LINES_APART, F.col("line_no")).otherwise(F.raise_error(F.lit("a text has too many lines")).cast("int"))
+    return u.withColumn("seq", F.col("config_id") * LINES_APART + line)
 
 
 UNKNOWN_SEQ_SQL = f"{DOC_FACTS_SQL}, {UNKNOWN_SQL}, unk AS (SELECT *, config_id * {LINES_APART} + line_no AS seq FROM unknowns)"
