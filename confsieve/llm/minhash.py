@@ -9,6 +9,8 @@ hashed with the bin, make the fingerprint, 256 bins in 256 hexadecimal digits. T
 Expressions over whole arrays stand behind a one-row generator, as the optimizer would else copy them into every use.
 
 Defined cases: a null text is an empty one. A text of fewer than 5 words is one shingle; texts without words have one fingerprint of their own.
+A null id is an id of its own below all others. Every row has its row in the result; of rows that share an id, the text of smallest digest is the
+next document of the id before. A single document follows itself. An empty table has no rows. Other columns are not looked at.
 """
 
 from __future__ import annotations

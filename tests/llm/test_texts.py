@@ -175,3 +175,10 @@ def test_near_copies_leave_one_row_of_each_group_where_ids_repeat(spark):
         docs = spark.createDataFrame([(1, lone), (1, shared), (2, shared), (3, shared), (None, lone)], "doc_id long, text string")
         got = sorted((r.doc_id or 0, r.text) for r in simhash.deduplicated(docs).collect())
         assert got == sorted([(0, lone), (1, lone), (1, shared)])
+
+
+def test_fingerprints_pass_over_clashing_columns(edge, clashing):
+    def rows(df):
+        return sorted((tuple(str(x) for x in r) for r in minhash.edited(df).select("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "next_fingerprint").collect()))
+
+    assert rows(clashing) == rows(edge)

@@ -79,3 +79,10 @@ def test_counts_answer_every_limit(edge, empty):
     for share in (0.0, 0.25, 0.5, 0.9, 1.0):
         assert length_counts.quantile(sums, share) == min(x for x in lengths if sum(y <= x for y in lengths) >= share * len(lengths))
     assert length_counts.suffix_sums(length_counts.histogram(empty, PATH, PATTERN)).count() == 0
+
+
+def test_histogram_passes_over_clashing_columns(edge, clashing):
+    def rows(df):
+        return sorted(tuple(r) for r in length_counts.histogram(df, PATH, PATTERN).collect())
+
+    assert rows(clashing) == rows(edge) and rows(edge)
