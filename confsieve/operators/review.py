@@ -11,7 +11,6 @@ from confsieve.functions.numbers import clamp, round_half_up
 from confsieve.functions.tables import computed, literal_map
 from confsieve.functions.text import any_of, first_of_keys, flatten_markup, is_reviewable, resolution_key
 from confsieve.operators.extract import Grammar, rule_number
-from confsieve.operators.latest import first_seen
 
 UNMAPPED = "UNMAPPED"
 # Weights and bands of the trust score.
@@ -84,18 +83,6 @@ def trust_factors(mapped: Column, known: Column, learned: Column, similar: Colum
     return F.array(*[F.struct(F.lit(n).alias("label"), round_half_up(values[n], 3).alias("value"), F.lit(TRUST_WEIGHTS[n]).alias("weight")) for n in TRUST_WEIGHTS])
 
 
-def queue(unknown: DataFrame, gated: DataFrame) -> DataFrame:
-    """Unknown lines and findings waiting for a person as one list: (filename, line_no, command, rule_hint, field_hint), noise and repeats gone.
-
-    Unknown lines come before gated findings; the first occurrence per file wins.
-    """
-    u = unknown.select("filename", "line_no", "command", F.lit(None).cast("string").alias("rule_hint"), F.lit(None).cast("string").alias("field_hint"), F.lit(0).alias("_source"))
-    g = gated.select("filename", "line_no", "command", "rule_hint", "field_hint", F.lit(1).alias("_source"))
-    both = u.unionByName(g).where(is_reviewable(F.col("command")))
-    keyed = both.withColumn("resolution_key", resolution_key(F.col("filename"), F.col("command")))
-    return first_seen(keyed, ["filename", "resolution_key"], ["_source", "line_no", "command"]).drop("_source")
-
-
 ENTRY_TYPE = "struct<key:string,source:int,line_no:int,command:string,rule_hint:string,field_hint:string>"
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confsieve.catalog.rules import RULES
-from confsieve.functions.numbers import round_half_up
 from confsieve.functions.tables import small_frame
 from confsieve.operators import findings as fi
 from confsieve.operators import rules as ru
