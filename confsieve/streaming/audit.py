@@ -52,13 +52,13 @@ class LatestVerdict(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("verdict", self.value_schema)
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
         best, changed, latest = held, False, None
         at, of_time = self.names.index(self.order), self.names.index(self.time)
         for frame in rows:
-            if not held and timers.getCurrentWatermarkInMs() > 0:
-                frame = frame[frame[self.time].map(_millis) + self.keep_ms > timers.getCurrentWatermarkInMs()]
+            if not held and timerValues.getCurrentWatermarkInMs() > 0:
+                frame = frame[frame[self.time].map(_millis) + self.keep_ms > timerValues.getCurrentWatermarkInMs()]
             if len(frame):
                 latest = max(latest or 0, int(frame[self.time].map(_millis).max()))
                 first = frame.loc[frame[self.order].idxmax()]
@@ -75,7 +75,7 @@ class LatestVerdict(StatefulProcessor):
         if changed:
             yield pd.DataFrame([(*key, *best, "set")], columns=self._columns(key))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
             held = self.state.get()
             self.state.clear()

@@ -48,7 +48,7 @@ def test_keys_expire_by_event_time(spark, tmp_path):
     put(spark, tmp_path / "in", [("b", "fail", 3, 9)])
     seen = changes()
     assert ("a", 1, "expired") in seen and ("b", 3, "set") in seen
-    put(spark, tmp_path / "in", [("a", "late", 4, 1), ("c", "pass", 5, 9)])  # a is long forgotten, and its row too late
+    put(spark, tmp_path / "in", [("a", "late", 4, 1), ("c", "pass", 5, 12)])  # a is long forgotten, and its row too late
     seen = changes()
     assert ("c", 5, "set") in seen and all(r[:2] != ("a", 4) for r in seen)
 
