@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,11 @@ TRUST_WEIGHTS = {"mapped": 0.30, "known": 0.25, "learned": 0.20, "similar": 0.15
 HIGH, MEDIUM = 0.70, 0.45
 
 
-def control_of(text: Column, field_path: Column, rule_hint: Column, rules: list = RULES, keywords: list = CONTROL_KEYWORDS) -> Column:
+def control_of(text: Column, field_path: Column, rule_hint: Column, rules: list = RULES, keywords: list = CONTROL_KEYWORDS, low: Column | None = None) -> Column:
     """The control a directive is about: the hinted rule, else the rule of its field, else the first keyword row that fits.
 
-    ``text`` is the directive with its markup flattened; as a column and not an expression, for it is read once per keyword row.
+    ``text`` is the directive with its markup flattened; as a column and not an expression, for it is read once per keyword row. ``low``
+    is the text and the field path in lower case, also as a column: a row's pattern is tried only where it holds one of the row's words.
     """
     ids = [r["id"] for r in rules]
     by_field: dict = {}
@@ -33,15 +36,23 @@ def control_of(text: Column, field_path: Column, rule_hint: Column, rules: list
         if rule_id not in ids:
             continue
         hit = haystack.rlike(any_of(words))
+        if low is not None:
+            hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in _least(words)]) & hit
         chain = F.when(hit, rule_id) if chain is None else chain.when(hit, rule_id)
     by_words = F.lit(None).cast("string") if chain is None else chain
     return F.coalesce(F.when(rule_hint.isin(ids), rule_hint), F.try_element_at(literal_map(by_field), field_path), by_words, F.lit(UNMAPPED))
 
 
+def _least(words: list[str]) -> list[str]:
+    """The words that hold no other of the words."""
+    return [w for w in dict.fromkeys(words) if not any(o.lower() in w.lower() for o in words if o.lower() != w.lower())]
+
+
 def with_control(df: DataFrame, text: str, field_path: Column, rule_hint: Column, rules: list = RULES, keywords: list = CONTROL_KEYWORDS) -> DataFrame:
     """Adds ``control``."""
     flat = computed(df, _flat=flatten_markup(F.col(text)))
-    return computed(flat, control=control_of(F.col("_flat"), field_path, rule_hint, rules, keywords)).drop("_flat")
+    low = computed(flat, _low=F.lower(F.concat(F.col("_flat"), F.lit(" "), F.coalesce(field_path, F.lit("")))))
+    return computed(low, control=control_of(F.col("_flat"), field_path, rule_hint, rules, keywords, F.col("_low"))).drop("_flat", "_low")
 
 
 def rule_attribute(control: Column, name: str, rules: list = RULES) -> Column:
