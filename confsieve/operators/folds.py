@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confsieve.session import cut_lineage
+
 SCALE = 10000
 BLOCK = 256
 RAW_EVENTS = 512
@@ -26,8 +28,12 @@ StepColumn = Callable[[Column, Column], Column]
 
 
 def _joint_step(parts: list, step: StepNumpy, args: list[str]) -> tuple[list[int], list[int]]:
-    """Blocks of one key in order as one step: the states at which its result changes, and the results."""
-    state, tag = np.arange(SCALE + 1, dtype=np.int64), np.zeros(SCALE + 1, dtype=np.int64)
+    """Blocks of one key in order as one step: the states at which its result changes, and the results.
+
+    Neighbouring states that have come together stay together, so only one of them is carried on; updates draw states together fast.
+    """
+    starts = state = np.arange(SCALE + 1, dtype=np.int64)
+    tag = np.zeros(SCALE + 1, dtype=np.int64)
     for part in parts:
         if len(part["_starts"]):
             at = np.searchsorted(np.asarray(part["_starts"]), state, side="right") - 1
@@ -37,9 +43,10 @@ def _joint_step(parts: list, step: StepNumpy, args: list[str]) -> tuple[list[int
         for m in moved:
             after = m if isinstance(m, np.ndarray) else step(state, m)
             state, tag = after % TAG, np.where(after >= TAG, after // TAG, tag)
-    state = state + TAG * tag
-    changes = np.concatenate([[0], np.nonzero(np.diff(state))[0] + 1])
-    return changes.astype(np.int64).tolist(), state[changes].tolist()
+            if len(state) > 1:
+                kept = np.append(True, (state[1:] != state[:-1]) | (tag[1:] != tag[:-1]))
+                starts, state, tag = starts[kept], state[kept], tag[kept]
+    return starts.tolist(), (state + TAG * tag).tolist()
 
 
 def _composer(step: StepNumpy, args: list[str], columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -128,6 +135,21 @@ def ordered_fold(
     return out.select(*keys, "events", ((F.col("_final") % TAG).cast("double") / SCALE).alias("state"), F.floor(F.col("_final") / TAG).alias("tag"))
 
 
+def in_order(rows: DataFrame, order: str, *then: Column) -> tuple[DataFrame, int]:
+    """Adds ``seq``, 0, 1, 2, ... in the order of a column (equal ones by ``then``), and tells how many rows there are.
+
+    Numbers without gaps fill the blocks of a fold; each level of blocks over a sparse number would shuffle all events again for nothing.
+    """
+    placed = cut_lineage(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order, *then).withColumn("_at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("_at", 33)
+    # One row for each partition.
+    sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    ends = np.cumsum([0, *[r["n"] for r in sizes]]).tolist()
+    before = placed.sparkSession.createDataFrame([(r["part"], end) for r, end in zip(sizes, ends[:-1], strict=True)], "_part long, _before long")
+    numbered = placed.join(F.broadcast(before), part == F.col("_part")).withColumn("seq", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+    return numbered.drop("_at", "_part", "_before"), ends[-1]
+
+
 def weight_step(w: Column, e: Column) -> Column:
     """w += 0.08 * (target - w) in ten-thousandths, half up. ``target`` is in ten-thousandths as well."""
     return F.floor((w * 92 + e["target"] * 8 + 50) / 100)
