@@ -54,3 +54,25 @@ def test_scopes_fall_back_to_all_entries(spark):
     q = spark.createDataFrame([(1, "set ssh version two", "b"), (2, "set ssh version two", "c"), (3, "no telnet here", None)], "qid_ long, question string, vendor string")
     got = {r.qid_: r.matched_entry for r in similarity.nearest_entries(q, kb, "qid_", "question", "eid_", "answer", "vendor").collect()}
     assert got == {1: 2, 2: 1, 3: 3}
+
+
+def test_many_queries_meet_few_entries_where_they_are_stored(spark, monkeypatch):
+    """More queries than are worth a list of candidates: the same answers, without candidates or tiles; odd characters included."""
+    odd = ["\U0001d54f\U0001d550\U0001d551\U0001d552 up", "a\0b cd", "  ", "éa ça", "x"]
+    entries = texts(60, 1) + odd
+    kb = spark.createDataFrame([(i, t, "abc"[i % 2]) for i, t in enumerate(entries)], "eid_ long, answer string, vendor string")
+    asked = [(i, t, "abc"[i % 3]) for i, t in enumerate([e + " changed" for e in entries] + texts(40, 2) + entries + odd)] + [(9000, None, None)]
+    q = spark.createDataFrame(asked, "qid_ long, question string, vendor string")
+    plain = [answers(find(q, kb, "qid_", "question", "eid_", "answer", ladder=())) for find in (similarity.nearest_entries, similarity.token_overlap)]
+    scoped = answers(similarity.nearest_entries(q, kb, "qid_", "question", "eid_", "answer", "vendor", ladder=()))
+    many = q.unionByName(spark.range(10_000, 11_200).selectExpr("id AS qid_", "concat('zz', id) AS question", "'c' AS vendor"))
+
+    def unwanted(*args):
+        raise AssertionError("candidates were listed")
+
+    monkeypatch.setattr(nearest, "postings", unwanted)
+    monkeypatch.setattr(nearest, "MET", 500)
+    for find, want in zip((similarity.nearest_entries, similarity.token_overlap), plain, strict=True):
+        got = answers(find(many, kb, "qid_", "question", "eid_", "answer"))
+        assert len(got) == many.count() and [r for r in got if r[0] < 10_000] == want
+    assert [r for r in answers(similarity.nearest_entries(many, kb, "qid_", "question", "eid_", "answer", "vendor")) if r[0] < 10_000] == scoped
