@@ -170,6 +170,10 @@ def pack_evidence(evidence: DataFrame, keys: list[str], order: list[str]) -> Dat
     )
 
 
+#: So many rules, of both versions together, are written out one by one where two versions meet.
+UNROLLED = 64
+
+
 def status_flips(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(device, rule) pairs whose status differs between two finding sets."""
     b = before.select(*keys, F.col("status").alias("before_status"))
@@ -179,6 +183,8 @@ def status_flips(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 
 def re_audit(devices: DataFrame, keys: list[str], previous: list, active: list, field_types: dict = FIELD_TYPES) -> DataFrame:
     """Both versions of a rule set over the same evidence, met inside the row of a device: no shuffle. Rules of one version only drop out."""
+    if len(previous) + len(active) <= UNROLLED:
+        return _re_audit_unrolled(devices, keys, previous, active, field_types)
     before = findings_in_row(devices, previous, field_types).withColumnRenamed("findings", "_before")
     both = findings_in_row(before, active, field_types)
 
@@ -190,6 +196,30 @@ def re_audit(devices: DataFrame, keys: list[str], previous: list, active: list,
     return rows.withColumn("changed", F.col("before_status") != F.col("after_status"))
 
 
+def _re_audit_unrolled(devices: DataFrame, keys: list[str], previous: list, active: list, field_types: dict, vendor: str = "vendor") -> DataFrame:
+    """:func:`re_audit` with an expression a rule. The evidence of a field is looked up once for all rules that read it; what the rule states
+    is constant, so Spark leaves of each decision the branch that the rule takes."""
+    tables = [literal_rows(rule_rows(rules, field_types), RULE_TYPE) for rules in (previous, active)]
+    fields = list(dict.fromkeys(r["field_path"] for r in [*previous, *active]))
+    first = {r["id"]: k for k, r in reversed([*enumerate(previous)])}  # the first of an id, should one come twice
+    seen = F.transform(
+        F.array(*[F.lit(p) for p in fields]).cast("array<string>"),
+        lambda p: F.struct(F.try_element_at(F.filter("facts", lambda f: f["field_path"] == p), F.lit(-1)).alias("ev"), F.filter("acl_items", lambda f: f["field_path"] == p).alias("items")),
+    )
+
+    def status(version: int, number: int, rule: dict) -> Column:
+        stated, evidence = F.element_at(tables[version], F.lit(number + 1)), F.element_at("_seen", fields.index(rule["field_path"]) + 1)
+        return _list_status(evidence["items"], stated) if "[]" in rule["field_path"] else _scalar_status(evidence["ev"], stated, F.col(vendor))
+
+    pairs = [
+        F.struct(F.lit(r["id"]).alias("rule_id"), status(0, first[r["id"]], previous[first[r["id"]]]).alias("before_status"), status(1, k, r).alias("after_status"))
+        for k, r in enumerate(active)
+        if r["id"] in first
+    ]
+    rows = computed(devices, _seen=seen).select(*keys, F.inline(F.array(*pairs).cast("array<struct<rule_id:string,before_status:string,after_status:string>>")))
+    return rows.withColumn("changed", F.col("before_status") != F.col("after_status"))
+
+
 def override_evidence(evidence: DataFrame, confirmed: DataFrame, keys: list[str]) -> DataFrame:
     """Confirmed mappings replace what was extracted for the field, with full trust. ``confirmed`` has one row per (keys, field)."""
     human = confirmed.select(

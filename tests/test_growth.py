@@ -5,7 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from confsieve.operators import cluster, folds, similarity
+from confsieve.catalog.rules import RULES
+from confsieve.operators import cluster, folds, rules, similarity
+from confsieve.session import cut_lineage
 
 
 def test_states_that_meet_are_carried_on_as_one():
@@ -53,3 +55,27 @@ def test_only_openers_are_sent_to_all_tasks(spark, monkeypatch):
     assert set(got) == set(range(300)) and all(got[s] == s <= k for k, s in got.items())
     openers = set(got.values())
     assert len(openers) < 300 and sorted(k for held in sent for h in held.values() for k in h.keys.tolist()) == sorted(openers)
+
+
+FACTS = "device_id long, vendor string, field_path string, value_bool boolean, value_int long, value_str string, explicit boolean, confidence double, src_line int, src_raw string, method string, at long"
+
+
+def evidence_rows(spark):
+    rnd, acl = random.Random(4), "access_control.acl_rules[].is_any_any_permit"
+    states = [("management.telnet.enabled", None, None, "enabled"), ("management.telnet.enabled", None, None, "disabled"), ("management.ssh.protocol_version", None, 2, None), (acl, True, None, None), (acl, False, None, None), (acl, None, None, None)]
+    rows = [(k % 40, "cisco_ios" if k % 3 else None, *rnd.choice(states), rnd.random() < 0.8, rnd.choice([0.5, 0.8, 1.0]), None, None, "m", k) for k in range(150)]
+    return rules.pack_evidence(spark.createDataFrame(rows, FACTS), ["device_id", "vendor"], ["at"])
+
+
+def test_two_rule_versions_meet_without_the_catalogue_in_the_row(spark, monkeypatch):
+    """Rules written out one by one decide as the catalogue in the row does; ids of one version only, or twice, included."""
+    used = [r for r in RULES if r["field_path"].startswith(("management.", "access_control.acl"))]
+    before = [*used[:-1], {**used[0], "expected": "enabled"}, {**used[1], "id": "OLD-1"}]
+    after = [{**r, "minimum_confidence": 0.9} if k % 2 else {**r, "operator": {"list_none_true": "list_all_true"}.get(r["operator"], r["operator"])} for k, r in enumerate([*used[1:], used[0], used[0]])]
+    packed = cut_lineage(evidence_rows(spark))
+    with monkeypatch.context() as m:
+        m.setattr(rules, "UNROLLED", 0)
+        want = sorted(map(str, rules.re_audit(packed, ["device_id"], before, after).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(rules, "findings_in_row", None)
+        assert sorted(map(str, rules.re_audit(packed, ["device_id"], before, after).collect())) == want and want
