@@ -220,9 +220,8 @@ def _re_audit_unrolled(devices: DataFrame, keys: list[str], previous: list, acti
     return rows.withColumn("changed", F.col("before_status") != F.col("after_status"))
 
 
-def override_evidence(evidence: DataFrame, confirmed: DataFrame, keys: list[str]) -> DataFrame:
-    """Confirmed mappings replace what was extracted for the field, with full trust. ``confirmed`` has one row per (keys, field)."""
-    human = confirmed.select(
+def _by_hand(confirmed: DataFrame, keys: list[str]) -> DataFrame:
+    return confirmed.select(
         *keys,
         "field_path",
         F.col("value_bool"),
@@ -234,10 +233,36 @@ def override_evidence(evidence: DataFrame, confirmed: DataFrame, keys: list[str]
         F.lit("human_annotated").alias("method"),
         F.lit(1.0).alias("confidence"),
     )
+
+
+def override_evidence(evidence: DataFrame, confirmed: DataFrame, keys: list[str]) -> DataFrame:
+    """Confirmed mappings replace what was extracted for the field, with full trust. ``confirmed`` has one row per (keys, field)."""
+    human = _by_hand(confirmed, keys)
     untouched = evidence.join(human.select(*keys, "field_path"), [*keys, "field_path"], "left_anti")
     return untouched.select(human.columns).unionByName(human)
 
 
+def override_in_row(devices: DataFrame, confirmed: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`override_evidence`, for packed evidence: ``facts`` and ``acl_items`` of the confirmed fields give way to what was confirmed.
+
+    ``confirmed_fields`` names them. A device that only has confirmed mappings is added. One row per device meets one per device, so
+    evidence is not spread out and packed again."""
+    human = _by_hand(confirmed, keys)
+    fact = F.struct(*[c for c in human.columns if c not in keys]).cast(FACT_TYPE)
+    is_list = F.col("field_path").contains("[]")
+    answered = human.groupBy(*keys).agg(
+        F.collect_list(F.when(~is_list, fact)).alias("_facts"), F.collect_list(F.when(is_list, fact)).alias("_items"), F.collect_list("field_path").alias("_fields")
+    )
+    both = devices.join(answered, keys, "full")
+
+    def given(own: str, more: str) -> Column:
+        kept = F.filter(own, lambda f: ~F.coalesce(F.array_contains("_fields", f["field_path"]), F.lit(False)))
+        none = F.array().cast(f"array<{FACT_TYPE}>")
+        return F.when(F.col("_fields").isNull(), F.col(own)).otherwise(F.concat(F.coalesce(kept, none), more))
+
+    return both.select(*keys, given("facts", "_facts").alias("facts"), given("acl_items", "_items").alias("acl_items"), F.coalesce("_fields", F.array().cast("array<string>")).alias("confirmed_fields"))
+
+
 def remediation_rows(rules: list = RULES) -> list:
     return [
         {"rule_id": r["id"], "vendor": v, "command": command, "rationale": rationale or f"On {v} this sets {r['field_path']} as {r['id']} asks."}

@@ -162,21 +162,15 @@ SELECT f.device_id, f.rule_id, CASE WHEN c.device_id IS NOT NULL AND f.rule_id =
 FROM findings f LEFT JOIN confirmed c ON c.device_id = f.device_id AND c.field_path = f.field_path""",
 )
 def confirmed(spark: SparkSession, d: str) -> DataFrame:
-    ev = evidence(spark, d)
-    high = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("device_id")).distinct()
-    vendor = ev.select("device_id", "vendor").distinct()
-    human = high.join(vendor, "device_id").select(
+    ev = evidence(spark, d, "l_quantity")
+    human = ev.where("l_quantity >= 45 AND device_id IS NOT NULL").select("device_id", "vendor").distinct().select(
         "device_id", "vendor", F.lit("management.telnet.enabled").alias("field_path"), F.lit(None).cast("boolean").alias("value_bool"), F.lit(None).cast("bigint").alias("value_int"), F.lit("disabled").alias("value_str")
     )
-    latest = ru.pack_evidence(ev.where(~F.col("field_path").contains("[]")), ["device_id", "vendor"], EVIDENCE_ORDER).select("device_id", "vendor", F.explode_outer("facts").alias("f")).where(F.col("f").isNotNull()).select("device_id", "vendor", "f.*")
-    merged = ru.override_evidence(latest, human, ["device_id", "vendor"])
-    # Every device stays, also one whose only evidence is of list fields.
-    lists = ev.where(F.col("field_path").contains("[]")).select(merged.columns)
-    packed_again = ru.pack_evidence(merged.unionByName(lists), ["device_id", "vendor"], ["confidence"])
+    extracted = ru.pack_evidence(ev.where("field_path IS NOT NULL"), ["device_id", "vendor"], EVIDENCE_ORDER)
+    merged = ru.override_in_row(extracted, human, ["device_id", "vendor"])
     # ``human``: the rule reads a field that a person confirmed.
-    found = ru.evaluate(packed_again, ["device_id"], USED)
-    answered = human.select("device_id", "field_path", F.lit(True).alias("human"))
-    return found.join(answered, ["device_id", "field_path"], "left").select("device_id", "rule_id", "status", F.coalesce("human", F.lit(False)).alias("human"))
+    found = ru.evaluate(merged, ["device_id", "confirmed_fields"], USED)
+    return found.select("device_id", "rule_id", "status", F.array_contains("confirmed_fields", F.col("field_path")).alias("human"))
 
 
 def catalogue_file(spark: SparkSession) -> str:

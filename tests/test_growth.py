@@ -79,3 +79,20 @@ def test_two_rule_versions_meet_without_the_catalogue_in_the_row(spark, monkeypa
     with monkeypatch.context() as m:
         m.setattr(rules, "findings_in_row", None)
         assert sorted(map(str, rules.re_audit(packed, ["device_id"], before, after).collect())) == want and want
+
+
+def test_confirmed_mappings_in_the_row(spark):
+    """As on long evidence: scalars and list items give way, devices without evidence are added, null keys meet nobody."""
+    packed = cut_lineage(evidence_rows(spark))
+    fields = "device_id long, vendor string, field_path string, value_bool boolean, value_int long, value_str string"
+    acl = "access_control.acl_rules[].is_any_any_permit"
+    confirmed = spark.createDataFrame([(k, "cisco_ios", "management.telnet.enabled", None, None, "disabled") for k in (1, 2, 5, 900)] + [(2, "cisco_ios", acl, True, None, None), (5, "cisco_ios", "a.new.field", None, 7, None)], fields)
+    long = packed.select("device_id", "vendor", F.explode(F.concat("facts", "acl_items")).alias("f")).select("device_id", "vendor", "f.*")
+    want = rules.pack_evidence(rules.override_evidence(long, confirmed, ["device_id", "vendor"]), ["device_id", "vendor"], ["confidence"])
+    got = rules.override_in_row(packed, confirmed, ["device_id", "vendor"])
+
+    def plain(df):
+        return sorted(str((r.device_id, r.vendor, sorted(map(str, r.facts)), sorted(map(str, r.acl_items)))) for r in df.collect())
+
+    assert plain(got) == plain(want)
+    assert sorted({r.device_id: sorted(r.confirmed_fields) for r in got.where("size(confirmed_fields) > 0").collect()}.items()) == [(1, ["management.telnet.enabled"]), (2, [acl, "management.telnet.enabled"]), (5, ["a.new.field", "management.telnet.enabled"]), (900, ["management.telnet.enabled"])]
