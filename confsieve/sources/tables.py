@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confsieve.operators.latest import latest_per_key, upsert
+from confsieve.session import cut_lineage
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -57,7 +58,7 @@ def upsert_buckets(incoming: DataFrame, root: str, batch: int, keys: list[str],
     """Last write per key wins; buckets without an incoming key keep their files. The number of buckets belongs to the table."""
     spark, root = incoming.sparkSession, root.rstrip("/")
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    incoming = latest_per_key(incoming, keys, [order])
+    incoming = cut_lineage(latest_per_key(incoming, keys, [order]), "incoming")  # asked twice: a batch of a stream must not be worked out again
     touched = sorted(r.b for r in incoming.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
     if not touched:
         return

@@ -1,8 +1,12 @@
 """State and stored tables across restarts: late, repeated and expired keys; buckets that keep their files."""
 
+import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
+
 from confsieve.sources import tables
 from confsieve.streaming import audit
 
@@ -72,3 +76,86 @@ def test_untouched_buckets_keep_their_files(spark, tmp_path):
     assert tables.read_buckets(spark, root, schema).count() == 200
     tables.upsert_buckets(rows(), root, 2, ["device"], "seq", buckets=8)
     assert tables.read_buckets(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+class Store:
+    """A state store of one slot that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.timers, self.updates = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return self.rows
+
+    def update(self, rows):
+        self.rows, self.updates = rows, self.updates + 1
+
+    def clear(self):
+        self.rows = None
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def getExpiryTimeInMs(self):
+        return self.watermark
+
+
+def test_a_slot_of_keys_is_one_entry_of_the_store(spark):
+    """Hundreds of keys, null ones too, in several frames and batches: the store is written once a batch, and each key has its own verdict and time."""
+    day, rnd = 86_400_000, random.Random(8)
+    rest = [StructField("value", DoubleType()), StructField("seq", LongType()), StructField("ts", TimestampType())]
+    state = StructType([StructField("k0", StringType()), StructField("k1", StringType()), *rest, StructField("_due", LongType())])
+    slot, store = audit.LatestVerdict(state, ["k0", "k1"], ["value", "seq", "ts"], "seq", "ts", 2 * day), Store()
+    slot.init(store)
+    want, number = {}, 0
+    for batch in range(3):
+        frames, before = [], dict(want)
+        for _ in range(4):
+            rows = []
+            for _ in range(150):
+                number += 1
+                rows.append((rnd.choice([None, *map(str, range(100))]), rnd.choice(["a", None]), rnd.choice([None, 0.5, 2.0]), rnd.randint(1, 900), START + timedelta(hours=rnd.randint(0, 20))))
+            frames.append(pd.DataFrame(rows, columns=["k0", "k1", "value", "seq", "ts"]))
+            for k0, k1, value, seq, _ in rows:
+                if (k0, k1) not in want or seq > want[k0, k1][1]:
+                    want[k0, k1] = value, seq
+        out = pd.concat(slot.handleInputRows((0,), iter(frames), Clock(0))).astype(object)
+        got = {(r.k0, r.k1): (None if pd.isna(r.value) else r.value, r.seq) for r in out.where(out.notna(), None).itertuples()}
+        assert got == {k: v for k, v in want.items() if before.get(k) != v} and store.updates == batch + 1 and len(store.timers) == 1
+    due = int(pd.Timestamp(START).timestamp() * 1000) + 2 * day
+    early = list(slot.handleExpiredTimer((0,), Clock(0), Clock(due - 1)))
+    gone = pd.concat(slot.handleExpiredTimer((0,), Clock(0), Clock(due + 20 * day)))
+    assert not early and len(gone) == len(want) and set(gone["kind"]) == {"expired"} and store.rows is None
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "device string, seq long").mapInArrow(count, "device string, seq long")
+    tables.upsert_buckets(rows, str(tmp_path / "t"), 0, ["device"], "seq", buckets=4)
+    assert seen.value == 2
