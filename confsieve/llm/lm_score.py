@@ -13,6 +13,9 @@ without an id of its own is then told from the others of its bucket by its share
 3. All positions of all documents are scored. The share of a word in its bucket comes from the counts: those of the ``KNOWN`` next frequent
    words are sent to the tasks, all others meet the distinct words of each document in a join. One count a bucket is left for unseen words.
 
+CPU is the limit here. Arrow tells the words of a slice apart, so that a word is looked up once a slice, and positions are handled side by side by the class of
+their word, a column each, so that the sums of a softmax run along memory.
+
 The driver holds the vocabulary, the known counts and the parameters, a few MB at any input. Scores depend in the last digits on how rows are dealt to tasks.
 
 Defined cases: a text without words, or null, has 0 words, log probability 0 and no mean. Result columns replace input columns of their name.
@@ -27,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +58,21 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def words_told(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """:func:`words_of` of many texts: (for each word its place among the distinct ones, words of each text, the distinct words as they first come).
+
+    Arrow splits and tells words apart, so that Python meets each distinct word of a slice once."""
+    # Bytes seen as a string, unchecked: the kernels for ASCII leave all other bytes alone.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    pieces = lists.flatten().view(pa.large_binary())
+    owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    there = pc.greater(pc.binary_length(pieces), 0)  # white space at an end of a text leaves an empty piece
+    told = pieces.filter(there).dictionary_encode()
+    distinct = told.dictionary.cast(pa.binary())
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct), b" ")
+    return told.indices.to_numpy(), np.bincount(owner[there.to_numpy(zero_copy_only=False)], minlength=len(texts)), joined[0].as_py().split()
+
+
 class Ids(dict):
     """Word to id; a word without one gets the bucket of its hash. Marks at the ends of a word do not count."""
 
@@ -105,7 +124,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: Counter = Counter()
+        totals: dict[bytes, int] = {}
 
         def rows() -> pa.RecordBatch:
             bare: Counter = Counter()
@@ -114,8 +133,9 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(bare), pa.binary()), pa.array(list(bare.values()), pa.int64())], names=["word", "n"])
 
         for _, texts in slices(batches):
-            for text in texts:
-                totals.update(words_of(text))
+            places, _, words = words_told(texts)
+            for word, n in zip(words, np.bincount(places, minlength=len(words)).tolist()):
+                totals[word] = totals.get(word, 0) + n
             if len(totals) > WORDS_KEPT:
                 yield rows()
                 totals.clear()
@@ -152,60 +172,76 @@ def start(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    """Over the first axis: a position is a column, so that each pass runs along memory."""
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= logits.sum(axis=0)
     return logits
 
 
 def hidden(params: dict, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.repeat(params["hidden"][None, :], len(at), axis=0)
+    total, one = (np.empty((len(at), DIM), np.float32) for _ in range(2))
     for place, offset in enumerate(OFFSETS):
-        total += params["places"][place][line[at + offset]]
+        # Ids are below the size of the table; ``clip`` only spares the copy that the other modes make of ``out``.
+        params["places"][place].take(line[at + offset], axis=0, out=one if place else total, mode="clip")
+        if place:
+            total += one
+    total += params["hidden"]
     return np.tanh(total, out=total)
 
 
+def by_class(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(order of the positions by the class of their word, their words in that order, (class, from, to) of each class that is there)."""
+    target = line[at]
+    # Sorting small integers is a radix sort.
+    group = target // WIDE
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
+    return order, target[order], [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+
+
+def distributions(params: dict, h: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """For positions side by side by class, a column each: the probabilities of the classes, and of the words of their class."""
+    of_class = params["classes"].T @ h.T
+    of_class += params["class_bias"][:, None]
+    of_word = np.empty((WIDE, len(h)), np.float32)
+    for c, a, b in runs:
+        np.matmul(params["words"][c].T, h[a:b].T, out=of_word[:, a:b])
+        of_word[:, a:b] += params["word_bias"][c][:, None]
+    return _softmax(of_class), _softmax(of_word)
+
+
 def log_probabilities(params: dict, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each position in ``at``: log P(word | the words around it)."""
     out = np.empty(len(at))
-    for low in range(0, len(at), 1 << 15):
-        some = at[low : low + (1 << 15)]
-        h, target = hidden(params, line, some), line[some]
-        group, member = target // WIDE, target % WIDE
-        rows = np.arange(len(some))
-        p = _softmax(h @ params["classes"] + params["class_bias"])[rows, group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=CLASSES))
-        for c, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
-            if b > a:
-                own = order[a:b]
-                p[own] *= _softmax(h[own] @ params["words"][c] + params["word_bias"][c])[np.arange(b - a), member[own]]
-        out[low : low + len(some)] = np.log(np.maximum(p, 1e-30))
+    for low in range(0, len(at), BATCH):
+        some = at[low : low + BATCH]
+        order, target, runs = by_class(line, some)
+        of_class, of_word = distributions(params, hidden(params, line, some[order]), runs)
+        columns = np.arange(len(some))
+        p = of_class[target // WIDE, columns].astype(np.float64) * of_word[target % WIDE, columns]
+        out[low + order] = np.log(np.maximum(p, 1e-30))
     return out
 
 
 def step(params: dict, seen: dict, line: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One Adagrad step on these positions."""
-    h, target = hidden(params, line, at), line[at]
-    group, member, rows = target // WIDE, target % WIDE, np.arange(len(at))
+    order, target, runs = by_class(line, at)
+    at, columns = at[order], np.arange(len(at))
+    h = hidden(params, line, at)
     grads = {name: np.zeros(shape, np.float32) for name, shape in _SHAPES.items() if name != "places"}
-    error = _softmax(h @ params["classes"] + params["class_bias"])
-    error[rows, group] -= 1
-    grads["classes"], grads["class_bias"] = h.T @ error, error.sum(axis=0)
-    back = error @ params["classes"].T
-    # Class by class, with the positions of a class side by side. Sorting small integers is a radix sort.
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()
-    h_sorted, member, below = h[order], member[order], np.empty_like(back)
-    for c, (a, b) in enumerate(zip([0, *ends], ends)):
-        if b > a:
-            own, words = h_sorted[a:b], params["words"][c]
-            error = _softmax(own @ words + params["word_bias"][c])
-            error[rows[: b - a], member[a:b]] -= 1
-            grads["words"][c], grads["word_bias"][c] = own.T @ error, error.sum(axis=0)
-            np.matmul(error, words.T, out=below[a:b])
-    back[order] += below
-    back *= 1 - h * h
+    of_class, of_word = distributions(params, h, runs)
+    of_class[target // WIDE, columns] -= 1
+    of_word[target % WIDE, columns] -= 1
+    grads["classes"], grads["class_bias"] = h.T @ of_class.T, of_class.sum(axis=1)
+    back = of_class.T @ params["classes"].T
+    for c, a, b in runs:
+        error = of_word[:, a:b]
+        np.matmul(h[a:b].T, error.T, out=grads["words"][c])
+        error.sum(axis=1, out=grads["word_bias"][c])
+        back[a:b] += error.T @ params["words"][c].T
+    h *= h
+    back *= np.subtract(1, h, out=h)
     grads["hidden"] = back.sum(axis=0)
     for name, grad in grads.items():
         grad /= len(at)
@@ -217,7 +253,7 @@ def step(params: dict, seen: dict, line: np.ndarray, at: np.ndarray, rate: float
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         starts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1]
-        grad, ids = np.add.reduceat(back[order], starts, axis=0), ids[starts]
+        grad, ids = np.add.reduceat(back.take(order, axis=0), starts, axis=0), ids[starts]
         squares = seen["places"][place][ids] + grad * grad
         seen["places"][place][ids] = squares
         params["places"][place][ids] -= rate * grad / np.sqrt(squares)
@@ -337,9 +373,8 @@ class Codes(dict):
         less that of the bucket, unknown words as if seen once; ``rare``: the unknown (word, times)."""
         if len(self) > WORDS_KEPT:
             self._forget()
-        split = [words_of(t) for t in texts]
-        counts = np.array([len(w) for w in split], np.int64)
-        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(counts.sum()))
+        places, counts, words = words_told(texts)
+        codes = np.fromiter(map(self.__getitem__, words), np.int32, len(words))[places]
         buckets, logs = np.array(self.buckets, np.int16), np.array(self.logs, np.float64)
         tail = np.flatnonzero(codes >= FREQUENT)
         place = codes[tail] - FREQUENT

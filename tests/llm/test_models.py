@@ -191,6 +191,69 @@ def test_lm_trains_on_every_position(spark, monkeypatch):
     assert np.array_equal(np.sort(trained), at)
 
 
+def test_lm_words_of_a_slice_are_told_as_one_by_one():
+    rnd = random.Random(3)
+    texts = [None, b"", b" \t\n\r\x0b\x0c ", b" one  One\nTWO ", b"one"] + [bytes(rnd.randrange(256) for _ in range(rnd.randrange(40))) for _ in range(300)] + [bytes([65, c, 66]) for c in range(256)]
+    for some in (texts, texts[:3], []):
+        places, counts, words = lm_score.words_told(some)
+        want = [lm_score.words_of(t) for t in some]
+        said = [w for ws in want for w in ws]
+        assert counts.tolist() == [len(ws) for ws in want] and [words[i] for i in places] == said and words == list(dict.fromkeys(said))
+
+
+def test_lm_encoding_looks_up_a_word_once_a_slice():
+    """CPU of the ids: not a lookup for each time a word is said."""
+    asked = []
+
+    class Asked(lm_score.Codes):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    codes = Asked([b"ab"], {b"ef": 0.5}, np.zeros(lm_score.IDS - lm_score.FREQUENT))
+    ids, counts, shares, rare = codes.encode([b"ab cd. ef " * 500, None, b"cd AB"])
+    assert sorted(asked) == [b"ab", b"cd", b"cd.", b"ef"]
+    cd, ef = (lm_score.Ids([b"ab"])[w] for w in (b"cd", b"ef"))
+    assert ids.tolist() == [0, cd, ef] * 500 + [cd, 0] and counts.tolist() == [1500, 0, 2] and shares.tolist() == [250.0, 0, 0]
+    times = [sum(r["times"] for r in rs if r["word"] == b"cd") for rs in rare.to_pylist()]
+    assert times == [500, 0, 1]
+
+
+def test_lm_step_equals_plain():
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(b"w%d" % k for k in rng.integers(0, 90, 15)) for _ in range(12)]
+    line, at, _ = lm_score.laid_out(lm_score.Ids([b"w%d" % k for k in range(40)]), texts)
+    params = lm_score.start(rng.integers(1, 9, lm_score.IDS).astype(float))
+    params = {name: (v + 0.2 * rng.standard_normal(v.shape)).astype(np.float32) for name, v in params.items()}
+    grads = {name: np.zeros(v.shape) for name, v in params.items()}
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    plain = {name: v.astype(float) for name, v in params.items()}
+    for t in at:
+        h = np.tanh(plain["hidden"] + sum(plain["places"][k][line[t + o]] for k, o in enumerate(lm_score.OFFSETS)))
+        c, m = divmod(int(line[t]), lm_score.WIDE)
+        of_class, of_word = soft(h @ plain["classes"] + plain["class_bias"]), soft(h @ plain["words"][c] + plain["word_bias"][c])
+        of_class[c] -= 1
+        of_word[m] -= 1
+        back = (plain["classes"] @ of_class + plain["words"][c] @ of_word) * (1 - h * h)
+        for name, i, g in [("classes", ..., np.outer(h, of_class)), ("class_bias", ..., of_class), ("words", c, np.outer(h, of_word)), ("word_bias", c, of_word), ("hidden", ..., back)]:
+            grads[name][i] += g / len(at)
+        for k, o in enumerate(lm_score.OFFSETS):
+            grads["places"][k, line[t + o]] += back / len(at)
+    want = {name: plain[name] - 0.3 * g / np.sqrt(1e-4 + g * g) for name, g in grads.items()}
+    seen = {name: np.full(v.shape, 1e-4, np.float32) for name, v in params.items()}
+    lm_score.step(params, seen, line, at, 0.3)
+    for name in params:
+        assert np.abs(params[name] - want[name]).max() < 1e-4 and np.abs(seen[name] - 1e-4 - grads[name] ** 2).max() < 1e-6, name
+
+
+def test_lm_scores_do_not_depend_on_batches():
+    rng = np.random.default_rng(6)
+    line, at, _ = lm_score.placed(rng.integers(0, lm_score.IDS, 2 * lm_score.BATCH + 100).astype(np.int16), np.array([lm_score.BATCH, 0, lm_score.BATCH + 100]))
+    params = lm_score.start(rng.integers(1, 9, lm_score.IDS).astype(float))
+    parts = [lm_score.log_probabilities(params, line, some) for some in np.array_split(at, 37)]
+    assert np.abs(lm_score.log_probabilities(params, line, at) - np.concatenate(parts)).max() < 1e-4
+
+
 def test_lm_edges(clashing, empty):
     got = {r.doc_id: r for r in lm_score.score(clashing, *lm_score.fit(clashing)).collect()}
     assert all(got[i].n_words == 0 and got[i].log_prob == 0 and got[i].mean_log_prob is None for i in (7, 8, 9)) and got[15].n_words == 140_000
