@@ -57,6 +57,74 @@ def test_only_openers_are_sent_to_all_tasks(spark, monkeypatch):
     assert len(openers) < 300 and sorted(k for held in sent for h in held.values() for k in h.keys.tolist()) == sorted(openers)
 
 
+def random_vectors(n, grams, seed):
+    """Unit vectors over few frequent and many rare grams: keys, starts, ids, weights, and the same as a table."""
+    rnd = np.random.default_rng(seed)
+    rows = [np.unique((rnd.random(rnd.integers(3, 40)) ** 3 * grams).astype(np.int64)) for _ in range(n)]
+    weights = [(lambda w: w / np.sqrt((w * w).sum()))(rnd.random(len(r)) + 0.1) for r in rows]
+    table, lengths = np.zeros((n, grams)), np.array([len(r) for r in rows])
+    for k, (r, w) in enumerate(zip(rows, weights, strict=True)):
+        table[k, r] = w
+    return rnd.permutation(n) * 3, np.cumsum(lengths) - lengths, np.concatenate(rows) * 7, np.concatenate(weights), table
+
+
+def test_cosines_by_columns_and_lists(monkeypatch):
+    """Every cosine with the held vectors, whatever share of the grams are columns and however few rows are met at a time."""
+    keys, starts, ids, weights, table = random_vectors(90, 150, 1)
+    _, more, others, heavy, asked = random_vectors(70, 200, 2)
+    want = asked[:, :150] @ table[np.argsort(keys)].T
+    for common, cells, met in ((0.05, 10**6, 10**6), (2.0, 10**6, 200), (0.0, 10**6, 1), (0.0, 900, 500)):
+        monkeypatch.setattr(similarity, "COMMON", common), monkeypatch.setattr(similarity, "CELLS", cells), monkeypatch.setattr(similarity, "MET", met)
+        held = similarity.Held(keys, starts, ids, weights)
+        got = list(held.cosines(more, others, heavy))
+        assert [lo for lo, _ in got] == np.cumsum([0, *(len(c) for _, c in got[:-1])]).tolist()
+        assert held.keys.tolist() == sorted(keys) and np.allclose(np.vstack([c for _, c in got]), want, atol=1e-12)
+
+
+def test_bounds_rule_out_no_opener(monkeypatch):
+    """The earliest vector at or above the threshold, and the greedy run, by a few columns of grouped grams or many."""
+    keys, starts, ids, weights, table = random_vectors(300, 120, 3)
+    _, more, others, heavy, asked = random_vectors(80, 150, 4)
+    table = table[np.argsort(keys)]
+    near = asked[:, :120] @ table.T >= similarity.THRESHOLD
+    seed = []
+    for k, row in enumerate(table @ table.T >= similarity.THRESHOLD):
+        seed.append(next((i for i in range(k) if seed[i] == i and row[i]), k))
+    assert 20 < len(set(seed)) < 280
+    for groups, met in ((0.1, 10**6), (8, 10**6), (64, 700)):
+        monkeypatch.setattr(similarity, "GROUPS", groups), monkeypatch.setattr(similarity, "MET", met)
+        held = similarity.Held(keys, starts, ids, weights)
+        assert held.first(more, others, heavy).tolist() == np.where(near.any(axis=1), near.argmax(axis=1), -1).tolist()
+        assert held.greedy().tolist() == seed
+
+
+def test_grams_of_any_alphabet():
+    rnd = random.Random(5)
+    letters = ["ab ", "aé’ñ ", "中文字迿￮ a ", "a\U0001d54f ", "a\0b ", "".join(map(chr, range(0x4E00, 0x9000))) + " "]
+    for _ in range(60):
+        texts = [" ".join("".join(rnd.choices(rnd.choice(letters), k=rnd.randrange(60))).split()) for _ in range(rnd.randrange(9))]
+        rows, starts, ids, counts = similarity.count_grams(texts)
+        ends = np.append(starts, len(ids))[1:].tolist()
+        got = {r: list(zip(ids[a:b].tolist(), counts[a:b].tolist(), strict=True)) for r, a, b in zip(rows.tolist(), starts.tolist(), ends, strict=True)}
+        assert got == {k: similarity._counted_one_by_one(t) for k, t in enumerate(texts) if t}
+
+
+def test_batches_write_openers_and_who_is_taken(spark, monkeypatch):
+    """The lines are stored by their counts and written anew only when many are taken; groups are the same either way."""
+    written, real = [], cluster.cut_lineage
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df, label="": written.append((label, df.columns)) or real(df, label))
+    texts = [f"set unit {chr(97 + k % 26) * 3}{chr(97 + k // 26) * 4} to {k * 7919 % 1000}" for k in range(300)]
+    lines = spark.createDataFrame([(k, "v" if k % 3 else "w", t) for k, t in enumerate(texts)], "seq long, vendor string, raw string")
+    found = []
+    for spent in (0, 1 << 20):
+        written.clear()
+        found.append({r.seq: r.seed for r in cluster.cluster_lines(lines, "vendor", "raw", "seq", 800, spent).collect()})
+        labels = [label for label, _ in written]
+        assert all(columns == ["node", "seed"] for label, columns in written if label == "cluster-met") and labels.count("cluster-met") >= 4
+        rewritten = labels.count("cluster-left")
+    assert found[0] == found[1] and len(found[0]) == 300 and rewritten < labels.count("cluster-met") and "cluster-vectors" not in labels
+
+
 FACTS = "device_id long, vendor string, field_path string, value_bool boolean, value_int long, value_str string, explicit boolean, confidence double, src_line int, src_raw string, method string, at long"
 
 
